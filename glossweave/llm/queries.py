@@ -17,5 +17,36 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    coded = encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), decoded=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, max_tokens=4096, max_segments=256)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import doc_key
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(doc_key()) % 5
+    model = train(docs, _table(spark, sf_dir, "labels"), fold != 0)
+    scored = score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
 SQL: dict[str, str] = {}
