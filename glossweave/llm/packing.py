@@ -15,7 +15,9 @@ Nulls: a null text is an empty one and still has its end token; a null id is kep
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,14 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept, up to ``most`` of them at a time.
+    and kept, up to ``most`` of them at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
+    marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
     """
 
+    # Characters that are letters, in lower case too, or other symbols, in every version of Unicode.
+    LETTERS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -40,18 +47,46 @@ class ChunkEncoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.most, self.known = most, {}
+        spec = json.loads(self.own.to_str())
+        size = max(self.own.get_vocab().values()) + 1
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.encoded(["ab", "\u00c4B", "ab ab", "ab."]) == [self.encoded(["ab"])[0], self.encoded(["\u00e4b"])[0], self.encoded(["ab"])[0] * 2, self.encoded(["ab"])[0] + self.encoded(["."])[0]]:
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        encode = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
+        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> None:
+        """Learn lower-case words of letters, many in one call."""
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = self.encoded([b" ".join(some).decode()])[0]
+            cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            if len(cut) == len(some):
+                self.known.update(zip(some, [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+            else:
+                self.known.update(zip(some, self.encoded([w.decode() for w in some]), strict=True))
 
     def learn(self, parts: list[list[bytes]]) -> None:
         new = set().union(*parts).difference(self.known) if parts else set()
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = set().union(*parts)
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            encode = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
-            for x, e in zip(some, encode([x.decode("utf-8", "replace") for x in some], add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+        rest, plain = [], []
+        for x in new:
+            core = x.lower().rstrip(self.MARKS) if self.ends is not None else b""
+            (plain if core and self.LETTERS.fullmatch(core.decode("utf-8", "replace")) else rest).append((x, core))
+        self.words(list({core for _, core in plain}.difference(self.known)))
+        tails = {x[len(core) :] for x, core in plain}.difference(self.known)
+        other = [*(x for x, _ in rest), *tails.difference(x for x, _ in rest)]
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            self.known.update(zip(some, self.encoded([x.decode("utf-8", "replace") for x in some]), strict=True))
+        known = self.known
+        known.update([(x, known[core] + known[x[len(core) :]]) for x, core in plain])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
