@@ -14,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shared, warc
+
+    uri = shared.folder(spark, "warc")
+    pages = _table(spark, sf_dir, "pages")
+    warc.write(pages, uri, least=100)
+    kind = pages.schema["page_id"].dataType
+    found = warc.parsed(warc.read(spark, uri))
+    return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -38,6 +49,12 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -63,5 +80,50 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_lm": op1_lm, "op3_bpe": op3_bpe, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
-SQL: dict[str, str] = {}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), cutoff=0.8, name="found")
+    names = F.transform("found", lambda h: h["license"])
+    best = F.array_max(F.transform("found", lambda h: F.round(h["dice"], 6)))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("best_dice"))
+
+
+QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op5_warc": op5_warc, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES, bigrams
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, [{', '.join(map(quoted, bigrams(t)))}])" for i, (name, t) in enumerate(TEMPLATES))
+    return f"""
+WITH templates(template, license, grams) AS (VALUES {rows}),
+parts AS (
+  SELECT doc_id, 0 AS kind, ix, passage FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS passage, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ix FROM documents)
+  UNION ALL
+  SELECT doc_id, 1, ix, passage FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')) AS passage, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n'), 1) AS ix FROM documents) WHERE contains(passage, chr(10))),
+words AS (SELECT doc_id, kind, ix, list_filter(regexp_split_to_array(lower(passage), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM parts),
+sets AS (SELECT doc_id, kind, ix, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1 AND len(w) < 200),
+scored AS (SELECT doc_id, kind, ix, license, template, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice FROM sets, templates),
+best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, kind, ix ORDER BY dice DESC, template) = 1)
+SELECT d.doc_id, count(b.doc_id) AS n_licenses, coalesce(string_agg(b.license, ',' ORDER BY b.kind, b.ix), '') AS licenses, round(max(b.dice), 6) AS best_dice
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
+
+
+SQL: dict[str, str] = {
+    "op2_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE bytes >= 100 GROUP BY digest)
+SELECT p.page_id, p.bytes AS payload_bytes, p.digest AS payload_digest, CASE WHEN f.first IS NOT NULL AND f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest""",
+    "op10_licenses": _license_sql(),
+}
