@@ -31,7 +31,7 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept, up to ``most`` of them at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
+    and kept, up to ``most`` of them (some 300 MB) at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
     marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
     """
 
@@ -39,7 +39,7 @@ class ChunkEncoder:
     LETTERS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
     MARKS = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
