@@ -25,6 +25,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality, shared
+
+    measured = shared.written(quality.metrics(_table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "quality")
+    found = quality.judged(measured, _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -89,7 +97,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("best_dice"))
 
 
-QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op5_warc": op5_warc, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
 
 
 def _license_sql() -> str:
