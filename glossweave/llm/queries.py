@@ -14,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import KINDS, scan, shown
+
+    hits = scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{KINDS[i][0]}") for i in range(3)]
+    every = F.array_sort(F.concat("base", "added"))
+    live = F.size(F.filter(every, lambda s: s["live"])).cast("long")
+    return hits.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), live.alias("n_live"), (F.size(every) - live).alias("n_copied"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shared, warc
 
@@ -97,7 +108,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("best_dice"))
 
 
-QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
 
 
 def _license_sql() -> str:
