@@ -15,6 +15,7 @@ Nulls: a null text is an empty one and still has its end token; a null id is kep
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -35,9 +36,8 @@ class ChunkEncoder:
     marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
     """
 
-    # Characters that are letters, in lower case too, or other symbols, in every version of Unicode.
-    LETTERS = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
-    MARKS = b".,;:!?"
+    # Lower-case letters, and other symbols, that are so in every version of Unicode.
+    WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
     def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,55 +51,68 @@ class ChunkEncoder:
         size = max(self.own.get_vocab().values()) + 1
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
-        if suffix and self.encoded(["ab", "\u00c4B", "ab ab", "ab."]) == [self.encoded(["ab"])[0], self.encoded(["\u00e4b"])[0], self.encoded(["ab"])[0] * 2, self.encoded(["ab"])[0] + self.encoded(["."])[0]]:
+        # ASCII letters may be lower-cased before, but for texts that could hold an added token
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"]) and all(a["content"].startswith("<|") for a in spec["added_tokens"])
+        if suffix and self.lower and self.encoded(["ab", "\u00c4B", "ab ab", "ab."]) == [self.encoded(["ab"])[0], self.encoded(["\u00e4b"])[0], self.encoded(["ab"])[0] * 2, self.encoded(["ab"])[0] + self.encoded(["."])[0]]:
+            plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            self.plain = Tokenizer.from_str(json.dumps(plain))  # for words that need no normalizing and no splitting
             self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
+    def encoded(self, texts: list[str], by=None) -> list[bytes]:
+        encode = getattr(by or self.own, "encode_batch_fast", (by or self.own).encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
-    def words(self, words: list[bytes]) -> None:
-        """Learn lower-case words of letters, many in one call."""
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = self.encoded([b" ".join(some).decode()])[0]
-            cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
-            if len(cut) == len(some):
-                self.known.update(zip(some, [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
-            else:
-                self.known.update(zip(some, self.encoded([w.decode() for w in some]), strict=True))
-
-    def learn(self, parts: list[list[bytes]]) -> None:
-        new = set().union(*parts).difference(self.known) if parts else set()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*parts)
-        rest, plain = [], []
+    def learn(self, new: set[bytes]) -> None:
+        known, rest, cores, tails = self.known, [], {}, {}
         for x in new:
-            core = x.lower().rstrip(self.MARKS) if self.ends is not None else b""
-            (plain if core and self.LETTERS.fullmatch(core.decode("utf-8", "replace")) else rest).append((x, core))
-        self.words(list({core for _, core in plain}.difference(self.known)))
-        tails = {x[len(core) :] for x, core in plain}.difference(self.known)
-        other = [*(x for x, _ in rest), *tails.difference(x for x, _ in rest)]
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            self.known.update(zip(some, self.encoded([x.decode("utf-8", "replace") for x in some]), strict=True))
-        known = self.known
-        known.update([(x, known[core] + known[x[len(core) :]]) for x, core in plain])
+            m = self.WORD.fullmatch(x.decode("utf-8", "replace")) if self.ends is not None else None
+            if m is None:
+                rest.append(x)
+            else:
+                core, tail = m.groups()
+                cores.setdefault(core, []).append((x, tail))
+                if tail:
+                    tails[tail] = b""
+        for some in (rest[i : i + 4096] for i in range(0, len(rest), 4096)):
+            known.update(zip(some, self.encoded([x.decode("utf-8", "replace") for x in some]), strict=True))
+        if tails:
+            tails = dict(zip(tails, self.encoded(list(tails)), strict=True))
+        tails[""] = b""
+        words = list(cores)
+        for some in (words[i : i + 1000] for i in range(0, len(words), 1000)):
+            ids = self.encoded([" ".join(some)], self.plain)[0]
+            cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            each = [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else self.encoded(some)
+            for core, own in zip(some, each, strict=True):
+                for x, tail in cores[core]:
+                    known[x] = own + tails[tail] if tail else own
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        parts = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        self.learn(parts)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = []
+        for x in texts:
+            x = (x or "").encode("utf-8", "replace")
+            parts.append((x.lower() if self.lower and b"<|" not in x else x).split())
+        get = self.known.get
+        found = [list(map(get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+        new = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known = {}
+            self.learn(new)
+            known = self.known
+            for p, f, gap in zip(parts, found, gaps, strict=True):
+                for i in gap:
+                    f[i] = known[p[i]]
+        return [b"".join(f) for f in found]
 
 
 class Packer:
     """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, sequence, offset, ids)."""
 
-    def __init__(self, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 512):
+    def __init__(self, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256):
         self.cap, self.segments, self.loss, self.window = max_tokens, max_segments, max_loss or max_tokens, window
         self.items: list[tuple] = []  # key, ids of the whole text, its tokens, index of its first loss-bearing token
         self.start = np.zeros(0, np.int64)
@@ -178,6 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        gc.disable()  # what is kept has no cycles, and looking for them takes long
         encoder, packer = ChunkEncoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 40
 
