@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import stats_queries
+from . import stats_queries, text_queries
 
-_PARTS = [stats_queries]
+_PARTS = [stats_queries, text_queries]
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
