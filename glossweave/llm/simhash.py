@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 SEED = 42
+SHORT = 48  # buckets up to this size are compared together; at most 63
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -133,6 +134,50 @@ def linked(fp: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def linked_runs(fp: np.ndarray, run: np.ndarray, longest: int, radius: int) -> np.ndarray:
+    """``linked`` for many short buckets at once: ``run`` numbers the bucket of each fingerprint, in order.
+
+    All buckets stand in the same planes. The planes against themselves shifted by d places compare every fingerprint
+    with the d-th after it, 64 a machine word; pairs across buckets are masked.
+    """
+    n, label = len(fp), np.arange(len(fp))
+    planes = planes_of(fp)
+    later = np.concatenate([planes[:, 1:], np.zeros((64, 1), np.uint64)], axis=1)
+    pairs = []
+    for d in range(1, min(longest, n)):
+        same = np.zeros(planes.shape[1] * 64, np.uint8)
+        same[: n - d] = run[d:] == run[:-d]
+        if not same.any():
+            break
+        depth = max(1, radius.bit_length())
+        start = (1 << depth) - (radius + 1)
+        count = [np.full(planes.shape[1], _ONES if start >> k & 1 else 0, np.uint64) for k in range(depth)]
+        over = ~np.packbits(same, bitorder="little").view("<u8")
+        for b in range(64):
+            x = planes[b] ^ (planes[b] >> np.uint64(d) | later[b] << np.uint64(64 - d))
+            for c in count:
+                carry = c & x
+                c ^= x
+                x = carry
+            over |= x
+            if b % 8 == 7 and (over == _ONES).all():
+                break
+        hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")[: n - d])
+        if len(hit):
+            pairs.append((hit, hit + d))
+    if pairs:
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        while True:  # at most ``longest`` rounds
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+            if (label == before).all():
+                return label
+    return label
+
+
 def block_masks(radius: int, e: int) -> list[int]:
     """The masks of each choice of ``e`` of ``radius + e`` blocks."""
     m = radius + e
@@ -145,9 +190,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, n: int, radius: int = 4, chunk: int = 8192) -> DataFrame:
-    """(u, v) of the column ``fp`` of ``distinct``: edges with the same classes as all the links."""
-    e = next((e for e in range(1, 5) if n / 2 ** (64 * e / (radius + e)) <= 256), 4)
+def links(distinct: DataFrame, n: int, radius: int = 4, chunk: int = 8192, blocks: int = 1) -> DataFrame:
+    """(u, v) of the column ``fp`` of ``distinct``: edges with the same classes as all the links; ``blocks``: e at least."""
+    e = next((e for e in range(blocks, 5) if n / 2 ** (64 * e / (radius + e)) <= 256), 4)
     masks = block_masks(radius, e)
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("b")).select("fp", "b.c", "b.k")
     sizes = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "k", F.ceil(F.col("n") / chunk).cast("int").alias("pieces"))
@@ -160,16 +205,26 @@ def links(distinct: DataFrame, n: int, radius: int = 4, chunk: int = 8192) -> Da
         held: np.ndarray | None = None  # rows of the group that the next batch may continue
 
         def stars(rows: np.ndarray):
-            cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
-            us, vs = [], []
-            for g in np.split(rows[:, 4], cut):
-                if len(g) > 1:
-                    fp = g.view(np.uint64)
-                    low = linked(fp, radius)
-                    off = np.flatnonzero(low != np.arange(len(fp)))
-                    us.append(g[off])
-                    vs.append(g[low[off]])
-            return pa.record_batch([pa.array(np.concatenate(us or [np.zeros(0, np.int64)])), pa.array(np.concatenate(vs or [np.zeros(0, np.int64)]))], names=["u", "v"])
+            new = np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)])
+            size = np.diff(np.append(np.flatnonzero(new), len(rows)))
+            size_of = np.repeat(size, size)
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def keep(g, low):
+                off = np.flatnonzero(low != np.arange(len(g)))
+                us.append(g[off])
+                vs.append(g[low[off]])
+
+            short = (size_of > 1) & (size_of <= SHORT)
+            if short.any():
+                g = np.ascontiguousarray(rows[short, 4])
+                keep(g, linked_runs(g.view(np.uint64), np.cumsum(new)[short], SHORT, radius))
+            long = size_of > SHORT
+            if long.any():
+                g = rows[long]
+                for part in np.split(g[:, 4], np.flatnonzero(np.diff(np.cumsum(new)[long])) + 1):
+                    keep(part, linked(np.ascontiguousarray(part).view(np.uint64), radius))
+            return pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
         for b in batches:
             rows = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
@@ -206,12 +261,12 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = 4, chunk: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = 4, chunk: int = 8192, blocks: int = 1) -> DataFrame:
     """(id, fp long, component_id): each row's fingerprint and the smallest id that its links reach, its own included."""
     own = shared.written(fingerprints(docs, id_col, text_col, words_each), "simhash")
     distinct = own.groupBy("fp").agg(F.min(id_col).alias("low"))
     n = distinct.count()
-    star = links(distinct.select("fp"), n, radius, chunk)
+    star = links(distinct.select("fp"), n, radius, chunk, blocks)
     roots = components(star)
     within = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = within.groupBy("root").agg(F.min("low").alias("component_id"))
