@@ -32,14 +32,14 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept, up to ``most`` of them (some 300 MB) at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
+    and kept, up to ``most`` of them (some 150 MB) at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
     marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
     """
 
     # Lower-case letters, and other symbols, that are so in every version of Unicode.
     WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,8 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches):
-        gc.disable()  # what is kept has no cycles, and looking for them takes long
+    def packed(batches):
         encoder, packer = ChunkEncoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 40
 
@@ -215,4 +214,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         if rows:
             yield batch(rows, like)
 
+    def run(batches):
+        gc.disable()  # what is kept has no cycles, and looking for them takes long
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
     return docs.select(*cols).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
