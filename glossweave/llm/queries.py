@@ -116,7 +116,7 @@ def _license_sql() -> str:
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, [{', '.join(map(quoted, bigrams(t)))}])" for i, (name, t) in enumerate(TEMPLATES))
-    return f"""
+    return rf"""
 WITH templates(template, license, grams) AS (VALUES {rows}),
 parts AS (
   SELECT doc_id, 0 AS kind, ix, passage FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS passage, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ix FROM documents)

@@ -11,7 +11,7 @@ for each query and task. This is the stated query set against all rows, in block
 
 Vectors that are null or hold a null or a component that is not finite take no part; rows with a null id neither. Only
 vectors of the query's dimension are its candidates, and a row with the query's own id is none. Scores are exact
-integers; one beyond 64 bits is an error. Ties go to the smaller id; a repeated row can be listed again.
+integers; one beyond 64 bits counts in full within its task and is reported as the limit. Ties go to the smaller id; a repeated row can be listed again.
 """
 
 from __future__ import annotations
@@ -102,8 +102,6 @@ class Block:
         w = [int(x) for x in q[self.by]]
         found = [(sum(a * int(c) for a, c in zip(w, self.columns[:, j], strict=True)), int(self.ids[j])) for j in range(self.n) if self.ids[j] != query_id]
         top = sorted(known + found, key=lambda r: (-r[0], r[1]))[:k]
-        if any(abs(s) >= 1 << 63 for s, _ in top):
-            raise OverflowError("a score does not fit 64 bits")
         return top
 
 
@@ -135,7 +133,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, i
                 top: list[tuple[int, int]] = []
                 for block in blocks[dim]:
                     top = block.best(query_id, q, k, top)
-                out += [(query_id, i, s) for s, i in top]
+                out += [(query_id, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for s, i in top]
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
 
