@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assess_queries, facts_queries, stats_queries, text_queries
+from . import assess_queries, facts_queries, morph_queries, stats_queries, text_queries
 
-_PARTS = [stats_queries, text_queries, assess_queries, facts_queries]
+_PARTS = [stats_queries, text_queries, assess_queries, facts_queries, morph_queries]
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
