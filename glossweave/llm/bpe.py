@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 # The pre-splitting pattern of byte-level BPE files, and the characters on which Unicode versions agree.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNSETTLED = re.compile("[^\x00-\x1b\x20-ԯḀ-῿‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]")
@@ -175,7 +177,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids binary), and with ``decoded`` the text that decoding the ids gives."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    shared.bounded(docs.sparkSession)
+
     def run(batches):
+        shared.lean()
         own = coder(path)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):

@@ -282,6 +282,7 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
     """The table of the words' hashes and counts, the number of tokens, and the largest count."""
 
     def count(batches):
+        shared.lean()
         held: Counter = Counter()
 
         def send():
@@ -315,6 +316,7 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes: int = 8 << 20) -> Model:
     """The model of the texts of ``docs``, its arrays in the shared folder."""
+    shared.bounded(docs.sparkSession)
     uri = shared.folder(docs.sparkSession, "lm")
     bits = min(16, max(6, (shared.input_bytes(docs) // shard_bytes).bit_length()))
     words, total, most = vocabulary(docs, text_col, f"{uri}/words", bits)
@@ -324,6 +326,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes:
     kind = "<u4" if most < 1 << 32 else "<u8"
 
     def count(batches):
+        shared.lean()
         numbers, held, n = Numbers(words), [], 0
 
         def send():
@@ -385,7 +388,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    shared.bounded(docs.sparkSession)
+
     def run(batches):
+        shared.lean()
         own = sent.value
         numbers = Numbers(own.vocabulary)
         for b in batches:

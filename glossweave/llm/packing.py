@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from . import shared
+
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -214,7 +216,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         if rows:
             yield batch(rows, like)
 
+    shared.bounded(docs.sparkSession)
+
     def run(batches):
+        shared.lean()
         gc.disable()  # what is kept has no cycles, and looking for them takes long
         try:
             yield from packed(batches)

@@ -35,6 +35,20 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
 
 
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers some at a time: the session's default of 10,000 rows a batch is for short ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
+def lean() -> None:
+    """In a worker: let Arrow give freed memory back, as workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, and computes it once."""
     path = folder(df.sparkSession, name)

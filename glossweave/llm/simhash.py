@@ -60,7 +60,10 @@ def fingerprint(text: str | None, words_each: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
     """(id, fp long): a bit is one if it is set in over half of the shingles' hashes, repeats included."""
 
+    shared.bounded(docs.sparkSession)
+
     def run(batches):
+        shared.lean()
         for b in batches:
             ids, texts = b.columns
             fp = np.fromiter((fingerprint(x.as_py(), words_each) for x in texts), np.uint64, len(texts))

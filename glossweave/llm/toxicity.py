@@ -85,6 +85,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", orders: tuple[int, ...] = (3, 4, 5), bits: int = 20, features: int = 2048, max_train: int = 16_000, l2: float = 1e-4) -> Model:
     """A model from the labels of rows for which ``in_training``, a column over the id, holds."""
     spark = docs.sparkSession
+    shared.bounded(spark)
     wanted = labels.where(in_training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     sample = wanted.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_train)
     ids = F.broadcast(spark.createDataFrame(sample.toPandas(), sample.schema))  # at most max_train ids
@@ -92,6 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str =
     held = shared.written(rows, "toxicity")
 
     def places(batches):
+        shared.lean()
         for b in batches:
             count = np.zeros((2, 1 << bits), np.int32)
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -134,9 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str =
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """(the columns ``keep``, ``name`` double): the model over each whole text."""
+    shared.bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        shared.lean()
         for b in batches:
             scores = pa.array([sent.value.score(t.as_py()) for t in b.column(0)], pa.float64())
             yield pa.record_batch([*b.columns[1:], scores], names=[*keep, name])
