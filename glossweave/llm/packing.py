@@ -19,6 +19,7 @@ import gc
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +35,21 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept, up to ``most`` of them (some 150 MB) at a time. Where it also ends each word's ids with a token of its own, as ``</w>``
+    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 150 MB). Where it also ends each word's ids with a token of its own, as ``</w>``
     marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
     """
 
     # Lower-case letters, and other symbols, that are so in every version of Unicode.
     WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.most, self.known = most, {}
+        self.most, self.known, self.older = most, {}, {}
         spec = json.loads(self.own.to_str())
         size = max(self.own.get_vocab().values()) + 1
         suffix = spec["model"].get("end_of_word_suffix")
@@ -102,15 +103,22 @@ class ChunkEncoder:
         new = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
         if new:
             if len(self.known) + len(new) > self.most:
-                self.known = {}
-            self.learn(new)
-            known = self.known
+                self.older, self.known = self.known, {}
+            known, older = self.known, self.older
+            known.update([(w, older[w]) for w in new if w in older])
+            self.learn(new.difference(known))
             for p, f, gap in zip(parts, found, gaps, strict=True):
                 for i in gap:
                     f[i] = known[p[i]]
         return [b"".join(f) for f in found]
 
 
+@lru_cache(1)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One for each worker, as tasks meet much the same words."""
+    return ChunkEncoder(path)
+
+
 class Packer:
     """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, sequence, offset, ids)."""
 
@@ -193,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def packed(batches):
-        encoder, packer = ChunkEncoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
+        encoder, packer = chunk_encoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 40
 
         def batch(rows, like):
