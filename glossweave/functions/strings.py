@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ def suggestion_method(word: Column, suggestion: Column, by_rule: Column, most: i
     return F.when(by_rule, "hunspell_rule").when(near, "edit_distance").otherwise("ngram_fallback")
 
 
-def leipzig(glosses: Column, guessed: Column) -> Column:
-    """Glosses joined by hyphens: ``[?]`` where one is missing, asterisks around a guessed root."""
-    return F.array_join(F.transform(glosses, lambda g, i: F.when(g.isNull(), "[?]").when(i == guessed, F.concat(F.lit("*"), g, F.lit("*"))).otherwise(g)), "-")
+def leipzig(glosses: Column, root: Column, guessed: Column, surface: Column) -> Column:
+    """Glosses joined by hyphens; a missing one is ``[?]``, or the surface in asterisks at a guessed root."""
+    return F.array_join(F.transform(glosses, lambda g, i: F.when(g.isNotNull(), g).when(guessed & (i == root), F.concat(F.lit("*"), surface, F.lit("*"))).otherwise("[?]")), "-")
 
 
 def signature(parts: Column) -> Column:
@@ -65,3 +66,25 @@ def environment_key(tokens: Column) -> Column:
 def lexical_date(x: Column) -> Column:
     """A timestamp in ISO form, or null if the text is none."""
     return F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def environment(x: Column) -> Column:
+    """(left, right, ok) of an environment ``/ L _ R``: the tokens of each side, ``#``, ``[class]``, ``(group)`` or text.
+
+    ``ok`` is false without the slash, with another number of underscores than one, or with brackets that don't close.
+    """
+    sides = F.split(F.regexp_replace(F.trim(x), "^/", ""), "_")
+    token = r"#|\[[^\]]*\]|\([^)]*\)|[^#\[\]()\s]+"
+    tokens = lambda i: F.regexp_extract_all(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), F.lit(token), F.lit(0))
+    rest = F.regexp_replace(x, token, "")
+    ok = F.trim(x).startswith("/") & (F.size(sides) == 2) & ~rest.rlike(r"[\[\]()]")
+    return F.struct(tokens(0).alias("left"), tokens(1).alias("right"), ok.alias("ok"))
+
+
+def decomposed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFD")
+
+
+def nfd(x: Column) -> Column:
+    """Canonical decomposition; Spark has no function for it, so this one runs in Arrow batches."""
+    return F.pandas_udf(decomposed, "string")(x)

@@ -165,3 +165,21 @@ def evenly(rows: DataFrame, key: str, step: int) -> DataFrame:
     sizes = own.groupBy("part").agg(F.max("i").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return own.join(F.broadcast(before), "part").where((F.col("before") + F.col("i") - 1) % step == 0).select(*rows.columns)  # a row per partition
+
+
+def lineage(sources: DataFrame, outputs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(source, role, output) of source objects and what was compiled from them, many to many; sources without an output stay."""
+    m = mapping.join(outputs.select("output"), "output", "left_semi")
+    return sources.join(m, "source", "left").select("source", F.coalesce("role", F.lit("not_compiled")).alias("role"), "output")
+
+
+def occurrence_identities(rows: DataFrame) -> DataFrame:
+    """(occurrence, identities, raw, collapsed, any_guessed): distinct identities of each occurrence, and the paths that fell together."""
+    one = rows.groupBy("occurrence", "identity").agg(F.count(F.lit(1)).alias("n"), F.bool_or("guessed").alias("g"))
+    return one.groupBy("occurrence").agg(F.count(F.lit(1)).alias("identities"), F.sum("n").alias("raw"), (F.sum("n") - F.count(F.lit(1))).alias("collapsed"), F.bool_or("g").alias("any_guessed"))
+
+
+def health(findings: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """(code, severity, subject) of (code, severity, rows with a subject): one query of the grammar's tables for each code."""
+    parts = [df.select(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.col("subject").cast("string").alias("subject")) for c, s, df in findings]
+    return reduce(DataFrame.unionByName, parts)

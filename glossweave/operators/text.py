@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,3 +146,58 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataF
     right = dictionary.select(F.col("form").alias("suggestion"), F.explode(shrunk("form")).alias("key"))
     pairs = left.join(right, "key").select("form", "suggestion").distinct()
     return pairs.select("form", "suggestion", F.levenshtein("form", "suggestion", most).alias("distance")).where((F.col("distance") >= 0) & (F.col("form") != F.col("suggestion")))
+
+
+DUAL = "'\u2018\u2019-\u2010\u2011"  # characters that join words or end them
+
+
+def divisions(word: str, most: int = 16, tries: int = 64) -> tuple[list[list[tuple[int, int]]], bool]:
+    """Other divisions of a word at its dual characters, each kept with the left part or dropped; fewest changes first.
+
+    Returns at most ``most`` distinct ones and whether there are more, or too many candidates to tell.
+    """
+    at = [i for i, c in enumerate(word) if c in DUAL]
+    seen, out, budget = {((0, len(word)),)}, [], tries * (most + 1)
+    for n in range(1, len(at) + 1):
+        for picked in combinations(at, n):
+            for drops in product((False, True), repeat=n):
+                if budget == 0:
+                    return out, True
+                budget -= 1
+                edges, start = [], 0
+                for p, drop in zip(picked, drops, strict=True):
+                    edges.append((start, p if drop else p + 1))
+                    start = p + 1
+                parts = tuple(e for e in [*edges, (start, len(word))] if e[0] < e[1])
+                if parts and parts not in seen:
+                    if len(out) == most:
+                        return out, True
+                    seen.add(parts)
+                    out.append(list(parts))
+    return out, False
+
+
+def alternatives(words: DataFrame, word_col: str = "form", most: int = 16) -> DataFrame:
+    """(form, ix, parts, start, utf8_start, utf16_start, capped): divisions of each distinct form with the parts' offsets.
+
+    The search over divisions is per word, so it runs in Arrow batches.
+    """
+    distinct = words.select(F.col(word_col).alias("form")).where(F.col(word_col).rlike("[" + DUAL.replace("-", r"\-") + "]")).distinct()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for w in b.column(0).to_pylist():
+                found, capped = divisions(w, most)
+                for i, parts in enumerate(found):
+                    starts = [a for a, _ in parts]
+                    rows.append((w, i, [w[a:z] for a, z in parts], starts, [len(w[:a].encode()) for a in starts], [len(w[:a].encode("utf-16-le")) // 2 for a in starts], capped))
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, pa.bool_()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["form", "ix", "parts", "start", "utf8_start", "utf16_start", "capped"])
+
+    return distinct.mapInArrow(run, "form string, ix int, parts array<string>, start array<int>, utf8_start array<int>, utf16_start array<int>, capped boolean")
+
+
+def analysed_first(readings: DataFrame) -> DataFrame:
+    """(form, readings): a form's readings, those with an analysis first, otherwise as generated."""
+    return readings.groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("analysed")).alias("later"), "ix", "parts"))), lambda r: r["parts"]).alias("readings"))

@@ -7,3 +7,9 @@ from . import assess_queries, facts_queries, morph_queries, stats_queries, text_
 _PARTS = [stats_queries, text_queries, assess_queries, facts_queries, morph_queries]
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
+
+
+def describe(spark):
+    """(query, family, oracle) of every query: the surface that a client can ask for."""
+    rows = [(n, p.__name__.rsplit(".", 1)[-1].removesuffix("_queries"), n in p.SQL) for p in _PARTS for n in p.QUERIES]
+    return spark.createDataFrame(rows, "query string, family string, oracle boolean")

@@ -106,6 +106,9 @@ QUERIES = {
     "stored_without_parse": lambda s, d: X.stored_without_parse(A.outcome(s, d).where("baseline").select(F.col("case_id").alias("word"), "identity").distinct(), A.outcome(s, d).where(~F.col("baseline")).select(F.col("case_id").alias("word"), "identity"), A.outcome(s, d).where("value > 2").select(F.col("case_id").alias("word")).distinct()),
     "undeclared_segments": lambda s, d: X.undeclared(A.table(s, d, "documents"), A.table(s, d, "documents").where("lang = 'en'").select(F.explode(F.split("text", "")).alias("character")).distinct()),
     "evenly_spaced": lambda s, d: X.evenly(A.table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100),
+    "lineage_mapping": lambda s, d: X.lineage(A.table(s, d, "part").select(F.col("p_partkey").alias("source")), A.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("output")), A.table(s, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("role"), F.col("l_suppkey").alias("output")).distinct()),
+    "occurrence_identities": lambda s, d: X.occurrence_identities(A.outcome(s, d).select(F.col("case_id").alias("occurrence"), "identity", (F.col("value") < 5).alias("guessed"))),
+    "grammar_health": lambda s, d: X.health([("no_line", "warning", A.table(s, d, "part").join(A.table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("subject"))), ("negative_balance", "error", A.table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("subject"))), ("repeated_name", "information", A.table(s, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n > 100").select(F.col("p_name").alias("subject")))]),
     "ngram_counts": lambda s, d: cnt(s, d),
     "backoff_score": lambda s, d: N.scored(toks(s, d, False), cnt(s, d)).select("id", "ix", "word", F.round("score", 12).alias("score"), "known"),
     "predict_topk": lambda s, d: N.predicted(cnt(s, d)),
@@ -153,6 +156,9 @@ SQL = {
     "stored_without_parse": A.sql("SELECT DISTINCT case_id AS word, identity FROM outcome WHERE baseline AND case_id IN (SELECT case_id FROM outcome WHERE value > 2) EXCEPT SELECT case_id, identity FROM outcome WHERE NOT baseline", "outcome"),
     "undeclared_segments": "WITH c AS (SELECT lang, unnest(string_split(coalesce(text, ''), '')) AS character FROM documents) SELECT character, count(*) AS occurrences FROM c WHERE character <> '' AND character NOT IN (SELECT DISTINCT character FROM c WHERE lang = 'en') GROUP BY 1",
     "evenly_spaced": "SELECT o_orderkey FROM orders QUALIFY (row_number() OVER (ORDER BY o_orderkey) - 1) % 100 = 0",
+    "lineage_mapping": "WITH m AS (SELECT DISTINCT l_partkey, l_returnflag, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT p_partkey AS source, coalesce(l_returnflag, 'not_compiled') AS role, l_suppkey AS output FROM part LEFT JOIN m ON p_partkey = l_partkey",
+    "occurrence_identities": A.sql("!o AS (SELECT case_id, identity, count(*) AS n, bool_or(value < 5) AS g FROM outcome GROUP BY 1, 2) SELECT case_id AS occurrence, count(*) AS identities, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS collapsed, bool_or(g) AS any_guessed FROM o GROUP BY 1", "outcome"),
+    "grammar_health": "SELECT 'no_line' AS code, 'warning' AS severity, CAST(p_partkey AS VARCHAR) AS subject FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'negative_balance', 'error', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'repeated_name', 'information', p_name FROM part GROUP BY p_name HAVING count(*) > 100",
     "ngram_counts": f"{_CNT} SELECT * FROM cnt",
     "backoff_score": f"{_CNT}, {_SC} SELECT id, ix, word, round(score, 12) AS score, known FROM sc",
     "predict_topk": f"{_CNT}, {_TOP} SELECT * FROM pred",

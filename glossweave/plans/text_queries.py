@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import features as FS
+from ..functions import gloss as G
 from ..functions import strings as S
 from ..operators import text as T
 from . import adapters as A
@@ -58,6 +59,24 @@ def flat(m: F.Column) -> F.Column:
     return F.when(m.isNotNull(), F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ","))
 
 
+def environments() -> F.Column:
+    k = F.col("p_partkey") % 5
+    return F.when(k == 0, "/ # [C] _ a").when(k == 1, "/ _ (b) [V] #").when(k == 2, "a _ b").when(k == 3, "/ [C _ b").otherwise(F.concat(F.lit("/ "), F.element_at(F.split("p_name", " "), 1), F.lit(" _")))
+
+
+def glosses() -> F.Column:
+    return pick(["PL", "poss.1sg", "gen-3pl", "loc", "caus", "SG:abl", "All", "1sg"])
+
+
+def pick(values: list[str], by: int = 1) -> F.Column:
+    return F.get(F.array(*map(F.lit, values)), F.floor(F.col("p_partkey") / by).cast("int") % len(values))
+
+
+def joined_words(s: SparkSession, d: str) -> DataFrame:
+    p = F.split("p_name", " ")
+    return A.table(s, d, "part").select(F.concat(F.element_at(p, 1), F.lit("-"), F.element_at(p, -1), F.when(F.col("p_partkey") % 2 == 0, "\u2019s").otherwise("")).alias("form"))
+
+
 ID = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 QUERIES = {
@@ -75,13 +94,21 @@ QUERIES = {
     "edit_distance": lambda s, d: brands(s, d)[0].join(F.broadcast(brands(s, d)[1].withColumnRenamed("form", "other")), F.substr("form", F.lit(1), F.lit(2)) == F.substr("other", F.lit(1), F.lit(2))).select("form", "other", F.levenshtein("form", "other").cast("long").alias("distance")),
     "spelling_suggestions": lambda s, d: T.suggestions(*brands(s, d)).select("form", "suggestion", F.col("distance").cast("long").alias("distance")),
     "suggestion_class": lambda s, d: T.suggestions(*brands(s, d)).select("form", "suggestion", S.suggestion_method(F.col("form"), F.col("suggestion"), F.length("form") == 2, 1).alias("method")),
-    "leipzig_gloss": lambda s, d: A.table(s, d, "part").select("p_partkey", S.leipzig(F.array(F.when(F.col("p_size") % 3 > 0, F.lower("p_brand")), F.element_at(F.split("p_name", " "), 1), F.lit("PL")), F.col("p_size") % 4).alias("gloss")),
+    "leipzig_gloss": lambda s, d: A.table(s, d, "part").select("p_partkey", S.leipzig(F.array(F.when(F.col("p_size") % 3 > 0, F.lower("p_brand")), F.element_at(F.split("p_name", " "), 1), F.lit("PL")), F.col("p_size") % 2, F.col("p_size") % 5 > 1, F.col("p_name")).alias("gloss")),
     "result_signature": lambda s, d: A.table(s, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l")).select("user_id", S.signature(F.col("l")).alias("signature")),
     "percent_change": lambda s, d: A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.percent_change(F.col("l_tax"), F.col("l_discount")), 6).alias("change")),
     "feature_key": lambda s, d: lanes(s, d).select(*ID, S.feature_key(F.lit("noun"), F.transform_values("m1", lambda k, v: v.cast("string"))).alias("key")),
     "environment_key": lambda s, d: A.table(s, d, "part").select("p_partkey", S.environment_key(F.array(F.concat_ws("|", F.split("p_name", " ")), F.col("p_brand"))).alias("key")),
     "canonical_guid": lambda s, d: A.table(s, d, "part").select("p_partkey", S.guid(F.concat(F.col("p_brand"), F.lit(":"), F.upper(F.concat_ws("-", *[F.substr(F.md5("p_name"), F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])))).alias("key")),
     "lexical_date": lambda s, d: A.table(s, d, "orders").select("o_orderkey", S.lexical_date(F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("none")).isNotNull().alias("valid")),
+    "nfd_words": lambda s, d: T.occurrences(A.table(s, d, "documents"), "doc_id").select("form").distinct().select("form", F.length(S.nfd(F.col("form"))).cast("long").alias("letters")),
+    "environment_tokens": lambda s, d: A.table(s, d, "part").select("p_partkey", S.environment(environments()).alias("e")).select("p_partkey", F.array_join("e.left", " ").alias("left"), F.array_join("e.right", " ").alias("right"), "e.ok"),
+    "gloss_features": lambda s, d: A.table(s, d, "part").select("p_partkey", G.inferred(glosses()).alias("feature")),
+    "realized_phrases": lambda s, d: A.table(s, d, "part").select("p_partkey", G.realized(F.col("p_name"), pick(["None", "Loc", "Abl", "All"]), pick(list(G.POSSESSORS), 3), pick(["Unspec", "Sg", "Pl"], 7), F.col("p_size") == 9).alias("phrase")),
+    "gloss_signatures": lambda s, d: A.table(s, d, "part").groupBy("p_brand").agg(F.collect_list(G.gloss_signature(F.array(F.when(F.col("p_size") > 9, F.col("p_type")), F.lit("PL")), F.array(F.col("p_partkey").cast("string"), F.lit("-s")), F.col("p_name"))).alias("l")).select("p_brand", F.sha2(S.signature(F.col("l")), 256).alias("signature")),
+    "segmentation_alternatives": lambda s, d: T.alternatives(joined_words(s, d)).select("form", "ix", F.array_join("parts", "|").alias("parts"), F.array_join(F.col("utf8_start").cast("array<string>"), ",").alias("starts"), "capped"),
+    "readings_analysed_first": lambda s, d: T.analysed_first(T.alternatives(joined_words(s, d)).withColumn("analysed", F.size("parts") > 2)).select("form", F.size("readings").alias("n"), F.array_join(F.get("readings", F.lit(0)), "|").alias("first")),
+    "incident_outcomes": lambda s, d: A.table(s, d, "lineitem").groupBy(T.outcome_of(F.col("l_returnflag") == "A", F.col("l_tax") > 0.07, F.col("l_discount") > 0.08, F.col("l_linenumber") == 1, F.col("l_linestatus") == "O").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
     "bit_unify": lambda s, d: lanes(s, d).select(*ID, F.array_join(B.unify(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("lanes"), B.unifiable(F.col("a"), F.col("b")).alias("unifiable")),
     "bit_subsumes": lambda s, d: lanes(s, d).select(*ID, B.subsumes(F.col("b"), F.col("a")).alias("subsumes"), B.superset(F.col("x"), F.col("y")).alias("superset"), B.overlaps(F.col("x"), F.col("y"), negate_b=True, mask=63).alias("overlaps")),
     "bit_algebra": lambda s, d: lanes(s, d).select(*ID, F.col("x").bitwiseAND(F.col("y")).alias("both"), F.col("x").bitwiseOR(F.col("y")).alias("either"), B.except_(F.col("x"), F.col("y")).alias("less"), B.complement(F.col("x"), 63).alias("rest")),
@@ -123,13 +150,18 @@ SELECT *, dictionary + shared + ngram AS any_evidence, dictionary + ngram AS dec
     "edit_distance": f"WITH {_PAIR} SELECT form, other, levenshtein(form, other) AS distance FROM a JOIN b ON substring(form, 1, 2) = substring(other, 1, 2)",
     "spelling_suggestions": f"WITH {_PAIR} SELECT form, other AS suggestion, levenshtein(form, other) AS distance FROM a, b WHERE form <> other AND levenshtein(form, other) <= 2",
     "suggestion_class": f"WITH {_PAIR} SELECT form, other AS suggestion, CASE WHEN length(form) = 2 THEN 'hunspell_rule' WHEN levenshtein(form, other) <= 1 THEN 'edit_distance' ELSE 'ngram_fallback' END AS method FROM a, b WHERE form <> other AND levenshtein(form, other) <= 2",
-    "leipzig_gloss": "WITH g AS (SELECT p_partkey, p_size % 4 AS root, [CASE WHEN p_size % 3 > 0 THEN lower(p_brand) END, string_split(p_name, ' ')[1], 'PL'] AS l FROM part) SELECT p_partkey, array_to_string(list_transform(l, lambda g, i: CASE WHEN g IS NULL THEN '[?]' WHEN i - 1 = root THEN '*' || g || '*' ELSE g END), '-') AS gloss FROM g",
+    "leipzig_gloss": "WITH g AS (SELECT p_partkey, p_name, p_size % 2 AS root, p_size % 5 > 1 AS guessed, [CASE WHEN p_size % 3 > 0 THEN lower(p_brand) END, string_split(p_name, ' ')[1], 'PL'] AS l FROM part) SELECT p_partkey, array_to_string(list_transform(l, lambda g, i: CASE WHEN g IS NOT NULL THEN g WHEN guessed AND i - 1 = root THEN '*' || p_name || '*' ELSE '[?]' END), '-') AS gloss FROM g",
     "result_signature": "SELECT user_id, string_agg(event_type, ';' ORDER BY event_type) AS signature FROM events GROUP BY user_id",
     "percent_change": "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax = 0 THEN 0.0 ELSE 100.0 * (l_discount / l_tax - 1) END, 6) AS change FROM lineitem",
     "feature_key": "SELECT l_orderkey, l_linenumber, l_partkey, 'noun|case=' || (l_suppkey % 15 + 1) || ',number=' || (l_partkey % 7 + 1) AS key FROM lineitem",
     "environment_key": "SELECT p_partkey, sha256(array_to_string(list_sort(string_split(p_name, ' ')), '|') || ' ' || p_brand) AS key FROM part",
     "canonical_guid": "SELECT p_partkey, p_brand || ':' || substring(md5(p_name), 1, 8) || '-' || substring(md5(p_name), 9, 4) || '-' || substring(md5(p_name), 13, 4) || '-' || substring(md5(p_name), 17, 4) || '-' || substring(md5(p_name), 21, 12) AS key FROM part",
     "lexical_date": "SELECT o_orderkey, o_orderkey % 3 > 0 AS valid FROM orders",
+    "environment_tokens": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '# [C]' WHEN 1 THEN '' WHEN 2 THEN 'a' WHEN 3 THEN 'C' ELSE string_split(p_name, ' ')[1] END AS left, CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN '(b) [V] #' WHEN 2 THEN 'b' WHEN 3 THEN 'b' ELSE '' END AS right, p_partkey % 5 NOT IN (2, 3) AS ok FROM part",
+    "gloss_features": "SELECT p_partkey, ['num=Pl', 'poss=P1Sg', 'poss=P3Pl', 'case=Loc', NULL, 'num=Sg', 'case=All', NULL][p_partkey % 8 + 1] AS feature FROM part",
+    "incident_outcomes": "SELECT CASE WHEN l_returnflag = 'A' THEN 'valid' WHEN l_tax > 0.07 THEN 'unattempted' WHEN l_discount > 0.08 THEN 'incomplete' WHEN l_linenumber = 1 THEN 'misspelled' WHEN l_linestatus = 'O' THEN 'incomplete' ELSE 'no_analysis' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1",
+    "realized_phrases": """WITH p AS (SELECT p_partkey, p_name, p_size, ['', 'in', 'from', 'to'][p_partkey % 4 + 1] AS prep, ['', 'my', 'our', 'your', 'your', 'your', 'his', 'her', 'their'][(p_partkey // 3) % 9 + 1] AS own, (p_partkey // 7) % 3 AS num FROM part)
+SELECT p_partkey, array_to_string(list_filter([prep, CASE WHEN own = '' AND num = 1 THEN 'a' ELSE own END, CASE WHEN p_size = 9 THEN '*' || p_name || '*' WHEN num = 2 THEN CASE WHEN regexp_matches(p_name, '(s|x|z|ch|sh)$') THEN p_name || 'es' WHEN regexp_matches(p_name, '[^aeiou]y$') THEN substring(p_name, 1, length(p_name) - 1) || 'ies' ELSE p_name || 's' END ELSE p_name END], lambda x: x <> ''), ' ') AS phrase FROM p""",
     "bit_unify": f"{_LANES} CASE WHEN {_UNI} THEN (a0 & b0) || ',' || (a1 & b1) || ',' || b2 END AS lanes, {_UNI} AS unifiable FROM lanes",
     "bit_subsumes": f"{_LANES} ((a0 & ~b0) = 0 AND (a1 & ~b1) = 0 AND (CAST(-1 AS BIGINT) & ~b2) = 0) AS subsumes, (y & ~x) = 0 AS superset, (x & ~y & 63) <> 0 AS overlaps FROM lanes",
     "bit_algebra": f"{_LANES} x & y AS both, x | y AS either, x & ~y AS less, ~x & 63 AS rest FROM lanes",
