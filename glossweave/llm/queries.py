@@ -130,7 +130,28 @@ SELECT d.doc_id, count(b.doc_id) AS n_licenses, coalesce(string_agg(b.license, '
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
 
 
+def _secrets_sql() -> str:
+    from .secret_scan import BASE, KINDS
+
+    quoted = lambda x: "'" + x.replace("'", "''").replace("{32,}+", "{32,}").replace("{16,}+", "{16,}") + "'"
+    each = []
+    for i, (_, pattern, group, least, needs) in enumerate(KINDS):
+        p, good = quoted(pattern), "".join(f" AND regexp_matches(v, {quoted(n)})" for n in needs)
+        lists = f"SELECT r, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, regexp_split_to_array(t, {p}) AS ss FROM d WHERE regexp_matches(t, {p})"
+        flat = f"SELECT r, ms, ss, unnest(ms) AS m, unnest(vs) AS v, generate_subscripts(ms, 1) AS i FROM ({lists})"
+        each.append(f"SELECT r, {i} AS kind, CAST(list_sum(list_transform(ss[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b, length(m) AS n, sha256(v) AS h FROM ({flat}) WHERE length(v) >= {least}{good}")
+    names = "[" + ", ".join(f"'{k[0]}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+spans AS ({' UNION ALL '.join(each)}),
+own AS (SELECT h, count(DISTINCT owner) <= 2 AS live FROM spans JOIN d USING (r) GROUP BY h),
+s AS (SELECT r, kind, b, {names}[kind + 1] || ':' || b || ':' || (b + n) AS shown, live FROM spans JOIN own USING (h) WHERE kind < {BASE} OR live),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS x, string_agg(shown, ',' ORDER BY b, kind) FILTER (WHERE kind < {BASE}) AS base, string_agg(shown, ',' ORDER BY b, kind) AS every, count(*) FILTER (WHERE live) AS live, count(*) FILTER (WHERE NOT live) AS copied FROM s GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied FROM d LEFT JOIN g USING (r)"""
+
+
 SQL: dict[str, str] = {
+    "op4_secrets": _secrets_sql(),
     "op2_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -144,5 +165,25 @@ f AS (SELECT digest, min(page_id) AS first FROM p WHERE bytes >= 100 GROUP BY di
 SELECT p.page_id, p.bytes AS payload_bytes, p.digest AS payload_digest, CASE WHEN f.first IS NOT NULL AND f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f ON p.digest = f.digest""",
+    "op6_quality": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+tok AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+tri AS (SELECT r, i, a || ' ' || lead(a, 1) OVER p || ' ' || lead(a, 2) OVER p AS g FROM tok WINDOW p AS (PARTITION BY r ORDER BY i)),
+dup AS (SELECT r, i FROM tri WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM dup) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(regexp_extract_all(t, '\p{Lu}')) AS BIGINT) AS n_shouted, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r),
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(least(CAST(n_symbols AS DOUBLE) / nullif(n_words, 0), 1), 0) AS f1, coalesce(least(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 1), 0) AS f2,
+  coalesce(least(CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0), 1), 0) AS f3, coalesce(least(CAST(n_shouted AS DOUBLE) / nullif(word_chars, 0), 1), 0) AS f4 FROM m),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) > 0),
+h AS (SELECT lang, unnest([f1, f2, f3, f4]) AS f, unnest([1, 2, 3, 4]) AS rule FROM x JOIN good USING (doc_id) WHERE NOT base_failed),
+steps AS (SELECT lang, rule, least(ceil(f * 50), 50) AS step, count(*) AS n FROM h GROUP BY ALL),
+cuts AS (SELECT lang, rule, cut, sum(n) AS n, coalesce(sum(n) FILTER (WHERE step > cut), 0) AS k FROM steps, (SELECT unnest(generate_series(0, 49)) AS cut) GROUP BY lang, rule, cut),
+tested AS (SELECT *, list_sum(list_transform(generate_series(0, CAST(k AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS tail FROM cuts WHERE k < n * 0.01),
+best AS (SELECT lang, rule, min(cut) / CAST(50 AS DOUBLE) AS cutoff FROM tested WHERE tail <= 0.05 / (200 * (SELECT count(DISTINCT coalesce(lang, '')) FROM steps)) GROUP BY lang, rule),
+c AS (SELECT lang, max(cutoff) FILTER (WHERE rule = 1) AS c1, max(cutoff) FILTER (WHERE rule = 2) AS c2, max(cutoff) FILTER (WHERE rule = 3) AS c3, max(cutoff) FILTER (WHERE rule = 4) AS c4 FROM best GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(f1 > c1, false) OR coalesce(f2 > c2, false) OR coalesce(f3 > c3, false) OR coalesce(f4 > c4, false)) AS kept
+FROM x LEFT JOIN c ON x.lang IS NOT DISTINCT FROM c.lang""",
     "op10_licenses": _license_sql(),
 }
