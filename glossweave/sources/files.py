@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 BATCH = ["idx", "word", "elapsed_ms", "status", "signature"]
 STATUSES = ("ok", "CAP", "MEMCAP", "TIMEOUT", "SKIPPED")
 TOKEN = "surface string, doc_id string, sentence_id string, position int, is_sentence_start boolean, is_sentence_end boolean, is_punct boolean, analyses array<struct<pos:string,features:map<string,string>,morphemes:array<string>,stem:string,score:double,guessed:boolean>>"
-SNAPSHOT = ("pangloss-project", 1)
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -86,13 +85,13 @@ def profile(xml: str) -> set[str]:
     return out
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, schema: StructType | str, name: str = "project", version: int = 1) -> DataFrame:
     """Project documents with ``snapshot_sha256``, a digest of the text; an unknown format or version is an error."""
     raw = spark.read.option("wholetext", True).text(path)
     head = F.from_json("value", "format string, version int")
-    checked = F.when((head["format"] == SNAPSHOT[0]) & (head["version"] == SNAPSHOT[1]), F.from_json("value", schema)).otherwise(F.raise_error(F.lit("unknown snapshot format or version")))
+    checked = F.when((head["format"] == name) & (head["version"] == version), F.from_json("value", schema)).otherwise(F.raise_error(F.lit("unknown snapshot format or version")))
     return raw.select(checked.alias("s"), F.sha2("value", 256).alias("snapshot_sha256")).select("s.*", "snapshot_sha256")
 
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    rows.select(F.to_json(F.struct(F.lit(SNAPSHOT[0]).alias("format"), F.lit(SNAPSHOT[1]).alias("version"), *rows.columns)).alias("value")).write.text(path)
+def write_snapshot(rows: DataFrame, path: str, name: str = "project", version: int = 1) -> None:
+    rows.select(F.to_json(F.struct(F.lit(name).alias("format"), F.lit(version).alias("version"), *rows.columns)).alias("value")).write.text(path)

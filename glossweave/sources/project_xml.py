@@ -69,8 +69,8 @@ def snapshot(rows: DataFrame) -> DataFrame:
     return out.join(t, F.col("guid") == t["src_guid"], "left").drop("src_guid")
 
 
-def backup(spark: SparkSession, path: str, out: str) -> None:
-    """Unpack the project files of zip backups into text files below ``out``, whole records on a line."""
+def backup(spark: SparkSession, path: str, out: str, suffix: str = ".xml") -> None:
+    """Unpack the project files (by their ``suffix``) of zip backups into text files below ``out``, whole records on a line."""
     import io
     import zipfile
 
@@ -81,7 +81,7 @@ def backup(spark: SparkSession, path: str, out: str) -> None:
             for data in b.column(0):
                 with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
                     for n in z.namelist():
-                        if n.endswith(".fwdata"):
+                        if n.endswith(suffix):
                             text = z.read(n).decode("utf-8").replace("\n", " ")
                             yield pa.record_batch([pa.array([x + "</rt>" for x in text.split("</rt>")[:-1]])], names=["value"])
 

@@ -19,8 +19,8 @@ XML = """<?xml version="1.0"?><languageproject version="1">
 
 
 def test_project_xml(spark, tmp_path):
-    (tmp_path / "p.fwdata").write_text(XML)
-    rows = project_xml.records(spark, str(tmp_path / "p.fwdata"))
+    (tmp_path / "p.xml").write_text(XML)
+    rows = project_xml.records(spark, str(tmp_path / "p.xml"))
     assert {(r["class"], r.owner_guid is None) for r in rows.collect()} == {("LexEntry", True), ("LexSense", False)}
     e = project_xml.edges(rows).orderBy("ordinal").collect()
     assert [(r.field, r.ordinal, r.dst_guid[-1], r.t) for r in e] == [("Senses", 0, "2", "o"), ("Senses", 1, "9", "r")]
@@ -31,9 +31,9 @@ def test_project_xml(spark, tmp_path):
 
 
 def test_backup(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "b.fwbackup", "w") as z:
-        z.writestr("x/p.fwdata", XML)
-    project_xml.backup(spark, str(tmp_path / "b.fwbackup"), str(tmp_path / "out"))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("x/p.xml", XML)
+    project_xml.backup(spark, str(tmp_path / "b.zip"), str(tmp_path / "out"))
     assert project_xml.records(spark, str(tmp_path / "out")).count() == 2
 
 
