@@ -105,7 +105,7 @@ def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.nd
             yield s, packed([x[mine] for x in (*cols, *values)])
 
 
-def rows_of(pairs, kind: str = "") -> pa.RecordBatch:
+def rows_of(pairs) -> pa.RecordBatch:
     pairs = list(pairs)
     return pa.record_batch([pa.array([s for s, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["shard", "blob"])
 
@@ -222,8 +222,7 @@ class Model:
         n = np.array([len(t) + 1 for t in texts])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
         word, back = np.unique(s[at], return_inverse=True)
-        _, (count,) = self.vocabulary_counts(word)
-        count = count[back]
+        count = self.counts(word)[back]
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
         p = np.full(len(at), 1 / (self.types + 1))
         for k in range(1, self.order + 1):
@@ -242,8 +241,8 @@ class Model:
             p = np.where(np.equal(total, 0), p, (own + rest * p) / np.maximum(total, 1))
         return n, np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)
 
-    def vocabulary_counts(self, numbers: np.ndarray):
-        """Counts by number: the arrays by place."""
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """The words' counts in training; zero for unseen ones."""
         starts = self.vocabulary.starts
         out = np.zeros(len(numbers), np.int64)
         shard = np.searchsorted(starts, numbers, "right") - 1
@@ -251,7 +250,7 @@ class Model:
             if s < len(self.vocabulary.sizes):
                 mine = shard == s
                 out[mine] = self.vocabulary.shard(int(s))[1][(numbers[mine] - U8(starts[s])).astype(np.int64)]
-        return None, (out,)
+        return out
 
 
 def distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:

@@ -20,7 +20,6 @@ a row, and is a class's id only if the class has no other.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
