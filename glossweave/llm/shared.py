@@ -43,10 +43,15 @@ def bounded(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def lean() -> None:
-    """In a worker: let Arrow give freed memory back, as workers live on between tasks."""
+    """In a worker: give freed memory back, as workers live on between tasks."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
