@@ -51,3 +51,11 @@ def subtract(a: Column, b: Column) -> Column:
 
 def without(a: Column, keys: Column) -> Column:
     return F.map_filter(a, lambda k, v: ~F.array_contains(keys, k))
+
+
+def stem_name(regions: Column, unshared: Column, features: Column) -> Column:
+    """'required' if no region of the allomorph's own stem name subsumes the features, 'excluded' if a region that only
+    another stem name has does; null if the allomorph may stand. Without regions nothing is required."""
+    own = F.exists(regions, lambda r: subsumes(r, features))
+    other = F.exists(unshared, lambda r: subsumes(r, features))
+    return F.when((F.size(regions) > 0) & ~own, "required").when(other, "excluded")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,28 @@ def corrupted(words: DataFrame, word_col: str = "word") -> DataFrame:
     a, x, y, z = F.substr(w, F.lit(1), at - 1), F.substr(w, at, F.lit(1)), F.substr(w, at + 1, F.lit(1)), F.substr(w, at + 2, F.length(w))
     kind = F.floor(h / 64) % 3
     return words.withColumn("corrupted", F.when(kind == 0, F.concat(a, y, x, z)).when((kind == 1) & (F.length(w) > 1), F.concat(a, y, z)).otherwise(F.concat(a, x, x, y, z)))
+
+
+def uniform(*keys, salt: int) -> F.Column:
+    """A number in [0, 1) from the hash of the keys: the same on any partitioning."""
+    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def synthetic(spark, sentences: int, vocabulary: int = 1000, classes: int = 4, most: int = 12, affix_rate: float = 0.7, seed: int = 0) -> DataFrame:
+    """(sentence_id, position, class, root, affixes, surface): a corpus of invented words.
+
+    Roots follow a Zipf law by inverse of its continuous form, numbers of affixes a Poisson law by inverse of its
+    cumulative sums, and the class of a word depends on that of the word before it by a fixed preference for the next
+    class. Every row is a function of its place and the seed, so it can be made anywhere and again.
+    """
+    length = 1 + F.floor(uniform("sentence_id", salt=seed) * most).cast("int")
+    rows = spark.range(sentences).withColumnRenamed("id", "sentence_id").select("sentence_id", F.explode(F.sequence(F.lit(0), length - 1)).alias("position"))
+    key = ("sentence_id", "position")
+    moved = F.aggregate(F.sequence(F.lit(0), F.col("position")), F.lit(0), lambda a, j: (a + F.when(F.pmod(F.xxhash64("sentence_id", j, F.lit(seed + 1)), F.lit(10)) < 6, 1).otherwise(0)) % classes)
+    rank = F.floor(F.exp(uniform(*key, salt=seed + 2) * F.log(F.lit(float(vocabulary + 1))))).cast("int")
+    u, cumulative, affixes = uniform(*key, salt=seed + 3), 0.0, F.lit(0)
+    for k in range(6):
+        cumulative += exp(-affix_rate) * affix_rate**k / factorial(k)
+        affixes = affixes + F.when(u >= cumulative, 1).otherwise(0)
+    rows = rows.select(*key, moved.alias("class"), rank.alias("root"), affixes.alias("affixes"))
+    return rows.withColumn("surface", F.concat(F.lit("r"), F.col("root").cast("string"), F.repeat(F.concat(F.lit("-c"), F.col("class").cast("string")), F.col("affixes"))))

@@ -116,6 +116,7 @@ QUERIES = {
     "perplexity": lambda s, d: N.perplexity(N.scored(toks(s, d, False), cnt(s, d)), N.mass(cnt(s, d)), cnt(s, d)).select("words", F.round("perplexity", 3).alias("perplexity")),
     "keystroke_savings": lambda s, d: N.keystrokes(toks(s, d, False), cnt(s, d)),
     "sentence_split": lambda s, d: N.split(A.table(s, d, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n")),
+    "synthetic_corpus": lambda s, d: N.synthetic(s, 500),
     "corrupted_words": lambda s, d: N.corrupted(cnt(s, d).where("n = 1").select("word")),
 }
 

@@ -115,6 +115,7 @@ QUERIES = {
     "mpr_gate": lambda s, d: lanes(s, d).select(*ID, B.gate(F.col("has"), F.col("req"), F.col("exc")).alias("failed")),
     "fs_unify": lambda s, d: lanes(s, d).select(*ID, flat(FS.unify(F.col("m1"), F.col("m2"))).alias("unified"), flat(FS.unify_priority(F.col("m1"), F.col("m2"))).alias("priority")),
     "fs_subsumes": lambda s, d: lanes(s, d).select(*ID, FS.subsumes(FS.union(F.col("m1"), F.col("m2")), F.col("m2")).alias("general"), FS.subsumes(F.col("m1"), F.col("m2")).alias("direct")),
+    "stem_names": lambda s, d: lanes(s, d).select(*ID, FS.stem_name(F.array(F.create_map(F.lit("number"), F.lit(3).cast("long"))), F.array(F.create_map(F.lit("case"), F.lit(7).cast("long"))), F.col("m1")).alias("failed")),
     "fs_algebra": lambda s, d: lanes(s, d).select(*ID, flat(FS.union(F.col("m1"), F.col("m2"))).alias("either"), flat(FS.add(F.col("m1"), F.col("m2"), F.create_map(F.lit("case"), F.lit(15).cast("long")))).alias("wide"), flat(FS.subtract(F.col("m1"), F.col("m2"))).alias("less"), flat(FS.without(F.col("m1"), F.array(F.lit("case")))).alias("bare")),
 }
 
@@ -168,5 +169,6 @@ SELECT p_partkey, array_to_string(list_filter([prep, CASE WHEN own = '' AND num
     "mpr_gate": f"{_LANES} CASE WHEN NOT list_has_any(has, req) THEN 'required' WHEN list_has_any(has, exc) THEN 'excluded' END AS failed FROM lanes",
     "fs_unify": f"{_LANES} CASE WHEN (case1 & case2) <> 0 THEN 'case=' || (case1 & case2) || ',number=' || number || ',person=' || person END AS unified, CASE WHEN (case1 & case2) <> 0 THEN 'case=' || case2 || ',number=' || number || ',person=' || person END AS priority FROM lanes",
     "fs_subsumes": f"{_LANES} true AS general, false AS direct FROM lanes",
+    "stem_names": f"{_LANES} CASE WHEN (number & ~CAST(3 AS BIGINT)) <> 0 THEN 'required' WHEN (case1 & ~CAST(7 AS BIGINT)) = 0 THEN 'excluded' END AS failed FROM lanes",
     "fs_algebra": f"{_LANES} 'case=' || (case1 | case2) AS either, CASE WHEN (case1 | case2) = 15 THEN '' ELSE 'case=' || (case1 | case2) || ',' END || 'number=' || number || ',person=' || person AS wide, CASE WHEN (case1 & ~case2) = 0 THEN '' ELSE 'case=' || (case1 & ~case2) || ',' END || 'number=' || number AS less, 'number=' || number AS bare FROM lanes",
 }

@@ -130,3 +130,11 @@ def test_closure_of_a_chain(spark):
 
 def test_profile_is_word_forming():
     assert files.profile("<l><exemplarCharacters type='auxiliary'>[q]</exemplarCharacters></l>") == set()
+
+
+def test_synthetic_corpus_does_not_depend_on_partitions(spark):
+    a = ngrams.synthetic(spark, 300, seed=3)
+    b = ngrams.synthetic(spark, 300, seed=3).repartition(5)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    top = a.groupBy("root").count().orderBy(F.desc("count")).first()
+    assert top.root == 1 and {r["class"] for r in a.select("class").distinct().collect()} == {0, 1, 2, 3}
