@@ -563,3 +563,70 @@ def segment_words(words: DataFrame, segments: list[str], word_col: str = "word")
 
     distinct = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct()
     return distinct.mapInArrow(run, "word string, segments array<string>, error_at int")
+
+
+def confirmed(candidates: DataFrame, grammar: Grammar, most: int = 100_000) -> DataFrame:
+    """(word, roots, affixes, confirmed, work): whether exactly these morphemes derive the word. A candidate that is not
+    of the grammar, or runs out of steps, is not confirmed."""
+    sent = candidates.sparkSession.sparkContext.broadcast(grammar)
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.int64()]
+
+    def run(batches):
+        engine = Engine(sent.value)
+        for b in batches:
+            rows = []
+            for word, roots, affixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                work, ok = Work(most), False
+                if roots and all(r in engine.root for r in roots) and all(a in engine.affix for a in affixes or []):
+                    try:
+                        shape = segment(word, grammar.segments, grammar.boundaries)
+                        ok = any(s == shape for s, _ in engine.derive(tuple(engine.root[r] for r in roots), tuple(engine.affix[a] for a in affixes or []), work))
+                    except (Budget, SegmentError):
+                        pass
+                rows.append((word, roots, affixes, ok, work.used))
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "roots", "affixes", "confirmed", "work"])
+
+    return candidates.where("word IS NOT NULL").select("word", "roots", "affixes").mapInArrow(run, "word string, roots array<string>, affixes array<string>, confirmed boolean, work long")
+
+
+def proposed(words: DataFrame, grammar: Grammar, word_col: str = "word", depth: int = 2) -> DataFrame:
+    """(word, roots, affixes): candidates by joins, for affixes that only add before or after. Every split of a word in
+    three meets the roots on its middle, and the strings that up to ``depth`` affixes make on its sides.
+
+    A word that phonological rules changed may have no candidate; ``confirmed`` drops what does not derive.
+    """
+    from itertools import product as cross
+
+    spark = words.sparkSession
+    roots = spark.createDataFrame([("".join(s), r.name) for r in grammar.roots for s in r.shapes], "middle string, root string")
+    plain = [a for a in grammar.affixes if not (a.infix or a.copies or a.cuts)]
+    sides = [("".join(x for a in reversed(p) for x in a.prefix), "".join(x for a in p for x in a.suffix), [a.name for a in p]) for n in range(depth + 1) for p in cross(plain, repeat=n)]
+    sides = spark.createDataFrame(sides, "before string, after string, affixes array<string>")
+    w = F.col("word")
+    cut = words.select(F.col(word_col).alias("word")).where("word <> ''").distinct().select("word", F.explode(F.sequence(F.lit(0), F.length(w) - 1)).alias("i"))
+    cut = cut.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.length(w))).alias("j"))
+    cut = cut.select("word", F.substr(w, F.lit(1), F.col("i")).alias("before"), F.substr(w, F.col("i") + 1, F.col("j") - F.col("i")).alias("middle"), F.substr(w, F.col("j") + 1, F.length(w)).alias("after"))
+    return cut.join(roots, "middle").join(sides, ["before", "after"]).select("word", F.array("root").alias("roots"), "affixes").distinct()
+
+
+def phonology_steps(shapes: DataFrame, grammar: Grammar, word_col: str = "word") -> DataFrame:
+    """(word, ix, rule, output, changed): the ordered phonological rules on explicit forms, one row for each rule."""
+    sent = shapes.sparkSession.sparkContext.broadcast(grammar)
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+
+    def run(batches):
+        g = sent.value
+        for b in batches:
+            rows = []
+            for w in b.column(0).to_pylist():
+                try:
+                    shape = segment(w, g.segments, g.boundaries)
+                except SegmentError:
+                    continue
+                for i, rule in enumerate(g.phonology):
+                    new = rule.apply(shape)
+                    rows.append((w, i, rule.name, "".join(new), new != shape))
+                    shape = new
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "ix", "rule", "output", "changed"])
+
+    return shapes.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct().mapInArrow(run, "word string, ix int, rule string, output string, changed boolean")

@@ -57,6 +57,8 @@ QUERIES = {
     "generate_words": lambda s, d: M.generate_words(A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("roots"), F.array(F.lit("PL")).alias("affixes")), grammar()),
     "trace_events": lambda s, d: M.trace_events(words(s, d), grammar()).groupBy("type").agg(F.count(F.lit(1)).alias("events")),
     "segment_longest": lambda s, d: M.segment_words(A.table(s, d, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word")), ["th", "ng", "ll", *LETTERS]).select("word", F.array_join("segments", " ").alias("segments"), "error_at"),
+    "proposed_and_confirmed": lambda s, d: M.confirmed(M.proposed(words(s, d), grammar()), grammar()).select("word", F.array_join(F.concat("roots", "affixes"), "+").alias("morphemes"), "confirmed"),
+    "phonology_steps": lambda s, d: M.phonology_steps(words(s, d).select(F.concat("word", F.lit("s")).alias("word")), grammar()),
     "stream_upsert": stream,
 }
 

@@ -102,3 +102,21 @@ def test_trace_is_a_tree(spark):
     t = M.trace_events(spark.createDataFrame([("rings",)], "word string"), grammar())
     assert t.where("parent_id IS NULL").count() == 1 and t.where(F.col("parent_id") >= F.col("node_id")).count() == 0
     assert t.where("type = 'successful'").count() == 1
+
+
+def test_proposed_then_confirmed_is_what_the_parser_finds(spark):
+    g = M.Grammar(frozenset("abcd"), (M.Root("r", (S("ab"),), "V"), M.Root("q", (S("b"),), "V")), (M.Affix("P", prefix=S("a")), M.Affix("Q", suffix=S("c"))))
+    words = ["ab", "aab", "abc", "aabc", "ac", "b", ""]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {}
+    for r in M.confirmed(M.proposed(df, g), g).where("confirmed").collect():
+        got.setdefault(r.word, set()).add("+".join([*r.roots, *r.affixes]))
+    e = M.Engine(g)
+    for w in words:
+        want = {x.split("|")[0] for x in e.parse(w).signature.split(";") if "|" in x and x.count("+") <= 2}
+        assert got.get(w, set()) == want
+
+
+def test_phonology_steps(spark):
+    rows = M.phonology_steps(spark.createDataFrame([("boxs",), ("ring",), ("?",)], "word string"), grammar()).collect()
+    assert {(r.word, r.output, r.changed) for r in rows} == {("boxs", "boxes", True), ("ring", "ring", False)}
