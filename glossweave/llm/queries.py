@@ -123,8 +123,8 @@ parts AS (
   UNION ALL
   SELECT doc_id, 1, ix, passage FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')) AS passage, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n'), 1) AS ix FROM documents) WHERE contains(passage, chr(10))),
 words AS (SELECT doc_id, kind, ix, list_filter(regexp_split_to_array(lower(passage), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM parts),
-sets AS (SELECT doc_id, kind, ix, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1 AND len(w) < 200),
-scored AS (SELECT doc_id, kind, ix, license, template, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice FROM sets, templates),
+sets AS (SELECT doc_id, kind, ix, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+scored AS (SELECT doc_id, kind, ix, license, template, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice FROM sets, templates WHERE len(b) <= 100),
 best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, kind, ix ORDER BY dice DESC, template) = 1)
 SELECT d.doc_id, count(b.doc_id) AS n_licenses, coalesce(string_agg(b.license, ',' ORDER BY b.kind, b.ix), '') AS licenses, round(max(b.dice), 6) AS best_dice
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
