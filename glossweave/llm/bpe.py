@@ -173,6 +173,9 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+shared.caches["bpe"] = coder.cache_clear
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids binary), and with ``decoded`` the text that decoding the ids gives."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -180,7 +183,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared.bounded(docs.sparkSession)
 
     def run(batches):
-        shared.lean()
+        shared.lean("bpe")
         own = coder(path)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):

@@ -35,20 +35,22 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 150 MB). Where it also ends each word's ids with a token of its own, as ``</w>``
-    marks it, words of Latin letters are encoded many in one call and told apart by that; ending punctuation is a word.
+    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 110 MB). Where it also ends each
+    word's ids with a token of its own, as ``</w>`` marks it, words of Latin letters are encoded many in one call and
+    told apart by that; ending punctuation is a word.
     """
 
     # Lower-case letters, and other symbols, that are so in every version of Unicode.
     WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
+        self.full = self.own.normalizer, self.own.pre_tokenizer
         self.most, self.known, self.older = most, {}, {}
         spec = json.loads(self.own.to_str())
         size = max(self.own.get_vocab().values()) + 1
@@ -57,13 +59,14 @@ class ChunkEncoder:
         # ASCII letters may be lower-cased before, but for texts that could hold an added token
         self.lower = "Lowercase" in json.dumps(spec["normalizer"]) and all(a["content"].startswith("<|") for a in spec["added_tokens"])
         if suffix and self.lower and self.encoded(["ab", "\u00c4B", "ab ab", "ab."]) == [self.encoded(["ab"])[0], self.encoded(["\u00e4b"])[0], self.encoded(["ab"])[0] * 2, self.encoded(["ab"])[0] + self.encoded(["."])[0]]:
-            plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-            self.plain = Tokenizer.from_str(json.dumps(plain))  # for words that need no normalizing and no splitting
+            # for words that need no normalizing and no splitting
+            self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def encoded(self, texts: list[str], by=None) -> list[bytes]:
-        encode = getattr(by or self.own, "encode_batch_fast", (by or self.own).encode_batch)
+    def encoded(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        self.own.normalizer, self.own.pre_tokenizer = self.plain if plain else self.full
+        encode = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def learn(self, new: set[bytes]) -> None:
@@ -84,7 +87,7 @@ class ChunkEncoder:
         tails[""] = b""
         words = list(cores)
         for some in (words[i : i + 1000] for i in range(0, len(words), 1000)):
-            ids = self.encoded([" ".join(some)], self.plain)[0]
+            ids = self.encoded([" ".join(some)], True)[0]
             cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
             each = [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else self.encoded(some)
             for core, own in zip(some, each, strict=True):
@@ -119,6 +122,9 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+shared.caches["packing"] = chunk_encoder.cache_clear
+
+
 class Packer:
     """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, sequence, offset, ids)."""
 
@@ -212,8 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         like, rows = None, []
         for b in batches:
             like = b.column(0).type
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for i in range(0, b.num_rows, 250):
+                part = b.slice(i, 250)
                 first = part.column(2).to_pylist() if loss_from_col else [0] * part.num_rows
                 for key, ids, at in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), first, strict=True):
                     rows += packer.add(key, ids + end, at or 0)
@@ -227,7 +233,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     shared.bounded(docs.sparkSession)
 
     def run(batches):
-        shared.lean()
+        shared.lean("packing")
         gc.disable()  # what is kept has no cycles, and looking for them takes long
         try:
             yield from packed(batches)

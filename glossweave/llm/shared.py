@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +43,19 @@ def bounded(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def lean() -> None:
-    """In a worker: give freed memory back, as workers live on between tasks."""
+#: What operators keep in a worker between tasks: the name of each one's cache and how to clear it.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def lean(own: str = "") -> None:
+    """In a worker, which lives on between tasks: drop what other operators keep, and give freed memory back."""
     import ctypes
 
     import pyarrow as pa
 
+    for name, clear in caches.items():
+        if name != own:
+            clear()
     pa.set_memory_pool(pa.system_memory_pool())
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
