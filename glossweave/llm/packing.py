@@ -35,7 +35,7 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 110 MB). Where it also ends each
+    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 150 MB). Where it also ends each
     word's ids with a token of its own, as ``</w>`` marks it, words of Latin letters are encoded many in one call and
     told apart by that; ending punctuation is a word.
     """
@@ -43,7 +43,7 @@ class ChunkEncoder:
     # Lower-case letters, and other symbols, that are so in every version of Unicode.
     WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 550_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -218,8 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         like, rows = None, []
         for b in batches:
             like = b.column(0).type
-            for i in range(0, b.num_rows, 250):
-                part = b.slice(i, 250)
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
                 first = part.column(2).to_pylist() if loss_from_col else [0] * part.num_rows
                 for key, ids, at in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), first, strict=True):
                     rows += packer.add(key, ids + end, at or 0)
