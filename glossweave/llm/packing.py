@@ -35,22 +35,22 @@ class ChunkEncoder:
     """Token ids of texts by a tokenizer of the ``tokenizers`` library whose pre-tokenizer drops white space.
 
     Such a tokenizer treats stretches between ASCII white space independently, so each distinct stretch is encoded once
-    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 150 MB). Where it also ends each
+    and kept: the last ``most`` distinct ones at least, and at most twice as many (some 190 MB). Where it also ends each
     word's ids with a token of its own, as ``</w>`` marks it, words of Latin letters are encoded many in one call and
     told apart by that; ending punctuation is a word.
     """
 
     # Lower-case letters, and other symbols, that are so in every version of Unicode.
-    WORD = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
+    WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+    ASCII = re.compile(rb"([a-z]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, most: int = 550_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.full = self.own.normalizer, self.own.pre_tokenizer
         self.most, self.known, self.older = most, {}, {}
         spec = json.loads(self.own.to_str())
         size = max(self.own.get_vocab().values()) + 1
@@ -59,20 +59,22 @@ class ChunkEncoder:
         # ASCII letters may be lower-cased before, but for texts that could hold an added token
         self.lower = "Lowercase" in json.dumps(spec["normalizer"]) and all(a["content"].startswith("<|") for a in spec["added_tokens"])
         if suffix and self.lower and self.encoded(["ab", "\u00c4B", "ab ab", "ab."]) == [self.encoded(["ab"])[0], self.encoded(["\u00e4b"])[0], self.encoded(["ab"])[0] * 2, self.encoded(["ab"])[0] + self.encoded(["."])[0]]:
-            # for words that need no normalizing and no splitting
-            self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain = Tokenizer.from_file(path)  # for words that need no normalizing and no splitting
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def encoded(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        self.own.normalizer, self.own.pre_tokenizer = self.plain if plain else self.full
-        encode = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
+    def encoded(self, texts: list[str], by=None) -> list[bytes]:
+        encode = getattr(by or self.own, "encode_batch_fast", (by or self.own).encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def learn(self, new: set[bytes]) -> None:
         known, rest, cores, tails = self.known, [], {}, {}
         for x in new:
-            m = self.WORD.fullmatch(x.decode("utf-8", "replace")) if self.ends is not None else None
+            m = self.ASCII.fullmatch(x) or self.WORD.fullmatch(x) if self.ends is not None else None
             if m is None:
                 rest.append(x)
             else:
@@ -83,13 +85,12 @@ class ChunkEncoder:
         for some in (rest[i : i + 4096] for i in range(0, len(rest), 4096)):
             known.update(zip(some, self.encoded([x.decode("utf-8", "replace") for x in some]), strict=True))
         if tails:
-            tails = dict(zip(tails, self.encoded(list(tails)), strict=True))
-        tails[""] = b""
+            tails = dict(zip(tails, self.encoded([t.decode() for t in tails]), strict=True))
         words = list(cores)
         for some in (words[i : i + 1000] for i in range(0, len(words), 1000)):
-            ids = self.encoded([" ".join(some)], True)[0]
+            ids = self.encoded([b" ".join(some).decode()], self.plain)[0]
             cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
-            each = [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else self.encoded(some)
+            each = [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)] if len(cut) == len(some) else self.encoded([w.decode() for w in some])
             for core, own in zip(some, each, strict=True):
                 for x, tail in cores[core]:
                     known[x] = own + tails[tail] if tail else own
@@ -128,7 +129,7 @@ shared.caches["packing"] = chunk_encoder.cache_clear
 class Packer:
     """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, sequence, offset, ids)."""
 
-    def __init__(self, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256):
+    def __init__(self, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 128):
         self.cap, self.segments, self.loss, self.window = max_tokens, max_segments, max_loss or max_tokens, window
         self.items: list[tuple] = []  # key, ids of the whole text, its tokens, index of its first loss-bearing token
         self.start = np.zeros(0, np.int64)
