@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: The order of op1's model: of three, the arrays alone take more disk than the counts they come from.
+#: The order of op1's model; README.md says why it is not three.
 LM_ORDER = 2
 
 
