@@ -118,9 +118,9 @@ class ChunkEncoder:
 
 
 @lru_cache(1)
-def chunk_encoder(path: str) -> ChunkEncoder:
+def chunk_encoder(path: str, most: int) -> ChunkEncoder:
     """One for each worker, as tasks meet much the same words."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, most)
 
 
 shared.caches["packing"] = chunk_encoder.cache_clear
@@ -196,11 +196,12 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, kept: int = 700_000) -> DataFrame:
     """Rows (id, start, length, doc_tokens, sequence_id, offset, ids): pieces of the texts' ids, ``end_id`` after each text.
 
     ``loss_from_col``: the index of a text's first loss-bearing token (null or no column: 0), as a response that follows
-    a prompt has it. ``ids`` is binary, little-endian unsigned 32-bit integers.
+    a prompt has it. ``ids`` is binary, little-endian unsigned 32-bit integers. ``kept`` bounds the encoded stretches that
+    a worker keeps: memory against time, not results.
     """
     end = np.array([end_id], "<u4").tobytes()
     cols = [id_col, text_col] + ([loss_from_col] if loss_from_col else [])
@@ -208,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def packed(batches):
-        encoder, packer = chunk_encoder(tokenizer), Packer(max_tokens, max_segments, max_loss)
+        encoder, packer = chunk_encoder(tokenizer, kept), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 40
 
         def batch(rows, like):
