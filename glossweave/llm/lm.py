@@ -6,10 +6,11 @@ Counting is a Spark job; the model is a folder of sorted hash arrays that worker
 * The vocabulary: the sorted 64-bit hashes of all training tokens with their counts, in shards by the leading bits. A
   word's number is its place. Shards grow in number with the input, so each stays small.
 * N-grams of numbers are counted in each task, dealt by hash to shards, summed there, and written as sorted arrays of
-  64-bit keys with counts. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
+  64-bit keys with counts of a byte; counts of 255 or more stand whole in a second file. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
   successors seen once, twice, more often) and suffixes (number of predecessors, or the count after the start of a
   text) to the shards of the next lower order; no context, however common, is gathered in one place as rows.
-* What moves between tasks are compressed columns: a row for each task and shard.
+* What moves between tasks are compressed columns: a row for each task and shard. An order's rows are removed once the
+  next lower order is summed.
 * Scoring finds the sorted distinct n-grams of a batch of texts in the mapped arrays. Probabilities are
   p_k(w|h) = max(c - D(c), 0)/T(h) + g(h) p_{k-1}(w|h'), below the unigrams 1/(V + 1), which leaves an unseen word its
   share; D are the closed-form discounts of counts one, two, and three or more.
@@ -110,14 +111,27 @@ def rows_of(pairs) -> pa.RecordBatch:
     return pa.record_batch([pa.array([s for s, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["shard", "blob"])
 
 
+WIDE = 255  # in a column of bytes: the value stands in the shard's second file
+
+
+def narrow(uri: str, key: np.ndarray, values: list[np.ndarray]) -> int:
+    """Write a shard with columns of bytes, and a second file of (column x rows + row, value) for those that do not fit; its rows."""
+    wide = [np.flatnonzero(v >= WIDE) for v in values]
+    shared.save(uri, [key, *(np.minimum(v, U8(WIDE)).astype("<u1") for v in values)])
+    place = np.concatenate([w + i * len(key) for i, w in enumerate(wide)]).astype("<u8")
+    shared.save(f"{uri}-wide", [place, np.concatenate([v[w] for v, w in zip(values, wide, strict=True)]).astype("<u8")])
+    return len(place)
+
+
 @dataclass
 class Table:
-    """Sorted keys with columns of values, in shards by the keys' leading bits."""
+    """Sorted keys with columns of values, in shards by the keys' leading bits; ``wide``: sizes of the second files, if there are any."""
 
     uri: str
     bits: int
     dtypes: list[str]
     sizes: list[int]
+    wide: list[int] | None = None
     _open: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -132,6 +146,13 @@ class Table:
             self._open[s] = shared.mapped(f"{self.uri}/{s}", ["<u8", *self.dtypes], self.sizes[s])
         return self._open[s]
 
+    def whole(self, s: int, place: np.ndarray) -> np.ndarray:
+        """The values at places of a shard's second file."""
+        if -s - 1 not in self._open:
+            self._open[-s - 1] = shared.mapped(f"{self.uri}/{s}-wide", ["<u8", "<u8"], self.wide[s])
+        at, values = self._open[-s - 1]
+        return values[np.searchsorted(at, place.astype(U8))]
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For keys in any order: each one's place or -1, and its values or zeros."""
         order = np.argsort(keys)
@@ -147,8 +168,11 @@ class Table:
             at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
             hit = have[at] == keys[mine]
             place[order[mine]] = np.where(hit, at + starts[s], -1)
-            for v, m in zip(values, more, strict=True):
-                v[order[mine]] = np.where(hit, m[at], 0)
+            for i, (v, m) in enumerate(zip(values, more, strict=True)):
+                got = np.where(hit, m[at], 0).astype(np.int64)
+                if self.wide is not None and len(wide := np.flatnonzero(got == WIDE)):
+                    got[wide] = self.whole(int(s), i * len(have) + at[wide])
+                v[order[mine]] = got
         return place, values
 
 
@@ -277,8 +301,8 @@ def _reduce(blobs: DataFrame, merge, schema: str) -> DataFrame:
     return blobs.groupBy("shard").applyInArrow(run, schema)
 
 
-def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Table, int, int]:
-    """The table of the words' hashes and counts, the number of tokens, and the largest count."""
+def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Table, int]:
+    """The table of the words' hashes and counts, and the number of tokens."""
 
     def count(batches):
         shared.lean()
@@ -304,25 +328,34 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
     def merge(shard, parts):
         (h,), (c,) = summed([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
         shared.save(f"{uri}/{shard}", [h, c])
-        return pa.table({"shard": [shard], "n": [len(h)], "total": [int(c.sum())], "most": [int(c.max())]})
+        return pa.table({"shard": [shard], "n": [len(h)], "total": [int(c.sum())]})
 
-    found = _reduce(docs.select(text_col).mapInArrow(count, "shard int, blob binary"), merge, "shard long, n long, total long, most long").collect()
+    found = _reduce(docs.select(text_col).mapInArrow(count, "shard int, blob binary"), merge, "shard long, n long, total long").collect()
     sizes = [0] * (1 << bits)
     for r in found:
         sizes[r["shard"]] = r["n"]
-    return Table(uri, bits, ["<u8"], sizes), sum(r["total"] for r in found), max((r["most"] for r in found), default=0)
+    return Table(uri, bits, ["<u8"], sizes), sum(r["total"] for r in found)
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes: int = 8 << 20) -> Model:
     """The model of the texts of ``docs``, its arrays in the shared folder."""
     shared.bounded(docs.sparkSession)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = docs.sparkSession.conf.get(key)
+    docs.sparkSession.conf.set(key, "true")  # the files of a shuffle go when its job has ended
+    try:
+        return _trained(docs, text_col, order, shard_bytes)
+    finally:
+        docs.sparkSession.conf.set(key, before)
+
+
+def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int) -> Model:
     uri = shared.folder(docs.sparkSession, "lm")
     bits = min(16, max(6, (shared.input_bytes(docs) // shard_bytes).bit_length()))
-    words, total, most = vocabulary(docs, text_col, f"{uri}/words", bits)
+    words, total = vocabulary(docs, text_col, f"{uri}/words", bits)
     types = sum(words.sizes)
     if types >= START:
         raise ValueError("more distinct words than numbers of 32 bits")
-    kind = "<u4" if most < 1 << 32 else "<u8"
 
     def count(batches):
         shared.lean()
@@ -350,11 +383,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes:
             cols, values = summed([np.concatenate(c) for c in zip(*(p[:width] for p in parts), strict=True)], [np.concatenate(c) for c in zip(*(p[width:] for p in parts), strict=True)])
             key = key_of(cols)
             by_key = np.argsort(key)
-            shared.save(f"{uri}/{k}/{shard}", [key[by_key], *(v[by_key].astype(kind) for v in values)])
+            wide = narrow(f"{uri}/{k}/{shard}", key[by_key], [v[by_key] for v in values])
             seen = values[0] > 0
             c, ids = values[0][seen], [x[seen] for x in parted(cols, k)]
             times = np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)
-            info = np.array([len(key), int(c.sum()), *times[1:5], int((c >= 3).sum())], "<i8").tobytes()
+            info = np.array([len(key), int(c.sum()), *times[1:5], int((c >= 3).sum()), wide], "<i8").tobytes()
             out = [(shard, "info", info)]
             if k > 1:
                 none, one = np.zeros(len(c), U8), np.ones(len(c), U8)
@@ -369,16 +402,23 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes:
         return merge
 
     blobs = docs.select(text_col).mapInArrow(count, "shard int, blob binary")
-    tables, all_discounts, successors = [], [], [0, 0, 0, 0]
+    tables, all_discounts, successors, before = [], [], [0, 0, 0, 0], None
+    spark = docs.sparkSession
     for k in range(order, 0, -1):
-        step = shared.written(_reduce(blobs, level(k), "shard int, kind string, blob binary, src int"), f"lm-{k}")
+        path = shared.folder(spark, f"lm-{k}")
+        schema = "shard int, kind string, blob binary, src int"
+        _reduce(blobs, level(k), schema).write.parquet(path)
+        if before is not None:
+            shared.removed(spark, before)
+        before, step = path, spark.read.schema(schema).parquet(path)
         info = {r["shard"]: np.frombuffer(bytes(r["blob"]), "<i8").tolist() for r in step.where("kind = 'info'").collect()}
-        sizes = [info.get(s, [0])[0] for s in range(1 << bits)]
-        tables.append(Table(f"{uri}/{k}", bits, [kind] * (1 if k == order else 5), sizes))
+        of = lambda i: [info[s][i] if s in info else 0 for s in range(1 << bits)]  # noqa: B023, E731
+        tables.append(Table(f"{uri}/{k}", bits, ["<u1"] * (1 if k == order else 5), of(0), of(7)))
         sums = [sum(x[i] for x in info.values()) for i in range(7)]
         all_discounts.append(discounts(sums[2:6]))
         successors = [sums[1], sums[2], sums[3], sums[6]]
         blobs = step.where("kind = 'down'").select("shard", "blob")
+    shared.removed(spark, before)
     return Model(order, words, tables[::-1], all_discounts[::-1], successors, total, types)
 
 
