@@ -19,8 +19,11 @@ def _s(x: str) -> tuple[str, ...]:
     return tuple(x)
 
 
-def grammar() -> M.Grammar:
-    """Nouns and adjectives of the parts' names: plural with e-insertion after s, un-, re- and compounds."""
+def grammar(longest: int = 0) -> M.Grammar:
+    """Nouns and adjectives of the parts' names: plural with e-insertion after s, un-, re- and compounds.
+
+    Roots of three letters around a vowel may be guessed, and those of any letters up to ``longest``.
+    """
     roots = tuple(M.Root(w, (_s(w),), c) for w, c in (("ring", "N"), ("widget", "N"), ("bolt", "N"), ("gear", "N"), ("box", "N"), ("red", "A"), ("small", "A"), ("large", "A"), ("blue", "A"), ("green", "A")))
     affixes = (
         M.Affix("PL", suffix=_s("s"), takes=frozenset("N"), excludes=frozenset({"plural"}), adds=frozenset({"plural"})),
@@ -28,7 +31,7 @@ def grammar() -> M.Grammar:
         M.Affix("NMLZ", suffix=_s("ness"), takes=frozenset("A"), gives="N"),
     )
     insert = M.Rewrite("e-insertion", _s("xs"), _s("xes"))
-    return M.Grammar(LETTERS, roots, affixes, (insert,), compounds=(("A", "N", "N"), ("N", "N", "N")), patterns=((LETTERS, VOWELS, LETTERS),), most_affixes=3)
+    return M.Grammar(LETTERS, roots, affixes, (insert,), compounds=(("A", "N", "N"), ("N", "N", "N")), patterns=((LETTERS, VOWELS, LETTERS), *((LETTERS,) * n for n in range(1, longest + 1))), most_affixes=3)
 
 
 def words(s: SparkSession, d: str) -> DataFrame:
@@ -50,10 +53,17 @@ def stream(s: SparkSession, d: str) -> DataFrame:
     return jobs.latest_version(s, f"file://{base}/state")
 
 
+def guessed(s: SparkSession, d: str) -> DataFrame:
+    """The whole words of the parts' names, with patterns of roots up to the longest."""
+    whole = A.table(s, d, "part").select(F.explode(F.split("p_name", " +")).alias("word")).where("word <> ''")
+    longest = whole.agg(F.max(F.length("word"))).first()[0] or 0
+    return M.parse_words(whole, grammar(longest), guess=True).select("word", "status", "signature")
+
+
 QUERIES = {
     "parse_words": lambda s, d: M.parse_words(words(s, d), grammar()).select("word", "status", "signature"),
     "parse_identities": lambda s, d: M.identities(M.parse_words(words(s, d), grammar())).select("word", F.array_join("morphemes", "+").alias("morphemes"), "category"),
-    "parse_guessed": lambda s, d: M.parse_words(A.table(s, d, "part").select(F.substr("p_name", F.lit(1), F.lit(3)).alias("word")), grammar(), guess=True).select("word", "status", "signature"),
+    "parse_guessed": guessed,
     "generate_words": lambda s, d: M.generate_words(A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("roots"), F.array(F.lit("PL")).alias("affixes")), grammar()),
     "trace_events": lambda s, d: M.trace_events(words(s, d), grammar()).groupBy("type").agg(F.count(F.lit(1)).alias("events")),
     "segment_longest": lambda s, d: M.segment_words(A.table(s, d, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word")), ["th", "ng", "ll", *LETTERS]).select("word", F.array_join("segments", " ").alias("segments"), "error_at"),
