@@ -81,6 +81,11 @@ def cnt(s: SparkSession, d: str) -> DataFrame:
     return N.counts(toks(s, d, True))
 
 
+def vocabulary(s: SparkSession, d: str) -> DataFrame:
+    """The words of all conversations, those of both folds."""
+    return N.counts(toks(s, d, True).unionByName(toks(s, d, False))).where("n = 1").select("word")
+
+
 QUERIES = {
     "closure": lambda s, d: X.closure(forest(s, d)),
     "reference_index": lambda s, d: X.reference_index(edges(s, d)),
@@ -117,7 +122,7 @@ QUERIES = {
     "keystroke_savings": lambda s, d: N.keystrokes(toks(s, d, False), cnt(s, d)),
     "sentence_split": lambda s, d: N.split(A.table(s, d, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n")),
     "synthetic_corpus": lambda s, d: N.synthetic(s, 500),
-    "corrupted_words": lambda s, d: N.corrupted(cnt(s, d).where("n = 1").select("word")),
+    "corrupted_words": lambda s, d: N.corrupted(vocabulary(s, d)),
 }
 
 _TREE = "t AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, CAST(p_size AS BIGINT) AS work, p_partkey % 97 = 5 AS success FROM part WHERE p_partkey > 0), c AS (SELECT node, parent AS ancestor, 1 AS depth FROM t WHERE parent IS NOT NULL UNION ALL SELECT c.node, t.parent, depth + 1 FROM c JOIN t ON c.ancestor = t.node WHERE t.parent IS NOT NULL)"
