@@ -9,8 +9,9 @@ Counting is a Spark job; the model is a folder of sorted hash arrays that worker
   64-bit keys with counts of a byte; counts of 255 or more stand whole in a second file. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
   successors seen once, twice, more often) and suffixes (number of predecessors, or the count after the start of a
   text) to the shards of the next lower order; no context, however common, is gathered in one place as rows.
-* What moves between tasks are compressed columns: a row for each task and shard. An order's rows are removed once the
-  next lower order is summed.
+* What moves between tasks are compressed columns: from counting, a row for each task and shard; from an order to the
+  next lower one, a file for each shard in the shared folder, from which each shard below reads its part. These files
+  are removed once the lower order is summed.
 * Scoring finds the sorted distinct n-grams of a batch of texts in the mapped arrays. Probabilities are
   p_k(w|h) = max(c - D(c), 0)/T(h) + g(h) p_{k-1}(w|h'), below the unigrams 1/(V + 1), which leaves an unseen word its
   share; D are the closed-form discounts of counts one, two, and three or more.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 UNSEEN, START = 0xFFFFFFFF, 0xFFFFFFFE
-HELD = 4_000_000  # tokens that a task counts before it sends
+HELD = 3_000_000  # tokens that a task counts before it sends
 U8 = np.uint64
 
 
@@ -84,17 +85,46 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(out[0], dtype=U8), *out[1:]]
 
 
+def ordered(cols: list[np.ndarray]) -> np.ndarray:
+    """The order of the rows of ``cols``: each column is sorted as one word with the rank of the columns before it."""
+    order = np.argsort(cols[0])
+    for c in cols[1:]:  # of less than 32 bits, as only the last one holds a single number
+        first = cols[0][order]
+        rank = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]])).astype(U8)
+        if len(cols) > 2 or c.max() >> U8(32):
+            return np.lexsort(cols[::-1])
+        order = order[np.argsort(rank << U8(32) | c[order])]
+    return order
+
+
 def summed(cols: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The distinct rows of ``cols``, ascending, with the sums of ``values``."""
     if not len(cols[0]):
         return cols, values
-    order = np.argsort(cols[0]) if len(cols) == 1 else np.lexsort(cols[::-1])
+    order = ordered(cols)
     cols = [c[order] for c in cols]
-    new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
-    at = np.flatnonzero(new)
+    at = runs(cols)
     return [c[at] for c in cols], [np.add.reduceat(v[order], at) for v in values]
 
 
+def runs(cols: list[np.ndarray]) -> np.ndarray:
+    """Where rows of ``cols`` begin that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]))
+
+
+def grams(s: np.ndarray, order: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """For each length k: the distinct runs of k numbers of ``s``, a column for each place, and which one ends at each
+    place of ``s`` from the k-th on."""
+    word, at = np.unique(s, return_inverse=True)
+    found = [([word], at)]
+    for k in range(1, order):
+        cols, before = found[-1]
+        pair, here = np.unique(before[:-1].astype(U8) << U8(32) | at[k:].astype(U8), return_inverse=True)
+        first = (pair >> U8(32)).astype(np.int64)
+        found.append(([*(c[first] for c in cols), word[(pair & U8(0xFFFFFFFF)).astype(np.int64)]], here))
+    return found
+
+
 def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.ndarray | None = None):
     """(shard, packed rows) of distinct ascending rows."""
     shard = ((key_of(cols) if by is None else by) >> U8(64 - bits)).astype(np.uint16)
@@ -111,6 +141,19 @@ def rows_of(pairs) -> pa.RecordBatch:
     return pa.record_batch([pa.array([s for s, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["shard", "blob"])
 
 
+def save_parts(uri: str, sent: dict[int, list[bytes]], shards: int) -> None:
+    """One file of the two blobs for each shard, behind a table of where they begin."""
+    blobs = [x for s in range(shards) for x in sent.get(s, (b"", b""))]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype("<u8")
+    shared.save(uri, [starts + U8(8 * len(starts)), *(np.frombuffer(x, np.uint8) for x in blobs if x)])
+
+
+def load_part(uri: str, shard: int, shards: int) -> tuple[bytes, bytes]:
+    a, b, c = np.frombuffer(shared.read_part(uri, 16 * shard, 24), "<u8").tolist()
+    both = shared.read_part(uri, a, c - a) if c > a else b""
+    return both[: b - a], both[b - a :]
+
+
 WIDE = 255  # in a column of bytes: the value stands in the shard's second file
 
 
@@ -177,38 +220,53 @@ class Table:
 
 
 class Numbers:
-    """Numbers of words in a vocabulary; keeps those of up to ``most`` words."""
+    """Places of words in a list that grows with the words met, and each one's number in a vocabulary and its count."""
 
     def __init__(self, vocabulary: Table, most: int = 600_000):
-        self.vocabulary, self.most, self.known = vocabulary, most, {}
-        self.end = int(self.of([b""])[0])
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set(words)
-        if new:
-            new = list(new)
-            place, _ = self.vocabulary.find(np.fromiter(map(xxhash.xxh64_intdigest, new), U8, len(new)))
-            self.known.update(zip(new, np.where(place < 0, UNSEEN, place).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), U8, len(words))
+        self.vocabulary, self.most = vocabulary, most
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words but the start, which is place 0, and the end, which is place 1."""
+        fresh = self.fresh = []
+
+        class Known(dict):
+            def __missing__(self, word):
+                fresh.append(word)
+                i = self[word] = len(self) + 1
+                return i
+
+        self.known = Known()
+        self.number, self.count = np.array([START], U8), np.zeros(1, np.int64)
+        self.places([b""])
+
+    @property
+    def crowded(self) -> bool:
+        return len(self.known) > self.most
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
+        if self.fresh:
+            place, (count,) = self.vocabulary.find(np.fromiter(map(xxhash.xxh64_intdigest, self.fresh), U8, len(self.fresh)))
+            self.number = np.concatenate([self.number, np.where(place < 0, UNSEEN, place).astype(U8)])
+            self.count = np.concatenate([self.count, count])
+            self.fresh.clear()
+        return out
 
     def stream(self, texts: list[list[bytes]], order: int) -> np.ndarray:
-        """The texts' numbers, each with its end token, and ``order - 1`` starts before it (one at least)."""
-        pad, words, at = max(1, order - 1), [], []
+        """The texts' places, each with its end token, and ``order - 1`` starts before it (one at least)."""
+        pad, words = max(1, order - 1), []
         for t in texts:
-            at.append(len(words))
             words += t
         n = np.array([len(t) for t in texts])
-        out = np.full(len(words) + (pad + 1) * len(texts), START, U8)
+        out = np.zeros(len(words) + (pad + 1) * len(texts), np.uint32)
         ends = np.cumsum(n + pad + 1) - 1
         inside = np.ones(len(out), bool)
         inside[ends] = False
         for j in range(pad):
             inside[ends - n - 1 - j] = False
-        out[inside] = self.of(words)
-        out[ends] = self.of([b""])[0]
+        out[inside] = self.places(words)
+        out[ends] = 1
         return out
 
 
@@ -242,48 +300,25 @@ class Model:
     def scores(self, texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, score."""
         s = numbers.stream(texts, self.order)
-        at = np.flatnonzero(s != START)
+        at = np.flatnonzero(s)
         n = np.array([len(t) + 1 for t in texts])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-        word, back = np.unique(s[at], return_inverse=True)
-        count = self.counts(word)[back]
+        count = numbers.count[s[at]]
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
         p = np.full(len(at), 1 / (self.types + 1))
-        for k in range(1, self.order + 1):
-            cols, back = distinct(joined([s[at - k + 1 + j] for j in range(k)]))
-            _, (c, *_) = self.tables[k - 1].find(key_of(cols))
-            c = c[back]
-            if k == 1:
-                total, n1, n2, n3 = self.successors
-            else:
-                cols, back = distinct(joined([s[at - k + 1 + j] for j in range(k - 1)]))
-                _, values = self.tables[k - 2].find(key_of(cols))
-                total, n1, n2, n3 = (v[back] for v in values[1:])
+        total, *seen = self.successors
+        for k, (cols, which) in enumerate(grams(s, self.order), 1):
+            _, (c, *more) = self.tables[k - 1].find(key_of(joined([numbers.number[x] for x in cols])))
+            c = c[which[at - k + 1]]
             d = np.array(self.discounts[k - 1])
             own = np.maximum(c - d[np.minimum(c, 3)], 0)
-            rest = d[1] * n1 + d[2] * n2 + d[3] * n3
+            rest = d[1] * seen[0] + d[2] * seen[1] + d[3] * seen[2]
             p = np.where(np.equal(total, 0), p, (own + rest * p) / np.maximum(total, 1))
+            if k < self.order:  # what ends before a token is the context of the next order
+                before = which[at - k]
+                total, *seen = (v[before] for v in more)
         return n, np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """The words' counts in training; zero for unseen ones."""
-        starts = self.vocabulary.starts
-        out = np.zeros(len(numbers), np.int64)
-        shard = np.searchsorted(starts, numbers, "right") - 1
-        for s in np.unique(shard):
-            if s < len(self.vocabulary.sizes):
-                mine = shard == s
-                out[mine] = self.vocabulary.shard(int(s))[1][(numbers[mine] - U8(starts[s])).astype(np.int64)]
-        return out
-
-
-def distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    if len(cols) == 1:
-        u, back = np.unique(cols[0], return_inverse=True)
-        return [u], back
-    _, first, back = np.unique(key_of(cols), return_index=True, return_inverse=True)
-    return [c[first] for c in cols], back
-
 
 def discounts(n: list[int]) -> list[float]:
     """From the numbers of n-grams with counts one to four; where these give none between zero and the count, half of it."""
@@ -337,88 +372,125 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
     return Table(uri, bits, ["<u8"], sizes), sum(r["total"] for r in found)
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes: int = 8 << 20) -> Model:
-    """The model of the texts of ``docs``, its arrays in the shared folder."""
+def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes: int = 8 << 20, shard_tokens: int = 1_000_000) -> Model:
+    """The model of the texts of ``docs``, its arrays in the shared folder: shards of about ``shard_bytes`` of input for the
+    vocabulary, and of ``shard_tokens`` tokens for the n-grams."""
     shared.bounded(docs.sparkSession)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = docs.sparkSession.conf.get(key)
     docs.sparkSession.conf.set(key, "true")  # the files of a shuffle go when its job has ended
     try:
-        return _trained(docs, text_col, order, shard_bytes)
+        return _trained(docs, text_col, order, shard_bytes, shard_tokens)
     finally:
         docs.sparkSession.conf.set(key, before)
 
 
-def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int) -> Model:
-    uri = shared.folder(docs.sparkSession, "lm")
+INFO = "shard long, n long, wide long, total long, n1 long, n2 long, n3 long, n4 long, more long"
+
+
+def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int, shard_tokens: int) -> Model:
+    spark = docs.sparkSession
+    uri = shared.folder(spark, "lm")
     bits = min(16, max(6, (shared.input_bytes(docs) // shard_bytes).bit_length()))
     words, total = vocabulary(docs, text_col, f"{uri}/words", bits)
     types = sum(words.sizes)
     if types >= START:
         raise ValueError("more distinct words than numbers of 32 bits")
+    bits = min(18, max(4, (total // shard_tokens).bit_length()))
 
     def count(batches):
         shared.lean()
         numbers, held, n = Numbers(words), [], 0
 
         def send():
-            cols, values = summed([np.concatenate(c) for c in zip(*held, strict=True)], [np.ones(n, U8)])
-            return rows_of(dealt(cols, values, bits))
+            cols, which = grams(np.concatenate(held), order)[-1]
+            whole = cols[-1] > 0  # others end in the padding
+            times = np.bincount(which, minlength=len(whole))[whole]
+            cols = joined([numbers.number[c[whole]] for c in cols])
+            by = np.argsort(cols[0])
+            return rows_of(dealt([c[by] for c in cols], [times[by].astype(U8)], bits))
 
         for b in batches:
             for _, texts in slices(b, 0, 500_000):
-                s = numbers.stream(texts, order)
-                at = np.flatnonzero(s != START)
-                held.append(joined([s[at - order + 1 + j] for j in range(order)]))
-                n += len(at)
+                held.append(numbers.stream(texts, order))
+                n += len(held[-1])
                 if n >= HELD:
                     yield send()
                     held, n = [], 0
+                    if numbers.crowded:
+                        numbers.clear()
         if n:
             yield send()
 
-    def level(k: int):
-        def merge(shard, parts):
+    def level(k: int, shard: int, cols: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        """Sum a shard of the order ``k``, write it, and write what goes down from it, packed by the shard it goes to."""
+        cols, values = summed(cols, values)
+        key = key_of(cols)
+        by_key = np.argsort(key)
+        wide = narrow(f"{uri}/{k}/{shard}", key[by_key], [v[by_key] for v in values])
+        seen = values[0] > 0
+        c, cols = values[0][seen], [x[seen] for x in cols]
+        times = np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)
+        if k > 1:
+            ids = parted(cols, k)
+            one = np.ones(len(c), U8)
+            before = one if k == 2 else np.where(ids[1] == U8(START), c, one)
+            prefix = summed(joined(ids[:-1]), [c, (c == 1).astype(U8), (c == 2).astype(U8), (c >= 3).astype(U8)])
+            suffix = summed(joined(ids[1:]), [before])
+            sent: dict[int, list[bytes]] = {}
+            for i, rows in enumerate((prefix, suffix)):
+                for s, blob in dealt(*rows, bits):
+                    sent.setdefault(s, [b"", b""])[i] = blob
+            save_parts(f"{uri}/down-{k}/{shard}", sent, 1 << bits)
+        info = [shard, len(key), wide, int(c.sum()), *times[1:5].tolist(), int((c >= 3).sum())]
+        return pa.record_batch([pa.array([x], pa.int64()) for x in info], names=[x.split(" ")[0] for x in INFO.split(", ")])
+
+    def counted(key, table):
+        shared.lean()
+        width = (order + 1) // 2
+        parts = [unpacked(b.as_py()) for b in table.column("blob")]
+        whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
+        values = whole[width:] if order == 1 else [whole[width]]
+        if order == 1:
+            values += [np.zeros(len(whole[0]), U8)] * 4
+        return pa.Table.from_batches([level(order, key[0].as_py(), whole[:width], values)])
+
+    def gathered(k: int, sources: list[int]):
+        """The shards of the order ``k`` from what the shards of the next higher order sent down."""
+
+        def run(batches):
+            shared.lean()
             width = (k + 1) // 2
-            cols, values = summed([np.concatenate(c) for c in zip(*(p[:width] for p in parts), strict=True)], [np.concatenate(c) for c in zip(*(p[width:] for p in parts), strict=True)])
-            key = key_of(cols)
-            by_key = np.argsort(key)
-            wide = narrow(f"{uri}/{k}/{shard}", key[by_key], [v[by_key] for v in values])
-            seen = values[0] > 0
-            c, ids = values[0][seen], [x[seen] for x in parted(cols, k)]
-            times = np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)
-            info = np.array([len(key), int(c.sum()), *times[1:5], int((c >= 3).sum()), wide], "<i8").tobytes()
-            out = [(shard, "info", info)]
-            if k > 1:
-                none, one = np.zeros(len(c), U8), np.ones(len(c), U8)
-                before = one if k == 2 else np.where(ids[1] == U8(START), c, one)
-                prefix = joined(ids[:-1]), [none, c, (c == 1).astype(U8), (c == 2).astype(U8), (c >= 3).astype(U8)]
-                suffix = joined(ids[1:]), [before, none, none, none, none]
-                down, sums = summed([np.concatenate(x) for x in zip(prefix[0], suffix[0], strict=True)], [np.concatenate(x) for x in zip(prefix[1], suffix[1], strict=True)])
-                out += [(s, "down", blob) for s, blob in dealt(down, sums, bits)]
-            a, b, d = zip(*out, strict=True)
-            return pa.table({"shard": pa.array(a, pa.int32()), "kind": pa.array(b, pa.string()), "blob": pa.array(d, pa.binary()), "src": pa.array([shard] * len(out), pa.int32())})
-
-        return merge
-
-    blobs = docs.select(text_col).mapInArrow(count, "shard int, blob binary")
-    tables, all_discounts, successors, before = [], [], [0, 0, 0, 0], None
-    spark = docs.sparkSession
+            for b in batches:
+                for shard in b.column(0).to_pylist():
+                    prefix, suffix = zip(*(load_part(f"{uri}/down-{k + 1}/{s}", shard, 1 << bits) for s in sources), strict=True)
+                    prefix, suffix = ([unpacked(x) for x in part if x] for part in (prefix, suffix))
+                    if not prefix and not suffix:
+                        continue
+                    rows = [[*p[:width], np.zeros(len(p[0]), U8), *p[width:]] for p in prefix] + [[*x, *[np.zeros(len(x[0]), U8)] * 4] for x in suffix]
+                    whole = [np.concatenate(x) for x in zip(*rows, strict=True)]
+                    del prefix, suffix, rows
+                    yield level(k, shard, whole[:width], whole[width:])
+
+        parts = min(1 << bits, max(spark.sparkContext.defaultParallelism, total // shard_tokens + 1))
+        return spark.range(0, 1 << bits, 1, parts).mapInArrow(run, INFO)
+
+    tables, all_discounts, successors, info = [], [], [0, 0, 0, 0], {}
     for k in range(order, 0, -1):
-        path = shared.folder(spark, f"lm-{k}")
-        schema = "shard int, kind string, blob binary, src int"
-        _reduce(blobs, level(k), schema).write.parquet(path)
-        if before is not None:
-            shared.removed(spark, before)
-        before, step = path, spark.read.schema(schema).parquet(path)
-        info = {r["shard"]: np.frombuffer(bytes(r["blob"]), "<i8").tolist() for r in step.where("kind = 'info'").collect()}
-        of = lambda i: [info[s][i] if s in info else 0 for s in range(1 << bits)]  # noqa: B023, E731
-        tables.append(Table(f"{uri}/{k}", bits, ["<u1"] * (1 if k == order else 5), of(0), of(7)))
-        sums = [sum(x[i] for x in info.values()) for i in range(7)]
-        all_discounts.append(discounts(sums[2:6]))
-        successors = [sums[1], sums[2], sums[3], sums[6]]
-        blobs = step.where("kind = 'down'").select("shard", "blob")
-    shared.removed(spark, before)
+        if k == order:
+            blobs = docs.select(text_col).mapInArrow(count, "shard int, blob binary")
+            step = blobs.groupBy("shard").applyInArrow(counted, INFO)
+        else:
+            step = gathered(k, sorted(info))
+        info = {r["shard"]: r for r in step.collect()}
+        if k < order:
+            shared.removed(spark, f"{uri}/down-{k + 1}")
+        of = lambda name: [info[s][name] if s in info else 0 for s in range(1 << bits)]  # noqa: B023, E731
+        tables.append(Table(f"{uri}/{k}", bits, ["<u1"] * (1 if k == order > 1 else 5), of("n"), of("wide")))
+        n = {name: sum(of(name)) for name in ("total", "n1", "n2", "n3", "n4", "more")}
+        all_discounts.append(discounts([n["n1"], n["n2"], n["n3"], n["n4"]]))
+        successors = [n["total"], n["n1"], n["n2"], n["more"]]
     return Model(order, words, tables[::-1], all_discounts[::-1], successors, total, types)
 
 
@@ -427,17 +499,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    shared.bounded(docs.sparkSession)
-
     def run(batches):
         shared.lean()
         own = sent.value
         numbers = Numbers(own.vocabulary)
         for b in batches:
             for first, texts in slices(b, 1, 500_000):
+                if numbers.crowded:
+                    numbers.clear()
                 found = own.scores(texts, numbers)
                 yield pa.record_batch([b.column(0).slice(first, len(texts)), *(pa.array(x) for x in found)], names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
+    shared.bounded(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double")
 
 

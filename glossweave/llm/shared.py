@@ -135,3 +135,11 @@ def read_bytes(uri: str) -> bytes:
     store, path = _filesystem(uri)
     with store.open_input_stream(path) as src:
         return src.read()
+
+
+def read_part(uri: str, start: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``start`` on."""
+    store, path = _filesystem(uri)
+    with store.open_input_file(path) as src:
+        src.seek(start)
+        return src.read(size)
