@@ -24,11 +24,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 
-SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+SCHEMA = "start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary"
 
 
 class ChunkEncoder:
@@ -95,8 +96,9 @@ class ChunkEncoder:
                 for x, tail in cores[core]:
                     known[x] = own + tails[tail] if tail else own
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str | None], after: list[int | None] | None = None) -> list[tuple[bytes, int]]:
+        """For each text its ids as little-endian unsigned 32-bit integers, and how many of them are of stretches that
+        begin before the code point ``after``."""
         parts = []
         for x in texts:
             x = (x or "").encode("utf-8", "replace")
@@ -114,7 +116,10 @@ class ChunkEncoder:
             for p, f, gap in zip(parts, found, gaps, strict=True):
                 for i in gap:
                     f[i] = known[p[i]]
-        return [b"".join(f) for f in found]
+        if after is None:
+            return [(b"".join(f), 0) for f in found]
+        before = [len((x or "")[:k].encode("utf-8", "replace").split()) if k and k > 0 else 0 for x, k in zip(texts, after, strict=True)]
+        return [(b"".join(f), sum(map(len, f[:k])) // 4) for f, k in zip(found, before, strict=True)]
 
 
 @lru_cache(1)
@@ -127,7 +132,7 @@ shared.caches["packing"] = chunk_encoder.cache_clear
 
 
 class Packer:
-    """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, sequence, offset, ids)."""
+    """Packs pieces as they come; ``add`` and ``close`` return rows (key, start, length, doc_tokens, loss_tokens, sequence, offset, ids)."""
 
     def __init__(self, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 128):
         self.cap, self.segments, self.loss, self.window = max_tokens, max_segments, max_loss or max_tokens, window
@@ -144,7 +149,7 @@ class Packer:
     def add(self, key, ids: bytes, first: int = 0) -> list[tuple]:
         n, rows, at = len(ids) // 4, [], 0
         while n - at >= self.cap and self.bearing(at, self.cap, first) <= self.loss:
-            rows.append((key, at, self.cap, n, self.sequence, 0, ids[4 * at : 4 * (at + self.cap)]))
+            rows.append((key, at, self.cap, n, int(self.bearing(at, self.cap, first)), self.sequence, 0, ids[4 * at : 4 * (at + self.cap)]))
             self.sequence += 1
             at += self.cap
         if at < n:
@@ -183,8 +188,9 @@ class Packer:
                 break
             key, ids, total, first = self.items[i]
             at = int(self.start[i])
-            rows.append((key, at, n, total, self.sequence, cap - left, ids[4 * at : 4 * (at + n)]))
-            left, segments, loss = left - n, segments - 1, loss - int(self.bearing(at, n, first))
+            bears = int(self.bearing(at, n, first))
+            rows.append((key, at, n, total, bears, self.sequence, cap - left, ids[4 * at : 4 * (at + n)]))
+            left, segments, loss = left - n, segments - 1, loss - bears
             if n == self.length[i]:
                 keep = np.arange(len(self.items)) != i
                 self.start, self.length, self.first = self.start[keep], self.length[keep], self.first[keep]
@@ -196,25 +202,26 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, kept: int = 700_000) -> DataFrame:
-    """Rows (id, start, length, doc_tokens, sequence_id, offset, ids): pieces of the texts' ids, ``end_id`` after each text.
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_after: Column | None = None, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 128, kept: int = 700_000) -> DataFrame:
+    """Rows (id, start, length, doc_tokens, loss_tokens, sequence_id, offset, ids): pieces of the texts' ids, ``end_id``
+    after each text.
 
-    ``loss_from_col``: the index of a text's first loss-bearing token (null or no column: 0), as a response that follows
-    a prompt has it. ``ids`` is binary, little-endian unsigned 32-bit integers. ``kept`` bounds the encoded stretches that
+    ``loss_after``: how many code points of a text, as a prompt before a response, bear no loss (null, below one, or not
+    given: none); a stretch that it cuts bears none, the end token always does. ``ids`` is binary, little-endian unsigned 32-bit integers. ``kept`` bounds the encoded stretches that
     a worker keeps: memory against time, not results.
     """
     end = np.array([end_id], "<u4").tobytes()
-    cols = [id_col, text_col] + ([loss_from_col] if loss_from_col else [])
-    kind = docs.schema[id_col].dataType.simpleString()
-    types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+    cols = [F.col(id_col), F.col(text_col), *([] if loss_after is None else [loss_after.cast("long").alias("_after")])]
+    prompts, kind = loss_after is not None, docs.schema[id_col].dataType.simpleString()
+    types = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def packed(batches):
-        encoder, packer = chunk_encoder(tokenizer, kept), Packer(max_tokens, max_segments, max_loss)
+        encoder, packer = chunk_encoder(tokenizer, kept), Packer(max_tokens, max_segments, max_loss, window)
         base = TaskContext.get().partitionId() << 40
 
         def batch(rows, like):
             key, *rest = zip(*rows, strict=True)
-            rest[3] = [base + s for s in rest[3]]
+            rest[4] = [base + s for s in rest[4]]
             return pa.record_batch([pa.array(key, like), *(pa.array(x, f.type) for x, f in zip(rest, types, strict=True))], names=[id_col, *types.names])
 
         like, rows = None, []
@@ -222,9 +229,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             like = b.column(0).type
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                first = part.column(2).to_pylist() if loss_from_col else [0] * part.num_rows
-                for key, ids, at in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), first, strict=True):
-                    rows += packer.add(key, ids + end, at or 0)
+                coded = encoder.encode(part.column(1).to_pylist(), part.column(2).to_pylist() if prompts else None)
+                for key, (ids, first) in zip(part.column(0).to_pylist(), coded, strict=True):
+                    rows += packer.add(key, ids + end, first)
                 if len(rows) >= 1000:
                     yield batch(rows, like)
                     rows = []

@@ -81,11 +81,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+#: The limits of op8's sequences; the first line of a text stands for a prompt, whose tokens bear no loss.
+PACKING = {"max_tokens": 4096, "max_segments": 12, "max_loss": 3968}
+
+
+def first_line(text: str = "text") -> F.Column:
+    return F.instr(text, "\n")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    pieces = pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, max_tokens=4096, max_segments=256)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, loss_after=first_line(), **PACKING)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,7 +254,8 @@ def test_packing_limits(limits):
         rows += packer.add(i, np.arange(n, dtype="<u4").tobytes(), first[i])
     rows += packer.close()
     seen, by = defaultdict(int), defaultdict(list)
-    for key, start, n, total, seq, offset, ids in rows:
+    for key, start, n, total, bears, seq, offset, ids in rows:
+        assert bears == max(0, start + n - max(start, first[key]))
         assert np.frombuffer(ids, "<u4").tolist() == list(range(start, start + n)) and total == sizes[key]
         seen[key] += n
         by[seq].append((offset, n, max(0, start + n - max(start, first[key]))))
@@ -268,6 +269,89 @@ def test_packing_limits(limits):
         assert all(n & (n - 1) == 0 for n in full)
 
 
+def brute_packing(texts, cap, segments, most, window):
+    """The rule in plain Python: (key, start, length, sequence), texts given as (tokens, first loss-bearing token)."""
+    waiting, out, seq = [], [], 0
+    bears = lambda at, n, first: max(0, at + n - max(at, first))
+
+    def fill():
+        nonlocal seq
+        longest = sum(sorted((w[2] for w in waiting), reverse=True)[:segments])
+        size = cap
+        while longest < cap and size > longest:
+            size //= 2
+        left, places, loss = size, segments, most
+        while left and places and waiting:
+            fits = [w for w in waiting if w[2] <= left and bears(w[1], w[2], w[3]) <= loss]
+            if places == 1 and any(w[2] >= left for w in waiting):
+                fits = [w for w in fits if w[2] == left]
+            if fits:
+                at = max(fits, key=lambda w: w[2] / cap * (left / cap) + places / segments**2 + bears(w[1], w[2], w[3]) / most * (loss / most))
+                n = at[2]
+            else:
+                room = [min(left, max(0, w[3] - w[1]) + loss, w[2]) for w in waiting]
+                n = max(room)
+                at = waiting[room.index(n)]
+            if n <= 0:
+                break
+            out.append((at[0], at[1], n, seq))
+            left, places, loss = left - n, places - 1, loss - bears(at[1], n, at[3])
+            at[1], at[2] = at[1] + n, at[2] - n
+            waiting[:] = [w for w in waiting if w[2]]
+        seq += 1
+
+    for key, (n, first) in enumerate(texts):
+        at = 0
+        while n - at >= cap and bears(at, cap, first) <= most:
+            out.append((key, at, cap, seq))
+            seq, at = seq + 1, at + cap
+        if at < n:
+            waiting.append([key, at, n - at, first])
+        if len(waiting) >= window:
+            while len(waiting) > window // 2:
+                fill()
+    while waiting:
+        fill()
+    return out
+
+
+def packed_rows(texts, *limits):
+    packer, rows = packing.Packer(*limits), []
+    for i, (n, first) in enumerate(texts):
+        rows += packer.add(i, bytes(4 * n), first)
+    return [(r[0], r[1], r[2], r[5]) for r in rows + packer.close()]
+
+
+def test_packing_takes_the_largest_dot_product():
+    r = random.Random(4)
+    for limits in ((64, 5, 60, 16), (64, 64, 64, 16), (128, 4, 100, 30)):
+        texts = [(n := r.choice([1, 2, 3, 7, 11, 30, 50, 200]), r.randint(0, n // 3)) for _ in range(400)]
+        assert packed_rows(texts, *limits) == brute_packing(texts, *limits)
+
+
+def test_each_limit_of_the_packing_query_binds(spark):
+    """On the query's own parameters and table; without either extra limit the sequences are others."""
+    limits = queries.PACKING
+    rows = queries.op8_packing(spark, "/root/testdata/sf0.01").select("doc_id", "start", "length", "doc_tokens", "loss_tokens", "sequence_id").collect()
+    tokens, segments, loss = Counter(), Counter(), Counter()
+    for x in rows:
+        tokens[x.sequence_id] += x.length
+        segments[x.sequence_id] += 1
+        loss[x.sequence_id] += x.loss_tokens
+    assert max(tokens.values()) == limits["max_tokens"] and max(segments.values()) == limits["max_segments"] and max(loss.values()) == limits["max_loss"]
+    padding = sum(0 if n & (n - 1) == 0 else limits["max_tokens"] - n for n in tokens.values())
+    assert padding <= 0.02 * sum(tokens.values())
+    of = defaultdict(lambda: [0, 0])
+    for x in rows:
+        of[x.doc_id][0] += x.length
+        of[x.doc_id][1] += x.loss_tokens
+    texts = [(n, n - bears) for n, bears in of.values()]
+    cap, most, heavy = limits["max_tokens"], limits["max_segments"], limits["max_loss"]
+    whole = packed_rows(texts, cap, most, heavy, 128)
+    assert whole == brute_packing(texts, cap, most, heavy, 128)
+    assert whole != packed_rows(texts, cap, 10**6, heavy, 128) and whole != packed_rows(texts, cap, most, cap, 128)
+
+
 def test_chunk_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -276,7 +360,7 @@ def test_chunk_encoder_equals_the_library():
     own, lib = packing.ChunkEncoder(path, most=50), Tokenizer.from_file(path)
     samples = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     for i in range(0, len(samples), 100):
-        for x, ids in zip(samples[i : i + 100], own.encode(samples[i : i + 100]), strict=True):
+        for x, (ids, _) in zip(samples[i : i + 100], own.encode(samples[i : i + 100]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids
 
 
