@@ -36,11 +36,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
 
 
-def bounded(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts to Python workers some at a time: the session's default of 10,000 rows a batch is for short ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10_000:
-        spark.conf.set(key, str(rows))
+def bounded(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Hand whole texts to Python workers in batches that end at ``rows`` rows or ``size`` bytes, one row at least.
+
+    The session's defaults are for short rows; what its user has set otherwise stays.
+    """
+    for key, default, own in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", str((1 << 31) - 1), size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(own))
 
 
 #: What operators keep in a worker between tasks: the name of each one's cache and how to clear it.
@@ -75,6 +79,18 @@ def removed(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(rows: DataFrame, each: DataFrame, key: str, total: int, how: str = "inner", count: str = "n") -> DataFrame:
+    """``rows`` joined by ``key`` with ``each``, which has one row for each key and in ``count`` its number of rows, ``total`` in all.
+
+    No task gets a hot key whole: keys of more than ``total / 100,000`` rows (64 at least), of which there are fewer than
+    100,000 by that bound, are broadcast to where the rows are; the others are joined by key.
+    """
+    most = max(64, total // 100_000)
+    hot = F.broadcast(each.where(F.col(count) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(each.where(F.col(count) <= most), key, how)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; sets counts of shards, never results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

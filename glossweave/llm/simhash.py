@@ -245,31 +245,35 @@ def links(distinct: DataFrame, n: int, radius: int = 4, chunk: int = 8192, block
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, root) for the nodes of (u, v) by alternating large and small stars; the root is the smallest node."""
+    """(node, root) for the nodes of (u, v) by alternating large and small stars; the root is the smallest node.
+
+    A hub, as the root of a large class is one, does not go to one task: see ``shared.spread_join``.
+    """
     turned = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before = None
+    total, before = turned.count(), None
     for _ in range(most):
         both = turned.unionByName(turned.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = shared.spread_join(both, low, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = shared.spread_join(large, low, "u", 2 * total)
         turned = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         # every node now hangs under a smaller one; nothing changes any more once no node is both child and parent
         now = tuple(turned.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("u", "v"), 32))).first())
         if now == before:
             return turned.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, total = now, now[0]
     raise RuntimeError("components did not converge")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = 4, chunk: int = 8192, blocks: int = 1) -> DataFrame:
     """(id, fp long, component_id): each row's fingerprint and the smallest id that its links reach, its own included."""
     own = shared.written(fingerprints(docs, id_col, text_col, words_each), "simhash")
-    distinct = own.groupBy("fp").agg(F.min(id_col).alias("low"))
-    n = distinct.count()
-    star = links(distinct.select("fp"), n, radius, chunk, blocks)
+    distinct = shared.written(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    count, rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    star = links(distinct.select("fp"), count, radius, chunk, blocks)
     roots = components(star)
-    within = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = within.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(within.select("fp", "root").join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    within = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    lows = within.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of = shared.written(shared.spread_join(within, lows, "root", count, count="members").select("fp", "n", "component_id"), "simhash-classes")
+    return shared.spread_join(own, of, "fp", rows).select(id_col, "fp", "component_id")
