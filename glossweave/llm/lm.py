@@ -4,7 +4,8 @@ Counting is a Spark job; the model is a folder of sorted hash arrays that worker
 
 * Words are ASCII-lower-cased stretches between ASCII white space; a text ends with an end token.
 * The vocabulary: the sorted 64-bit hashes of all training tokens with their counts, in shards by the leading bits. A
-  word's number is its place. Shards grow in number with the input, so each stays small.
+  word's number is its place by falling count in its shard, times the shards, plus the shard: frequent words have small
+  numbers, which compress well. Shards grow in number with the input, so each stays small.
 * N-grams of numbers are counted in each task, dealt by hash to shards, summed there, and written as sorted arrays of
   64-bit keys with counts of a byte; counts of 255 or more stand whole in a second file. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
   successors seen once, twice, more often) and suffixes (number of predecessors, or the count after the start of a
@@ -28,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -247,44 +249,51 @@ class Numbers:
     def places(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
         if self.fresh:
-            place, (count,) = self.vocabulary.find(np.fromiter(map(xxhash.xxh64_intdigest, self.fresh), U8, len(self.fresh)))
-            self.number = np.concatenate([self.number, np.where(place < 0, UNSEEN, place).astype(U8)])
+            hashed = np.fromiter(map(xxhash.xxh64_intdigest, self.fresh), U8, len(self.fresh))
+            place, (count, rank) = self.vocabulary.find(hashed)
+            bits = self.vocabulary.bits
+            number = rank.astype(U8) << U8(bits) | hashed >> U8(64 - bits)
+            self.number = np.concatenate([self.number, np.where(place < 0, U8(UNSEEN), number)])
             self.count = np.concatenate([self.count, count])
             self.fresh.clear()
         return out
 
-    def stream(self, texts: list[list[bytes]], order: int) -> np.ndarray:
-        """The texts' places, each with its end token, and ``order - 1`` starts before it (one at least)."""
-        pad, words = max(1, order - 1), []
-        for t in texts:
-            words += t
-        n = np.array([len(t) for t in texts])
-        out = np.zeros(len(words) + (pad + 1) * len(texts), np.uint32)
+    def stream(self, texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' places, each with its end token, and ``order - 1`` starts before it (one at least); and how many
+        tokens each has."""
+        pad = max(1, order - 1)
+        words, n = tokens(texts)
+        own = words.dictionary_encode()
+        out = np.zeros(len(words) + (pad + 1) * len(n), np.uint32)
         ends = np.cumsum(n + pad + 1) - 1
         inside = np.ones(len(out), bool)
         inside[ends] = False
         for j in range(pad):
             inside[ends - n - 1 - j] = False
-        out[inside] = self.places(words)
+        if len(words):
+            out[inside] = self.places(own.dictionary.to_pylist())[own.indices.to_numpy()]
         out[ends] = 1
-        return out
+        return out, n + 1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.not_equal(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]))
+    return words.filter(real).cast(pa.binary()), np.diff(upto[ends])
 
 
-def slices(batch: pa.RecordBatch, col: int, size: int):
-    """(first row, token lists) of parts of a batch with about ``size`` tokens."""
-    part, n, first = [], 0, 0
-    for i, x in enumerate(batch.column(col)):
-        part.append(tokens(x.as_py()))
-        n += len(part[-1]) + 1
-        if n >= size:
-            yield first, part
-            part, n, first = [], 0, i + 1
-    if part:
-        yield first, part
+def slices(batch: pa.RecordBatch, col: int, size: int = 4 << 20):
+    """(first row, texts) of parts of a batch with about ``size`` bytes."""
+    texts = batch.column(col)
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield a, texts.slice(a, b - a)
 
 
 @dataclass
@@ -297,11 +306,10 @@ class Model:
     tokens: int
     types: int
 
-    def scores(self, texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, ...]:
+    def scores(self, texts: pa.Array, numbers: Numbers) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, score."""
-        s = numbers.stream(texts, self.order)
+        s, n = numbers.stream(texts, self.order)
         at = np.flatnonzero(s)
-        n = np.array([len(t) + 1 for t in texts])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
         count = numbers.count[s[at]]
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
@@ -337,7 +345,7 @@ def _reduce(blobs: DataFrame, merge, schema: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Table, int]:
-    """The table of the words' hashes and counts, and the number of tokens."""
+    """The table of the words' hashes, counts and places by count in their shard, and the number of tokens."""
 
     def count(batches):
         shared.lean()
@@ -351,9 +359,10 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
             return rows_of(dealt([h], [c], bits, by=h))
 
         for b in batches:
-            for x in b.column(0):
-                held.update(tokens(x.as_py()))
-                held[b""] += 1
+            for _, texts in slices(b, 0):
+                of = pc.value_counts(tokens(texts)[0])
+                held.update(dict(zip(of.field(0).to_pylist(), of.field(1).to_pylist(), strict=True)))
+                held[b""] += len(texts)
                 if len(held) > 500_000:
                     yield send()
                     held.clear()
@@ -362,14 +371,16 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
 
     def merge(shard, parts):
         (h,), (c,) = summed([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
-        shared.save(f"{uri}/{shard}", [h, c])
+        rank = np.empty(len(h), "<u4")
+        rank[np.lexsort([h, -c.astype(np.int64)])] = np.arange(len(h), dtype="<u4")
+        shared.save(f"{uri}/{shard}", [h, c, rank])
         return pa.table({"shard": [shard], "n": [len(h)], "total": [int(c.sum())]})
 
     found = _reduce(docs.select(text_col).mapInArrow(count, "shard int, blob binary"), merge, "shard long, n long, total long").collect()
     sizes = [0] * (1 << bits)
     for r in found:
         sizes[r["shard"]] = r["n"]
-    return Table(uri, bits, ["<u8"], sizes), sum(r["total"] for r in found)
+    return Table(uri, bits, ["<u8", "<u4"], sizes), sum(r["total"] for r in found)
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes: int = 8 << 20, shard_tokens: int = 1_000_000) -> Model:
@@ -394,7 +405,7 @@ def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int, shard
     bits = min(16, max(6, (shared.input_bytes(docs) // shard_bytes).bit_length()))
     words, total = vocabulary(docs, text_col, f"{uri}/words", bits)
     types = sum(words.sizes)
-    if types >= START:
+    if max(words.sizes, default=0) << words.bits >= START:
         raise ValueError("more distinct words than numbers of 32 bits")
     bits = min(18, max(4, (total // shard_tokens).bit_length()))
 
@@ -411,8 +422,8 @@ def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int, shard
             return rows_of(dealt([c[by] for c in cols], [times[by].astype(U8)], bits))
 
         for b in batches:
-            for _, texts in slices(b, 0, 500_000):
-                held.append(numbers.stream(texts, order))
+            for _, texts in slices(b, 0):
+                held.append(numbers.stream(texts, order)[0])
                 n += len(held[-1])
                 if n >= HELD:
                     yield send()
@@ -504,7 +515,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = sent.value
         numbers = Numbers(own.vocabulary)
         for b in batches:
-            for first, texts in slices(b, 1, 500_000):
+            for first, texts in slices(b, 1):
                 if numbers.crowded:
                     numbers.clear()
                 found = own.scores(texts, numbers)
