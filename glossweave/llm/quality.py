@@ -7,8 +7,12 @@ them each rule rejects texts whose feature exceeds a cutoff, and the cutoffs are
   equal cutoffs of the feature's range.
 * A cutoff is admitted if the exact binomial tail says that a rule that rejects a share of ``risk`` of all good texts
   would have rejected as few of the holdout as it did with a probability of at most ``delta / m``: the Clopper-Pearson
-  upper bound of its false-rejection rate is below ``risk``. m counts all rules, cutoffs and strata (Bonferroni), and
-  ``risk`` is the allowed share of a stratum divided by the number of rules.
+  upper bound of its false-rejection rate is below ``risk``. m counts all rules and strata (Bonferroni), and ``risk`` is
+  the allowed share of a stratum divided by the number of rules.
+* The cutoffs of a rule are tested in a fixed sequence, from the loosest to the strictest, until one fails; that order is
+  set before the labels are seen, so it needs no correction for the number of cutoffs. A stricter cutoff rejects what a
+  looser one does and more, so the tail only grows along the sequence, and the cutoffs before the first failure are
+  just those that pass.
 * The smallest admitted cutoff of each rule is used. With probability 1 - ``delta``, in no stratum more than the allowed
   share of good texts is lost. A stratum with too few labels admits nothing and loses nothing.
 
@@ -121,11 +125,11 @@ def cutoffs(holdout: DataFrame, stratum: str, allowed: float, delta: float, step
     step = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.ceil(x * steps), F.lit(steps)).cast("int").alias("step")) for r, x in rules.items()]))
     counts = holdout.select(stratum, step.alias("s")).groupBy(stratum, "s.rule", "s.step").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(stratum, "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"))  # steps + 1 entries at most
-    m = totals.select(F.count_distinct(F.coalesce(F.hash(F.col(stratum)), F.lit(0))).alias("m")).first()["m"]
+    m = totals.select(stratum).distinct().count()
     grid = totals.select(stratum, "rule", "n", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("cut"), "by")
     over = F.aggregate(F.sequence(F.col("cut") + 1, F.lit(steps)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("by", i), F.lit(0)))
     tested = grid.select(stratum, "rule", "n", "cut", over.alias("k")).where(F.col("k") < F.col("n") * risk)
-    admitted = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / max(1, m * len(rules) * steps))
+    admitted = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / max(1, m * len(rules)))
     best = admitted.groupBy(stratum, "rule").agg((F.min("cut") / F.lit(float(steps))).alias("cutoff"))
     return best.groupBy(stratum).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
