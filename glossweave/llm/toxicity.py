@@ -10,7 +10,8 @@
 
 Inputs of a score are characters of the text only. Nulls: a null text is an empty one, and gets the score of the
 intercept; rows of labels without a label or an id are left out; a null id is scored like any other; of several labels
-for one id the highest counts. Without labels of both kinds every score is the smoothed share of toxic labels.
+for one id the highest counts, and of several texts that with the smallest digest, so that the model doesn't depend on
+partitions. Repeated rows are scored each. Without labels of both kinds every score is the smoothed share of toxic labels.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str =
     wanted = labels.where(in_training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     sample = wanted.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_train)
     ids = F.broadcast(spark.createDataFrame(sample.toPandas(), sample.schema))  # at most max_train ids
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col).dropDuplicates([id_col]).select("text", "label")
+    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, id_col)
+    rows = texts.groupBy(id_col).agg(F.first("label").alias("label"), F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("t")).select("t.text", "label")
     held = shared.written(rows, "toxicity")
 
     def places(batches):
