@@ -22,7 +22,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(i).alias(f"n_{KINDS[i][0]}") for i in range(3)]
     every = F.array_sort(F.concat("base", "added"))
     live = F.size(F.filter(every, lambda s: s["live"])).cast("long")
-    return hits.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), live.alias("n_live"), (F.size(every) - live).alias("n_copied"))
+    most = F.coalesce(F.array_max(F.transform(every, lambda s: s["repositories"])), F.lit(0)).cast("long")
+    return hits.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), live.alias("n_live"), (F.size(every) - live).alias("n_copied"), most.alias("most_repositories"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     uri = shared.folder(spark, "warc")
     pages = _table(spark, sf_dir, "pages")
-    warc.write(pages, uri, least=100)
+    warc.write(pages, uri, least=100, date=F.lit("2020-01-01T00:00:00Z"))
     kind = pages.schema["page_id"].dataType
     found = warc.parsed(warc.read(spark, uri))
     return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
@@ -150,12 +151,12 @@ def _secrets_sql() -> str:
         each.append(f"SELECT r, {i} AS kind, CAST(list_sum(list_transform(ss[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b, length(m) AS n, sha256(v) AS h FROM ({flat}) WHERE length(v) >= {least}{good}")
     names = "[" + ", ".join(f"'{k[0]}'" for k in KINDS) + "]"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),
 spans AS ({' UNION ALL '.join(each)}),
-own AS (SELECT h, count(DISTINCT owner) <= 2 AS live FROM spans JOIN d USING (r) GROUP BY h),
-s AS (SELECT r, kind, b, {names}[kind + 1] || ':' || b || ':' || (b + n) AS shown, live FROM spans JOIN own USING (h) WHERE kind < {BASE} OR live),
-g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS x, string_agg(shown, ',' ORDER BY b, kind) FILTER (WHERE kind < {BASE}) AS base, string_agg(shown, ',' ORDER BY b, kind) AS every, count(*) FILTER (WHERE live) AS live, count(*) FILTER (WHERE NOT live) AS copied FROM s GROUP BY r)
-SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied FROM d LEFT JOIN g USING (r)"""
+own AS (SELECT h, count(DISTINCT (owner, lang)) AS places, count(DISTINCT owner) <= 2 AND places <= 3 AS live FROM spans JOIN d USING (r) GROUP BY h),
+s AS (SELECT r, kind, b, {names}[kind + 1] || ':' || b || ':' || (b + n) AS shown, live, places FROM spans JOIN own USING (h) WHERE kind < {BASE} OR live),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS x, string_agg(shown, ',' ORDER BY b, kind) FILTER (WHERE kind < {BASE}) AS base, string_agg(shown, ',' ORDER BY b, kind) AS every, count(*) FILTER (WHERE live) AS live, count(*) FILTER (WHERE NOT live) AS copied, max(places) AS places FROM s GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied, coalesce(places, 0) AS most_repositories FROM d LEFT JOIN g USING (r)"""
 
 
 SQL: dict[str, str] = {
@@ -189,7 +190,7 @@ h AS (SELECT lang, unnest([f1, f2, f3, f4]) AS f, unnest([1, 2, 3, 4]) AS rule F
 steps AS (SELECT lang, rule, least(ceil(f * 50), 50) AS step, count(*) AS n FROM h GROUP BY ALL),
 cuts AS (SELECT lang, rule, cut, sum(n) AS n, coalesce(sum(n) FILTER (WHERE step > cut), 0) AS k FROM steps, (SELECT unnest(generate_series(0, 49)) AS cut) GROUP BY lang, rule, cut),
 tested AS (SELECT *, list_sum(list_transform(generate_series(0, CAST(k AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS tail FROM cuts WHERE k < n * 0.01),
-best AS (SELECT lang, rule, min(cut) / CAST(50 AS DOUBLE) AS cutoff FROM tested WHERE tail <= 0.05 / (200 * (SELECT count(DISTINCT coalesce(lang, '')) FROM steps)) GROUP BY lang, rule),
+best AS (SELECT lang, rule, min(cut) / CAST(50 AS DOUBLE) AS cutoff FROM tested WHERE tail <= 0.05 / (4 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM steps))) GROUP BY lang, rule),
 c AS (SELECT lang, max(cutoff) FILTER (WHERE rule = 1) AS c1, max(cutoff) FILTER (WHERE rule = 2) AS c2, max(cutoff) FILTER (WHERE rule = 3) AS c3, max(cutoff) FILTER (WHERE rule = 4) AS c4 FROM best GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(f1 > c1, false) OR coalesce(f2 > c2, false) OR coalesce(f3 > c3, false) OR coalesce(f4 > c4, false)) AS kept
 FROM x LEFT JOIN c ON x.lang IS NOT DISTINCT FROM c.lang""",

@@ -2,15 +2,17 @@
 
 Patterns find spans of whole texts: assignments, access keys and hex keys (the base), and signed tokens, keys with a
 vendor's prefix and long mixed-case strings (candidates only). The digest of each found value is counted over the whole
-corpus by distinct owners and distinct repositories. A value of more than ``most_owners`` owners is a widely copied
-example; one that few own is taken for live. Base spans are always reported; candidates only if they are live.
+corpus by distinct owners and distinct repositories. A value is a widely copied example if it has more than
+``most_owners`` owners, or stands in more than ``most_repositories`` repositories, as one that a single owner pastes
+everywhere does; what is left is owner-specific and taken for live. Base spans are always reported; candidates only if
+they are live.
 
 A text is tried against one joint pattern first. Start and end count code points, the end excluded; they come from
 the lengths of the pieces between the matches. Only digests, owners and spans move between tasks: equal digests of an
-owner's repository are one row before they are counted, and the join back by digest lets Spark split a hot one.
+owner's repository are one row before they are counted, and the counts of a hot digest are broadcast to its rows.
 
 Nulls: a null text is an empty one; a null owner or repository is an owner or repository named by the empty string; null
-ids are kept. Repeated rows are scanned each, and count once as owners.
+ids are kept. Repeated rows are scanned each, and count once as owners. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,26 +78,30 @@ def found(docs: DataFrame, keep: list[Column], text: Column) -> DataFrame:
     return step.select(*names, F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["from"].alias("from"), F.sha2(s["value"], 256).alias("digest"))).alias("spans"))
 
 
-def scan(docs: DataFrame, keep: list[str], text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, texts: bool = False) -> DataFrame:
-    """``keep``, ``base`` and ``added``: arrays of (start, kind, end, from, owners, repositories, live), ascending.
-
-    With ``texts`` only rows that the joint pattern matches, with ``text_digest``, the SHA-256 of the text.
-    """
-    text = shared.text_of(text_col)
+def _scanned(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repository_cols: tuple[str, ...], most_owners: int, most_repositories: int) -> tuple[DataFrame, DataFrame]:
+    """``keep``, ``_row`` and ``spans``, stored; and (_row, base, added) of the rows that have spans."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    more = [F.sha2(text, 256).alias("text_digest")] if texts else []
-    rows = docs.where(text.rlike(JOINT)) if texts else docs
-    keep = [*keep, *(["text_digest"] if texts else [])]
-    rows = found(rows, [*(F.col(c) for c in keep if c != "text_digest"), *more, name(owner_col).alias("_owner"), F.to_json(F.array(*map(name, repository_cols))).alias("_repository")], text)
+    places = [name(owner_col).alias("_owner"), F.to_json(F.array(*map(name, repository_cols))).alias("_repository")]
+    rows = found(docs, [*map(F.col, keep), *places], shared.text_of(text_col))
     rows = shared.written(rows.withColumn("_row", F.monotonically_increasing_id()), "secrets")
     each = rows.where(F.size("spans") > 0).select("_row", "_owner", "_repository", F.inline("spans"))
-    seen = each.select("digest", "_owner", "_repository").distinct()
-    seen = seen.groupBy("digest").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"))
-    span = F.struct("start", "kind", "end", "from", "owners", "repositories", (F.col("owners") <= most_owners).alias("live"))
-    judged = each.join(seen, "digest").groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
-    none = F.array().cast(judged.schema["judged"].dataType)
-    every = F.coalesce("judged", none)
-    return rows.join(judged, "_row", "left").select(*keep, F.filter(every, lambda s: s["kind"] < BASE).alias("base"), F.filter(every, lambda s: (s["kind"] >= BASE) & s["live"]).alias("added"))
+    seen = each.groupBy("digest", "_owner", "_repository").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.groupBy("digest").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"), F.sum("n").alias("n"))
+    seen = shared.written(seen, "secrets-seen")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    span = F.struct("start", "kind", "end", "from", "owners", "repositories", live.alias("live"))
+    judged = shared.spread_join(each, seen, "digest", total).groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("every"))
+    base = F.filter("every", lambda s: s["kind"] < BASE).alias("base")
+    return rows, judged.select("_row", base, F.filter("every", lambda s: (s["kind"] >= BASE) & s["live"]).alias("added"))
+
+
+def scan(docs: DataFrame, keep: list[str], text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, most_repositories: int = 3) -> DataFrame:
+    """``keep``, ``base`` and ``added``: arrays of (start, kind, end, from, owners, repositories, live), ascending."""
+    rows, judged = _scanned(docs, keep, text_col, owner_col, repository_cols, most_owners, most_repositories)
+    none = F.array().cast(judged.schema["base"].dataType)
+    joined = rows.select(*keep, "_row").join(judged, "_row", "left")
+    return joined.select(*keep, F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def shown(spans: Column) -> Column:
@@ -104,15 +110,12 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the values of all base and added spans replaced; a null text stays null."""
-    text = shared.text_of(text_col)
-    spans = scan(docs, [id_col], text_col, owner_col, repository_cols, texts=True)
-    spans = spans.select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_digest"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["from"].alias("from"), s["end"].alias("end")))).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id", "_digest"])
-    hit = F.coalesce(F.col(text_col).rlike(JOINT), F.lit(False))
-    plain = docs.where(~hit)
-    joined = docs.where(hit).withColumn("_key", F.sha2(text, 256))
-    joined = joined.join(spans, (joined["_key"] == spans["_digest"]) & joined[id_col].eqNullSafe(spans["_id"]), "left")
+def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, most_repositories: int = 3, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with the values of all base and added spans replaced; a null text stays null. Texts are scanned once, and
+    only those with spans are joined."""
+    rows, judged = _scanned(docs, docs.columns, text_col, owner_col, repository_cols, most_owners, most_repositories)
+    cuts = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["from"].alias("from"), s["end"].alias("end"))))
+    joined = rows.where(F.size("spans") > 0).join(judged.select("_row", cuts.alias("_cuts")), "_row")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["from"] - acc["at"], F.lit(0)))
@@ -120,5 +123,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         return new
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col("_spans"), start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return plain.unionByName(joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(done)).select(*docs.columns))
+    done = F.aggregate(F.col("_cuts"), start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    plain = rows.where(F.size("spans") == 0).select(*docs.columns)
+    return plain.unionByName(joined.withColumn(text_col, done).select(*docs.columns))
