@@ -5,19 +5,29 @@ one gadget: the arcs of u are led to a new state, a copy of their target without
 may go too, to where v went. What paths remain are the tokenizations that BPE gives, so a text has one path, and so
 has each of its prefixes.
 
-A gadget changes the target of a single token, so a state is named by the token that leads to it and by what the
-gadgets have removed there; the table of transitions is filled as texts ask for it. A pre-split word is encoded by
-running the automaton over its bytes: for each end the token is found that the state at its start has an arc for.
-Decoding emits the labels of the arcs.
+A gadget changes the target of a single token, so a token has one state that it leads to; tokens share a state until a
+gadget copies it. The finished automaton is compiled, once for a file, to tables of whole numbers:
+
+* Tokens are numbered so that those that begin with v, by merges after a time, stand in a row. A state's missing arcs are
+  then a few runs of these numbers, and its transitions are the sorted ends of the runs: a token has an arc if an even
+  number of them lies at or below its own.
+* The bytes go through the matching automaton of all labels (arcs by byte, links to the longest proper suffix), whose
+  nodes name the longest token that ends there; each token names the next shorter one.
+
+A pre-split word is encoded by table lookups: for each end the token is found that ends there and that the state at its
+start has an arc for. Decoding emits the labels of the arcs.
 
 The files are those of the ``tokenizers`` library: byte-level pre-splitting, added tokens matched first. Nulls: a null
-text is an empty one. Ids are little-endian unsigned 32-bit integers.
+text is an empty one. Repeated rows are encoded each; an empty table gives an empty result. Ids are little-endian unsigned
+32-bit integers.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -49,11 +59,11 @@ class Automaton:
         if len(vocab) >= 1 << BITS:
             raise ValueError("the vocabulary is too large for the table's keys")
         self.label = {i: bytes(letter[c] for c in t) for t, i in vocab.items()}
-        self.token = {b: i for i, b in self.label.items()}
         n = max(vocab.values()) + 1
         self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.removed: dict[int, int] = {}  # token u and token v: the merge that took the arc of v from where u leads
-        self.table: dict[int, bool] = {}
+        copies: list[tuple[int, int, int]] = [(-1, -1, -1)]  # states: copied from, without the arc of, by the merge
+        target = [0] * n
         made: set[int] = set()
         for k, (a, b) in enumerate(merges):
             u, v = vocab[a], vocab[b]
@@ -61,15 +71,19 @@ class Automaton:
             if w in made or self.born[w] >= 0 or len(self.label[w]) < 2:
                 raise ValueError(f"two merges make {a + b!r}")
             made.add(w)
-            if self.arc(u, v):  # else the gadget finds no arc to split
+            if self.open(u, v):  # else the gadget finds no arc to split
                 self.born[w], self.left[w], self.right[w] = k, u, v
                 self.removed[u << BITS | v] = k
+                target[w] = target[v]
+                copies.append((target[u], v, k))
+                target[u] = len(copies) - 1
         single = {i for i, b in self.label.items() if len(b) == 1}
-        self.token = {b: i for b, i in self.token.items() if i in single or self.born[i] >= 0}
-        self.longest = max(map(len, self.token), default=1)
+        self.token = {b: i for i, b in self.label.items() if i in single or self.born[i] >= 0}
+        self.compile(copies, target)
+        self.match()
 
-    def arc(self, x: int, t: int) -> bool:
-        """Has the state that token ``x`` leads to an arc for ``t``, after the gadgets so far?
+    def open(self, x: int, t: int) -> bool:
+        """While the automaton is built: has the state that token ``x`` leads to an arc for ``t``, after the gadgets so far?
 
         The state's removals are those at x since it was made, those at x's right part before, and so on. The arc is
         there if that of t's left part was when t was made, and it was not removed since; and so on.
@@ -88,32 +102,110 @@ class Automaton:
                 return True
             t, while_t = self.left[t], self.born[t]
 
+    def compile(self, copies: list[tuple[int, int, int]], target: list[int]) -> None:
+        """The tables of the states that tokens lead to at the end: ``state``, ``place``, ``first``, ``bounds``."""
+        children: dict[int, list[int]] = {}
+        for t in sorted(self.token.values(), key=lambda t: -self.born[t]):  # the youngest first
+            if self.born[t] >= 0:
+                children.setdefault(self.left[t], []).append(t)
+        n = len(self.born)
+        self.place, upto, count = [0] * n, [0] * n, 0
+        stack = [t for t in self.token.values() if self.born[t] < 0]
+        while stack:
+            t = stack.pop()
+            if t < 0:
+                upto[~t] = count
+                continue
+            self.place[t] = count
+            count += 1
+            stack.append(~t)
+            stack += reversed(children.get(t, ()))
+        run: list[tuple[int, int]] = [(0, 0)]  # of each copied state: the places whose arcs it lost
+        for _, v, k in copies[1:]:
+            older = [c for c in children.get(v, ()) if self.born[c] >= k]
+            run.append((self.place[v], upto[older[-1]] if older else self.place[v] + 1))
+        number: dict[int, int] = {}
+        self.state, self.first, self.bounds = [0] * n, array("q", [0]), array("q")
+        for t in self.token.values():
+            s = target[t]
+            if s not in number:
+                number[s] = len(number)
+                runs = []
+                while s:
+                    runs.append(run[s])
+                    s = copies[s][0]
+                end = -1
+                for a, b in sorted(runs, key=lambda r: (r[0], -r[1])):  # runs lie in each other or apart
+                    if b > end:
+                        if a == end:
+                            self.bounds[-1] = b
+                        else:
+                            self.bounds.extend((a, b))
+                        end = b
+                self.first.append(len(self.bounds))
+            self.state[t] = number[target[t]]
+
+    def match(self) -> None:
+        """The matching automaton of the labels: ``step``, ``fail``, ``longest``, ``shorter``, ``size``."""
+        self.step, labels = {}, [b""]
+        for b in sorted(self.token):
+            node = 0
+            for i, x in enumerate(b):
+                key = node << 8 | x
+                node = self.step.setdefault(key, len(labels))
+                if node == len(labels):
+                    labels.append(b[: i + 1])
+        self.fail, self.longest = [0] * len(labels), [-1] * len(labels)
+        self.shorter, self.size = [-1] * len(self.born), [0] * len(self.born)
+        place = {b: i for i, b in enumerate(labels)}
+        for b in sorted(labels[1:], key=len):
+            node = place[b]
+            if len(b) > 1:
+                self.fail[node] = self.after(self.fail[place[b[:-1]]], b[-1])
+            below = self.longest[self.fail[node]]
+            t = self.token.get(b)
+            if t is None:
+                self.longest[node] = below
+            else:
+                self.longest[node], self.shorter[t], self.size[t] = t, below, len(b)
+
+    def after(self, node: int, x: int) -> int:
+        step, fail = self.step, self.fail
+        while (more := step.get(node << 8 | x)) is None:
+            if not node:
+                return 0
+            node = fail[node]
+        return more
+
+    def arc(self, x: int, t: int) -> bool:
+        """Has the state that token ``x`` leads to an arc for ``t``?"""
+        s = self.state[x]
+        a = self.first[s]
+        return not (bisect_right(self.bounds, self.place[t], a, self.first[s + 1]) - a) & 1
+
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
         if (t := self.token.get(word)) is not None:
             return [t]  # the start state has an arc for each token
-        n, token, table, longest = len(word), self.token, self.table, self.longest
-        last = [-1] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                t = token.get(word[i:j])
-                if t is None:
-                    continue
-                if i:
-                    key = last[i] << BITS | t
-                    ok = table.get(key)
-                    if ok is None:
-                        if len(table) > 1_000_000:
-                            table.clear()
-                        ok = table[key] = self.arc(last[i], t)
-                    if not ok:
-                        continue
-                last[j] = t
-                break
-        out, j = [], n
+        step, fail, longest, shorter, size = self.step, self.fail, self.longest, self.shorter, self.size
+        state, place, first, bounds = self.state, self.place, self.first, self.bounds
+        last, node = [-1], 0
+        for j, x in enumerate(word, 1):
+            while (more := step.get(node << 8 | x)) is None and node:
+                node = fail[node]
+            node = more or 0
+            t = longest[node]
+            while i := j - size[t]:
+                s = state[last[i]]
+                a = first[s]
+                if not (bisect_right(bounds, place[t], a, first[s + 1]) - a) & 1:
+                    break
+                t = shorter[t]
+            last.append(t)
+        out, j = [], len(word)
         while j:
             out.append(last[j])
-            j -= len(self.label[last[j]])
+            j -= size[last[j]]
         return out[::-1]
 
 

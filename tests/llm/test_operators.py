@@ -130,6 +130,19 @@ def test_bpe_automaton_allows_exactly_bpe():
         assert own.encode(x.encode()) == [vocab[p] for p in parts], x
 
 
+def test_bpe_tables_hold_the_arcs_of_the_gadgets():
+    own, r = bpe.Coder(queries._tokenizer("byte_bpe_50k.json")).automaton, random.Random(3)
+    tokens = sorted(own.token.values())
+    removed = r.sample(sorted(own.removed), 3000)
+    pairs = [(x >> bpe.BITS, x & ((1 << bpe.BITS) - 1)) for x in removed] + [(r.choice(tokens), r.choice(tokens)) for _ in range(20_000)]
+    by_left = defaultdict(list)
+    for t in tokens:
+        by_left[own.left[t]].append(t)
+    pairs += [(u, r.choice(by_left[v])) for u, v in pairs if by_left[v]]
+    assert all(own.arc(u, v) == own.open(u, v) for u, v in pairs)
+    assert sum(not own.open(u, v) for u, v in pairs) > 3000
+
+
 def test_simhash_links(spark):
     r = np.random.default_rng(1)
     for radius, blocks in ((4, 1), (6, 2)):
