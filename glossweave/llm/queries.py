@@ -108,34 +108,47 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_templates() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Notices with their sentences, and the full texts that this machine has."""
+    from .licenses import TEMPLATES, expanded, full_texts
+
+    return expanded(TEMPLATES), full_texts()
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
-    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), cutoff=0.8, name="found")
-    names = F.transform("found", lambda h: h["license"])
+    notices, full = op10_templates()
+    found = scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), cutoff=0.8, templates=notices, full=full, name="found")
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda h: h["license"])))
     best = F.array_max(F.transform("found", lambda h: F.round(h["dice"], 6)))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), best.alias("best_dice"))
+    return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.size("found").cast("long").alias("n_passages"), best.alias("best_dice"))
 
 
 QUERIES = {"op1_lm": op1_lm, "op2_topk": op2_topk, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
 
 
 def _license_sql() -> str:
-    from .licenses import TEMPLATES, bigrams
+    from .licenses import bigrams
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quoted(name)}, [{', '.join(map(quoted, bigrams(t)))}])" for i, (name, t) in enumerate(TEMPLATES))
+    kinds = op10_templates()
+    rows = ", ".join(f"({kind}, {i}, {quoted(name)}, [{', '.join(map(quoted, bigrams(t)))}])" for kind in (0, 1) for i, (name, t) in enumerate(kinds[kind]))
     return rf"""
-WITH templates(template, license, grams) AS (VALUES {rows}),
-parts AS (
-  SELECT doc_id, 0 AS kind, ix, passage FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS passage, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ix FROM documents)
-  UNION ALL
-  SELECT doc_id, 1, ix, passage FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n')) AS passage, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n'), 1) AS ix FROM documents) WHERE contains(passage, chr(10))),
-words AS (SELECT doc_id, kind, ix, list_filter(regexp_split_to_array(lower(passage), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM parts),
-sets AS (SELECT doc_id, kind, ix, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
-scored AS (SELECT doc_id, kind, ix, license, template, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice FROM sets, templates WHERE len(b) <= 100),
-best AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, kind, ix ORDER BY dice DESC, template) = 1)
-SELECT d.doc_id, count(b.doc_id) AS n_licenses, coalesce(string_agg(b.license, ',' ORDER BY b.kind, b.ix), '') AS licenses, round(max(b.dice), 6) AS best_dice
+WITH templates(kind, template, license, grams) AS (VALUES {rows}),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents),
+paragraphs AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n') AS ps FROM documents),
+passages AS (
+  SELECT 0 AS whole, doc_id, p FROM lines
+  UNION ALL SELECT 0, doc_id, p FROM (SELECT doc_id, unnest(ps) AS p FROM paragraphs) WHERE contains(p, chr(10))
+  UNION ALL SELECT 0, doc_id, s FROM (SELECT doc_id, p, unnest(string_split(regexp_replace(p, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM lines) WHERE s <> p
+  UNION ALL SELECT 1, doc_id, coalesce(text, '') FROM documents),
+words AS (SELECT whole, doc_id, p, list_filter(regexp_split_to_array(lower(p), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM passages),
+sets AS (SELECT row_number() OVER () AS r, whole, doc_id, p, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+scored AS (SELECT r, doc_id, p, license, template, 2.0 * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice FROM sets JOIN templates ON whole = templates.kind WHERE len(b) >= len(grams) * 0.66 AND len(b) <= len(grams) * 1.51),
+each AS (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, template) = 1),
+best AS (SELECT * FROM each h WHERE NOT EXISTS (SELECT 1 FROM each g WHERE g.doc_id = h.doc_id AND contains(g.p, h.p) AND g.p <> h.p AND g.dice >= h.dice))
+SELECT d.doc_id, count(DISTINCT license) AS n_licenses, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, count(license) AS n_passages, round(max(dice), 6) AS best_dice
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
 
 

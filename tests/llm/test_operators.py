@@ -391,5 +391,34 @@ def test_toxicity_holds_out(spark):
 
 def test_license_scan(spark):
     rows = ["Some text.\nReleased under the MIT License.\nMore.", "Licensed under CC BY 4.0", "released under the license of spring", "This work is licensed under the GNU General Public License,\nversion 3.", ""]
+    rows += ["We met at noon and spoke of the old house by the river for a long time. Licensed under the Apache License, Version 2.0.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."]
     got = {r.doc_id: [h.license for h in r.found] for r in licenses.scan(frame(spark, rows), name="found").collect()}
-    assert got == {0: ["MIT"], 1: ["CC-BY-4.0"], 2: [], 3: ["GPL-3.0", "GPL-3.0"], 4: []} or got[0] == ["MIT"] and got[1] == ["CC-BY-4.0"] and got[2] == [] and "GPL-3.0" in got[3] and got[4] == []
+    assert got == {0: ["MIT"], 1: ["CC-BY-4.0"], 2: [], 3: ["GPL-3.0"], 4: [], 5: ["Apache-2.0"], 6: ["GPL-2.0"]}
+
+
+def test_license_scan_against_all_templates(spark):
+    """The gate by marks and the size bounds lose nothing: parts of notices and full texts, some words left out, against every template."""
+    r = random.Random(8)
+    notices, full = queries.op10_templates()
+    full = full or [("made up", " ".join(f"clause{i % 70} grants rights number {i % 13}" for i in range(300)))]
+    rows = []
+    for _ in range(300):
+        name, t = r.choice(notices)
+        rows.append(" ".join(w for w in t.split() if r.random() < r.choice([0.8, 0.93, 1])))
+    for name, t in full:
+        rows += ["\n".join(x for x in t.split("\n") if r.random() < keep) for keep in (0.5, 0.8, 1)]
+
+    def best(x, templates):
+        a = set(licenses.bigrams(x))
+        scored = [(2 * len(a & set(b)) / (len(a) + len(b)), -i, name) for i, (name, t) in enumerate(templates) if (b := licenses.bigrams(t))]
+        return max(scored) if a else (0, 0, "")
+
+    got = {x.doc_id: x.found for x in licenses.scan(frame(spark, rows), templates=notices, full=full, name="found").collect()}
+    for i, x in enumerate(rows):
+        lines = x.split("\n")
+        passages = lines + [p for p in re.split(licenses.PARAGRAPH, x) if "\n" in p] + [p for y in lines for p in re.split(licenses.SENTENCE, y) if p != y]
+        hits = [(p, *best(p, notices)) for p in passages] + [(x, *best(x, full))]
+        hits = [(p, score, name) for p, score, _, name in hits if score >= 0.8]
+        want = [(name, score) for p, score, name in hits if not any(p in q and p != q and other >= score for q, other, _ in hits)]
+        assert [h.license for h in got[i]] == [n for n, _ in want]
+        assert all(math.isclose(h.dice, s) for h, (_, s) in zip(got[i], want, strict=True))
