@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,26 @@ def root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one, as a URI."""
-    return f"{root(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
+_made: list[list[str]] = []
+
+
+def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder of the shared one, as a URI; ``keep``: not one that ``removing`` removes."""
+    uri = f"{root(spark)}/glossweave-{name}-{uuid.uuid4().hex}"
+    if _made and not keep:
+        _made[-1].append(uri)
+    return uri
+
+
+@contextmanager
+def removing(spark: SparkSession, really: bool = True):
+    """Remove the folders that were made inside once what is computed from them is stored."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for uri in _made.pop() if really else ():
+            removed(spark, uri)
 
 
 def bounded(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
