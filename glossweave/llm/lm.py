@@ -475,13 +475,13 @@ def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int, shard
             width = (k + 1) // 2
             for b in batches:
                 for shard in b.column(0).to_pylist():
-                    prefix, suffix = zip(*(load_part(f"{uri}/down-{k + 1}/{s}", shard, 1 << bits) for s in sources), strict=True)
-                    prefix, suffix = ([unpacked(x) for x in part if x] for part in (prefix, suffix))
+                    sent = [load_part(f"{uri}/down-{k + 1}/{s}", shard, 1 << bits) for s in sources]
+                    prefix, suffix = ([unpacked(x[i]) for x in sent if x[i]] for i in (0, 1))
                     if not prefix and not suffix:
                         continue
                     rows = [[*p[:width], np.zeros(len(p[0]), U8), *p[width:]] for p in prefix] + [[*x, *[np.zeros(len(x[0]), U8)] * 4] for x in suffix]
                     whole = [np.concatenate(x) for x in zip(*rows, strict=True)]
-                    del prefix, suffix, rows
+                    del sent, prefix, suffix, rows
                     yield level(k, shard, whole[:width], whole[width:])
 
         parts = min(1 << bits, max(spark.sparkContext.defaultParallelism, total // shard_tokens + 1))
