@@ -15,9 +15,12 @@ def unifiable(a: Column, b: Column) -> Column:
 
 
 def unify(a: Column, b: Column) -> Column:
-    """Both structures' demands, or null if they contradict each other."""
-    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x.bitwiseAND(y), x, y))
-    return F.when(unifiable(a, b), both)
+    """Both structures' demands, or null if they contradict each other, which leaves a feature without a symbol.
+
+    The maps are met once; a structure has no empty bit sets of its own.
+    """
+    both = F.array(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x.bitwiseAND(y), x, y)))
+    return F.get(F.filter(both, lambda m: ~F.array_contains(F.map_values(m), F.lit(0).cast("long"))), F.lit(0))
 
 
 def subsumes(general: Column, special: Column) -> Column:
@@ -30,8 +33,10 @@ def priority_union(a: Column, b: Column) -> Column:
 
 
 def unify_priority(a: Column, b: Column) -> Column:
-    """``priority_union`` where the two unify, else null."""
-    return F.when(unifiable(a, b), priority_union(a, b))
+    """``priority_union`` where the two unify, else null; both come from one meeting of the maps."""
+    pair = lambda k, x, y: F.struct(F.coalesce(x.bitwiseAND(y), x, y).alias("both"), F.coalesce(y, x).alias("last"))
+    met = F.filter(F.array(F.map_zip_with(a, b, pair)), lambda m: ~F.exists(F.map_values(m), lambda v: v["both"] == 0))
+    return F.transform_values(F.get(met, F.lit(0)), lambda k, v: v["last"])
 
 
 def union(a: Column, b: Column) -> Column:

@@ -14,6 +14,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+PART = 256
+
+
+def running(x: Column) -> Column:
+    """Running sums of an array of int, part by part, so that a long array is not copied for each element."""
+    none = F.array().cast("array<int>")
+
+    def one(acc: Column, c: Column) -> Column:
+        start = F.struct(acc["sum"].alias("sum"), none.alias("out"))
+        add = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["out"], a["sum"] + v).alias("out"))
+        done = F.array(F.aggregate(F.slice(x, c * PART + 1, PART), start, add))
+        return F.get(F.transform(done, lambda p: F.struct(p["sum"].alias("sum"), F.concat(acc["out"], p["out"]).alias("out"))), F.lit(0))
+
+    parts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int"))).otherwise(none)
+    return F.aggregate(parts, F.struct(F.lit(0).alias("sum"), none.alias("out")), one)["out"]
+
+
 def trigrams(word: Column) -> Column:
     """Sliding threes of ``^word$`` in lower case."""
     x = F.concat(F.lit("^"), F.lower(word), F.lit("$"))

@@ -6,18 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from ..session import stored
 
 
 def closure(parents: DataFrame) -> DataFrame:
     """(node, ancestor, depth) of a forest given as (node, parent), null parents being roots.
 
-    Depths double with each step, so a forest of depth n takes log n joins; the node itself is not its ancestor.
+    Depths double with each step, so a forest of depth n takes log n joins; the node itself is not its ancestor. A node
+    that is its own ancestor is an error, found as soon as its circle is closed.
     """
     exact = parents.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"))
     closed, depth = exact.select("node", "ancestor", F.lit(1).alias("depth")), 1
     while True:
-        closed, exact = closed.persist(StorageLevel.DISK_ONLY), exact.persist(StorageLevel.DISK_ONLY)
+        closed, exact = stored(closed, "closure"), stored(exact, "closure-exact")
+        if (circle := closed.where("node = ancestor").select("node").first()) is not None:
+            raise ValueError(f"{circle['node']} is its own ancestor")
         if exact.isEmpty():
             return closed
         up = exact.select("node", F.col("ancestor").alias("mid"))
@@ -48,11 +52,18 @@ def object_state(rows: DataFrame) -> DataFrame:
     return last.select("subject", F.col("stage").alias("final_stage"), F.when(F.col("every") == F.col("some"), F.col("every")).alias("loaded"), F.array_join(F.array_sort("d"), ",").alias("dispositions"), F.col("first.reason").alias("primary_reason"))
 
 
-def effective_members(classes: DataFrame, phonemes: DataFrame) -> DataFrame:
-    """(class_id, member, basis): phonemes whose features a class's features subsume. Both are a grammar's small tables;
-    classes, some dozens, are the side that is copied."""
+def effective_members(classes: DataFrame, phonemes: DataFrame, most: int = 10_000) -> DataFrame:
+    """(class_id, member, basis): phonemes whose features a class's features subsume.
+
+    Phonemes with the same lanes are one row while they are compared: there are as many as a grammar tells apart, however
+    many members there are. Classes are copied only up to ``most``; beyond it, each set of lanes is compared once and
+    the classes stay where they are.
+    """
     ok = F.forall(F.zip_with("features", "lanes", lambda c, p: (p.bitwiseAND(F.bitwise_not(c)) == 0)), lambda x: x)
-    return phonemes.join(F.broadcast(classes), ok).select("class_id", "member", F.when(F.forall("features", lambda c: c == -1), "unrestricted").otherwise("features").alias("basis"))
+    kinds = phonemes.select("lanes").distinct()
+    few = classes.limit(most + 1).count() <= most
+    found = kinds.join(F.broadcast(classes) if few else classes, ok)
+    return phonemes.join(found, "lanes").select("class_id", "member", F.when(F.forall("features", lambda c: c == -1), "unrestricted").otherwise("features").alias("basis"))
 
 
 def census(rows: DataFrame, group: str, handled: Column) -> DataFrame:

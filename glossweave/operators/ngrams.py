@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 START, END = "<s>", "</s>"
 ALPHA, UNKNOWN = 0.4, 1e-6
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(sentences: DataFrame, id_col: str, text_col: str = "text", order: int = 3) -> DataFrame:
@@ -32,13 +33,19 @@ def totals(cnt: DataFrame) -> DataFrame:
 
 
 def relative(cnt: DataFrame) -> DataFrame:
-    return cnt.join(totals(cnt), ["n", "context"]).select("n", "context", "word", (F.col("count") / F.col("total")).alias("p"))
+    """(n, context, word, count, p). Single words have one context, whose total is a scalar and not a join key.
+
+    A model: store it before the functions below use it several times.
+    """
+    words, longer = cnt.where("n = 1"), cnt.where("n > 1")
+    whole = words.crossJoin(F.broadcast(words.agg(F.sum("count").alias("total"))))  # one row
+    found = longer.join(totals(longer), ["n", "context"]).select(*whole.columns).unionByName(whole)
+    return found.select("n", "context", "word", "count", (F.col("count") / F.col("total")).alias("p"))
 
 
-def scored(toks: DataFrame, cnt: DataFrame, order: int = 3) -> DataFrame:
+def scored(toks: DataFrame, rel: DataFrame, order: int = 3) -> DataFrame:
     """(id, ix, word, score, known): the relative count of the longest context that has the word, times ALPHA for each
     word of context given up. Scores are found once for each distinct n-gram."""
-    rel = relative(cnt)
     keys = [f"c{k}" for k in range(1, order)]
     rows = toks.select("word", *keys).distinct()
     for k in range(order):
@@ -48,12 +55,11 @@ def scored(toks: DataFrame, cnt: DataFrame, order: int = 3) -> DataFrame:
     return toks.join(rows.select("word", *keys, best.alias("score"), F.col("p0").isNotNull().alias("known")), ["word", *keys]).select("id", "ix", "word", *keys, "score", "known")
 
 
-def mass(cnt: DataFrame) -> DataFrame:
+def mass(rel: DataFrame) -> DataFrame:
     """(context, mass): what the scores of all known words sum to in each context of two words, in closed form.
 
     The words seen in a context sum to one; the others get ALPHA times what they have in the shorter one.
     """
-    rel = relative(cnt)
     one, two, three = (rel.where(F.col("n") == k) for k in (1, 2, 3))
     seen1 = two.select("context", "word").join(one.select("word", "p"), "word").groupBy("context").agg(F.sum("p").alias("s"))
     m1 = seen1.select(F.col("context").alias("short"), (1 + ALPHA * (1 - F.col("s"))).alias("m1"))
@@ -62,10 +68,10 @@ def mass(cnt: DataFrame) -> DataFrame:
     return seen2.join(m1, "short").select("context", (1 + ALPHA * (F.col("m1") - F.col("s"))).alias("mass"))
 
 
-def perplexity(sc: DataFrame, masses: DataFrame, cnt: DataFrame) -> DataFrame:
+def perplexity(sc: DataFrame, masses: DataFrame, rel: DataFrame) -> DataFrame:
     """(words, perplexity) over known words, each score as a share of its context's mass; infinite without words."""
-    rel = relative(cnt).where("n = 2").join(relative(cnt).where("n = 1").select("word", F.col("p").alias("q")), "word").groupBy("context").agg(F.sum("q").alias("s"))
-    m1 = rel.select(F.col("context").alias("c1"), (1 + ALPHA * (1 - F.col("s"))).alias("m1"))
+    shorter = rel.where("n = 2").join(rel.where("n = 1").select("word", F.col("p").alias("q")), "word").groupBy("context").agg(F.sum("q").alias("s"))
+    m1 = shorter.select(F.col("context").alias("c1"), (1 + ALPHA * (1 - F.col("s"))).alias("m1"))
     rows = sc.where("known").join(masses.withColumnRenamed("context", "c2"), "c2", "left").join(m1, "c1", "left")
     whole = F.coalesce(F.col("mass"), ALPHA * F.coalesce(F.col("m1"), F.lit(ALPHA)))
     p = F.greatest(F.col("score") / whole, F.lit(1e-12))
@@ -78,6 +84,43 @@ def predicted(cnt: DataFrame, k: int = 5) -> DataFrame:
     return cnt.where("n = 2").select("context", "word", F.row_number().over(w).alias("rank"), "count").where(F.col("rank") <= k).drop("count")
 
 
+def predict_next(contexts: DataFrame, rel: DataFrame, k: int = 5) -> DataFrame:
+    """(c2, word, score, rank): the ``k`` best of the whole vocabulary after two words, by backed-off scores.
+
+    A word's score is that of the longest context that has it; words that no context has are known by their own relative
+    counts alone. Of those, the best of a context with m words of its own are among the m + k most frequent of all, so
+    the vocabulary is never crossed with the contexts, and it is left out where the k-th own word is better than any.
+    """
+    c = contexts.select("c1", "c2").distinct()
+    three = c.join(rel.where("n = 3").select(F.col("context").alias("c2"), "word", "p"), "c2").select("c2", "word", F.col("p").alias("score"), F.lit(3).alias("n"))
+    two = c.join(rel.where("n = 2").select(F.col("context").alias("c1"), "word", "p"), "c1").select("c2", "word", (F.col("p") * ALPHA).alias("score"), F.lit(2).alias("n"))
+    longer = three.unionByName(two).groupBy("c2", "word").agg(F.max_by("score", "n").alias("score"))
+    best = Window.partitionBy("c2").orderBy(F.desc("score"), "word")
+    kept = longer.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    words = rel.where("n = 1").select("word", (F.col("p") * ALPHA * ALPHA).alias("score"))
+    top = words.agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
+    last = kept.where(F.col("r") == k).select("c2", F.col("score").alias("last"))
+    own = longer.groupBy("c2").agg(F.count(F.lit(1)).alias("own"))
+    needy = c.select("c2").join(own, "c2", "left").join(last, "c2", "left").where(F.col("last").isNull() | (F.col("last") <= top)).select("c2", F.coalesce("own", F.lit(0)).alias("own"))
+    most = k + (needy.agg(F.max("own")).first()[0] or 0)
+    common = words.orderBy(F.desc("score"), "word").limit(most).withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "word")))
+    tried = needy.select("c2", F.explode(F.sequence(F.lit(1), F.col("own").cast("int") + k)).alias("at")).join(common, "at")
+    first = tried.join(longer.select("c2", "word"), ["c2", "word"], "left_anti").select("c2", "word", "score")
+    every = kept.drop("r").unionByName(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return every.select("c2", "word", "score", "rank")
+
+
+def evaluated(toks: DataFrame, rel: DataFrame, cnt: DataFrame, k: int = 5) -> DataFrame:
+    """(tokens, oov_rate, perplexity, recall_at_1, recall_at_k, mrr, saved): a model on held-out sentences, in one row."""
+    sc = scored(toks, rel)
+    out = sc.agg(F.avg((~F.col("known")).cast("double")).alias("oov_rate"))
+    single = [out, perplexity(sc, mass(rel), rel).select("perplexity"), retrieval(toks, predicted(cnt, k), k), keystrokes(toks, cnt).select("saved")]
+    row = single[0]
+    for one in single[1:]:
+        row = row.crossJoin(one)  # a row each
+    return row.select("tokens", "oov_rate", "perplexity", "recall_at_1", "recall_at_k", "mrr", "saved")
+
+
 def retrieval(toks: DataFrame, pred: DataFrame, k: int = 5) -> DataFrame:
     """(tokens, recall_at_1, recall_at_k, mrr) of the truth among the predictions; zero without tokens."""
     rows = toks.groupBy("c1", "word").agg(F.count(F.lit(1)).alias("n")).join(pred.withColumnRenamed("context", "c1"), ["c1", "word"], "left")
@@ -108,12 +151,16 @@ def split(sentences: DataFrame, id_col: str, parts: tuple[int, int, int] = (80,
 
 
 def corrupted(words: DataFrame, word_col: str = "word") -> DataFrame:
-    """One edit for each word, chosen by its hash: two letters swapped, one dropped, or one doubled."""
+    """One edit for each word, chosen by its hash: a letter deleted, substituted or inserted, or two transposed.
+
+    Words of one letter are not shortened or transposed but get a letter. New letters are from the small alphabet.
+    """
     w, h = F.col(word_col), F.crc32(word_col)
-    at = F.when(F.length(w) > 1, h % F.greatest(F.length(w) - 1, F.lit(1))).otherwise(0).cast("int") + 1
+    at = (h % F.greatest(F.length(w) - 1, F.lit(1))).cast("int") + 1
     a, x, y, z = F.substr(w, F.lit(1), at - 1), F.substr(w, at, F.lit(1)), F.substr(w, at + 1, F.lit(1)), F.substr(w, at + 2, F.length(w))
-    kind = F.floor(h / 64) % 3
-    return words.withColumn("corrupted", F.when(kind == 0, F.concat(a, y, x, z)).when((kind == 1) & (F.length(w) > 1), F.concat(a, y, z)).otherwise(F.concat(a, x, x, y, z)))
+    new = F.substr(F.lit(LETTERS), (F.floor(h / 256) % len(LETTERS)).cast("int") + 1, F.lit(1))
+    kind = F.when(F.length(w) > 1, F.floor(h / 64) % 4).otherwise(2)
+    return words.withColumn("corrupted", F.when(kind == 0, F.concat(a, y, z)).when(kind == 1, F.concat(a, new, y, z)).when(kind == 2, F.concat(a, new, x, y, z)).otherwise(F.concat(a, y, x, z)))
 
 
 def uniform(*keys, salt: int) -> F.Column:

@@ -66,7 +66,8 @@ def _selected(fact: DataFrame, obj: DataFrame, word: DataFrame | None, pick: Sel
 
 
 def per_word(word: DataFrame) -> DataFrame:
-    return word.select("form", "elapsed_ns", "capped", "timed_out", "run_id").orderBy(F.desc("elapsed_ns"), "form")
+    """Words with what their measurement says, the slowest first."""
+    return word.select("form", "elapsed_ns", "work", "passes", "capped", "timed_out", "invalid_shape", "run_id").orderBy(F.desc("elapsed_ns"), "form")
 
 
 def total_elapsed(word: DataFrame, form: str | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ def per_stratum_object(fact: DataFrame, obj: DataFrame, stratum: DataFrame) -> D
 
 def guarded(fact: DataFrame, word: DataFrame, runs: DataFrame) -> DataFrame:
     """How many facts of named allomorphs have no run, or one whose counters mean something else; a report over them is refused."""
-    named = fact.where(F.col("allomorph_id") != 0).join(word.select("word_id", "run_id"), "word_id").join(F.broadcast(runs), "run_id", "left")
+    named = fact.where(F.col("allomorph_id") != 0).join(word.select("word_id", "run_id"), "word_id").join(runs, "run_id", "left")
     return named.agg(F.count(F.lit(1)).alias("named_facts"), F.count_if(F.col("counter_semantics").isNull()).alias("without_run"), F.count_if(F.col("counter_semantics") != SEMANTICS).alias("other_semantics"))
 
 
@@ -126,7 +127,7 @@ def gate_header(word: DataFrame) -> DataFrame:
 
 
 def mixed_settings(word: DataFrame, runs: DataFrame) -> DataFrame:
-    return word.select("run_id").distinct().join(F.broadcast(runs), "run_id").agg(F.count_distinct("options_hash").alias("options"), F.count_distinct("work_cap").alias("caps"))
+    return word.select("run_id").distinct().join(runs, "run_id").agg(F.count_distinct("options_hash").alias("options"), F.count_distinct("work_cap").alias("caps"))
 
 
 def kind_exists(obj: DataFrame, kind: str) -> DataFrame:
@@ -149,9 +150,16 @@ def kind_summary(fact: DataFrame, obj: DataFrame, kind: str) -> DataFrame:
 
 def top_per_kind(report: DataFrame, n: int, sort: str = "work") -> DataFrame:
     """The first ``n`` rows of each kind with their share of the kind's total, which counts all rows."""
-    total = F.sum(sort).over(Window.partitionBy("kind"))
+    totals = report.groupBy("kind").agg(F.sum(sort).alias("total"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col(sort).desc_nulls_last(), "key"))
-    return report.select("kind", "key", sort, F.round(F.try_divide(F.col(sort).cast("double"), total), 9).alias("share"), place.alias("place")).where(F.col("place") <= n)
+    first = report.select("kind", "key", sort, place.alias("place")).where(F.col("place") <= n)  # each task keeps n rows of a kind
+    return first.join(totals, "kind").select("kind", "key", sort, F.round(F.try_divide(F.col(sort).cast("double"), "total"), 9).alias("share"), "place")
+
+
+def gate_totals(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Stored passes and blocks by object and feature with those of a new run added."""
+    rows = new if old is None else old.unionByName(new)
+    return rows.groupBy("object_id", "feature").agg(F.sum("passed").alias("passed"), F.sum("blocked").alias("blocked"))
 
 
 def reusable(wanted: DataFrame, word: DataFrame, runs: DataFrame, identity: dict) -> DataFrame:
@@ -159,7 +167,7 @@ def reusable(wanted: DataFrame, word: DataFrame, runs: DataFrame, identity: dict
     same = runs
     for c, v in identity.items():
         same = same.where(F.col(c).eqNullSafe(F.lit(v)))
-    return wanted.join(word.where(uncensored()).join(F.broadcast(same.select("run_id")), "run_id", "left_semi"), "form", "left_semi")
+    return wanted.join(word.where(uncensored()).join(same.select("run_id"), "run_id", "left_semi"), "form", "left_semi")
 
 
 def missing(wanted: DataFrame, word: DataFrame, runs: DataFrame, identity: dict) -> DataFrame:
@@ -198,9 +206,28 @@ def calibrated(rows: DataFrame, least_work: int = 1000, least_words: int = 8, st
 
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact p50, p95, p99 (continuous, to three places), largest value and sum."""
-    p = lambda q: F.round(F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY {value})"), 3)
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("largest"), F.sum(value).alias("total"))
+    """Exact p50, p95, p99 (continuous, to three places), largest value and sum.
+
+    Equal values are counted first and dealt in ranges, however large a group is. A range's place in its group follows
+    from the counts of the ranges before it, a row for each range and group; so no task holds a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange(F.col(group), F.col(value)).withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("part", group).orderBy(value)))
+    sizes = ranged.groupBy("part", group).agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col(value)).alias("sum"), F.max(value).alias("most"))
+    before = sizes.select("part", group, (F.sum("size").over(Window.partitionBy(group).orderBy("part")) - F.col("size")).alias("before"))
+    whole = sizes.groupBy(group).agg(F.sum("size").alias("all"), F.sum("sum").alias("total"), F.max("most").alias("largest"))
+    same = lambda a, b: a.eqNullSafe(b)
+    placed = ranged.join(before.withColumnRenamed(group, "_g"), (ranged["part"] == before["part"]) & same(ranged[group], F.col("_g"))).select(ranged[group], value, "n", (F.col("before") + F.col("upto") - F.col("n")).alias("first"))
+    placed = placed.join(whole.withColumnRenamed(group, "_g"), same(placed[group], F.col("_g"))).drop("_g")
+    marks = {}
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        at = (F.col("all") - 1) * F.lit(q)
+        for end, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            marks[name + end] = F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col(value)))
+    found = placed.groupBy(group, "all", "total", "largest").agg(*(m.alias(k) for k, m in marks.items()))
+    cut = lambda name, q: F.round(F.col(name + "a") + (F.col(name + "b") - F.col(name + "a")) * ((F.col("all") - 1) * F.lit(q) - F.floor((F.col("all") - 1) * F.lit(q))), 3).alias(name)
+    return found.select(group, F.col("all").alias("n"), cut("p50", 0.5), cut("p95", 0.95), cut("p99", 0.99), "largest", "total")
 
 
 def median_of_medians(rows: DataFrame, group: str, item: str, value: str, noisy: float = 3.0) -> DataFrame:

@@ -19,15 +19,15 @@ def occurrences(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFr
 def spans(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(text_id, ix, form, start, end, utf8_start, utf8_end): offsets in code points and in bytes, from the gaps between words.
 
-    Running sums are windows over a text's own words, so they are computed per text and in parallel.
+    They are summed within a text's own row, so no word is shuffled and texts of equal ids stay apart.
     """
     x = F.coalesce(text_col, F.lit(""))
-    gaps = F.split(x, S.WORD, -1)
-    both = texts.select(F.col(id_col).alias("text_id"), F.posexplode(F.arrays_zip(S.words(x).alias("form"), F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"))).alias("ix", "o"))
-    w = Window.partitionBy("text_id").orderBy("ix")
-    rows = both.select("text_id", "ix", F.col("o.form").alias("form"), F.col("o.gap").alias("gap"))
-    end, end8 = F.sum(F.length("gap") + F.length("form")).over(w), F.sum(F.octet_length("gap") + F.octet_length("form")).over(w)
-    return rows.select("text_id", "ix", "form", (end - F.length("form")).alias("start"), end.alias("end"), (end8 - F.octet_length("form")).alias("utf8_start"), end8.alias("utf8_end"))
+    parts = texts.select(F.col(id_col).alias("text_id"), S.words(x).alias("w"), F.split(x, S.WORD, -1).alias("g"))
+    both = lambda size: F.transform("w", lambda w, i: size(w) + size(F.get(F.col("g"), i)))
+    ends = parts.select("text_id", "w", S.running(both(F.length)).alias("e"), S.running(both(F.octet_length)).alias("b"))
+    rows = ends.select("text_id", F.posexplode(F.arrays_zip("w", "e", "b")).alias("ix", "o"))
+    form, end, end8 = F.col("o.w"), F.col("o.e"), F.col("o.b")
+    return rows.select("text_id", "ix", form.alias("form"), (end - F.length(form)).cast("long").alias("start"), end.cast("long").alias("end"), (end8 - F.octet_length(form)).cast("long").alias("utf8_start"), end8.cast("long").alias("utf8_end"))
 
 
 def wordforms(occ: DataFrame) -> DataFrame:
@@ -39,9 +39,14 @@ def word_list(texts: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return texts.select(F.col(lang_col).alias("lang"), F.explode(S.words(F.lower(F.coalesce(text_col, F.lit(""))))).alias("form")).distinct()
 
 
-def evidence(occ: DataFrame, lists: DataFrame) -> DataFrame:
+def tallied(occ: DataFrame) -> DataFrame:
+    """(text_id, form, n): how often each text has each lower-case form; what evidence and statistics are made from."""
+    return occ.groupBy("text_id", F.lower("form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence(forms: DataFrame, lists: DataFrame) -> DataFrame:
     """(form, langs): each distinct lower-case form with the languages that have it, in order. Forms are checked once."""
-    forms = occ.select(F.lower("form").alias("form")).distinct()
+    forms = forms.select("form").distinct()
     have = forms.join(lists, "form").groupBy("form").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
     return forms.join(have, "form", "left").select("form", F.coalesce("langs", F.array().cast("array<string>")).alias("langs"))
 
@@ -56,20 +61,21 @@ def outcome_of(valid: F.Column, unattempted: F.Column, limited: F.Column, misspe
     return F.when(valid, "valid").when(unattempted, "unattempted").when(limited, "incomplete").when(misspelled, "misspelled").when(undecided, "incomplete").otherwise("no_analysis")
 
 
-def statistics(occ: DataFrame, checked: DataFrame) -> DataFrame:
+def statistics(tally: DataFrame, checked: DataFrame) -> DataFrame:
     """(text_id, outcome, occurrences, wordforms) of each text, and with a null text_id of all texts together.
 
-    Occurrences are first summed by text and form. Distinct counts do not add up over texts, hence the grouping sets.
+    A form is one row of a text, so a text's forms are counted; over all texts they are counted from distinct ones.
     """
-    small = occ.groupBy("text_id", F.lower("form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    rows = small.join(checked.select("form", outcome().alias("outcome")), "form")
-    sets = rows.groupingSets([[F.col("text_id"), F.col("outcome")], [F.col("outcome")]], F.col("text_id"), F.col("outcome"))
-    return sets.agg(F.sum("n").alias("occurrences"), F.count_distinct("form").alias("wordforms"))
+    rows = tally.join(checked.select("form", outcome().alias("outcome")), "form")
+    each = rows.groupBy("text_id", "outcome").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("wordforms"))
+    forms = rows.groupBy("form", "outcome").agg(F.sum("n").alias("n"))
+    every = forms.groupBy("outcome").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("wordforms"))
+    return each.unionByName(every.select(F.lit(None).cast(each.schema["text_id"].dataType).alias("text_id"), "*"))
 
 
-def language_statistics(occ: DataFrame, checked: DataFrame) -> DataFrame:
+def language_statistics(tally: DataFrame, checked: DataFrame) -> DataFrame:
     """(lang, valid and ambiguous occurrences and wordforms): ambiguous forms are those of more languages than one."""
-    small = occ.groupBy(F.lower("form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    small = tally.groupBy("form").agg(F.sum("n").alias("n"))
     rows = small.join(checked, "form").select("form", "n", F.explode("langs").alias("lang"), (F.size("langs") > 1).alias("ambiguous"))
     return rows.groupBy("lang").agg(
         F.sum("n").alias("valid_occurrences"), F.count_distinct("form").alias("valid_wordforms"), F.coalesce(F.sum(F.when(F.col("ambiguous"), F.col("n"))), F.lit(0)).alias("ambiguous_occurrences"), F.count_if(F.col("ambiguous")).alias("ambiguous_wordforms")
@@ -95,13 +101,12 @@ def winner(cover: DataFrame, least: int = 50, margin: int = 10) -> DataFrame:
     return ranked.where((F.col("r") == 1) & (F.col("coverage") >= least) & (F.col("coverage") - F.col("next") >= margin)).select("form", "lang", "coverage", (F.col("coverage") - F.col("next")).alias("margin"))
 
 
-def proposals(occ: DataFrame, checked: DataFrame, won: DataFrame, enough: int = 5) -> DataFrame:
+def proposals(tally: DataFrame, checked: DataFrame, won: DataFrame, enough: int = 5) -> DataFrame:
     """(lang, dictionary, shared, ngram, any_evidence, decisive, status): tallies of occurrences for each language.
 
     A form of one dictionary is decisive; one of several is shared; one of none can be won by trigrams.
     """
-    n = occ.groupBy(F.lower("form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    rows = n.join(checked, "form")
+    rows = tally.groupBy("form").agg(F.sum("n").alias("n")).join(checked, "form")
     zero = F.lit(0).cast("long")
     listed = rows.select(F.explode("langs").alias("lang"), F.when(F.size("langs") == 1, F.col("n")).otherwise(zero).alias("dictionary"), F.when(F.size("langs") > 1, F.col("n")).otherwise(zero).alias("shared"), zero.alias("ngram"))
     grams = rows.where(F.size("langs") == 0).join(won.select("form", "lang"), "form").select("lang", zero.alias("dictionary"), zero.alias("shared"), F.col("n").alias("ngram"))
@@ -114,10 +119,9 @@ def proposals(occ: DataFrame, checked: DataFrame, won: DataFrame, enough: int =
 def budgeted(occ: DataFrame, most: int) -> DataFrame:
     """Occurrences with ``attempted``: the first ``most`` in the order of texts and words.
 
-    Texts' counts are summed in ranges of texts first, so that only a small table is ordered in one place, and no word
-    is.
+    Texts' counts are dealt in ranges of texts, so what is ordered in one place is a row for each range, and no word is.
     """
-    sizes = occ.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("text_id") / 1024))
+    sizes = occ.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("text_id").withColumn("bin", F.spark_partition_id())
     bins = sizes.groupBy("bin").agg(F.sum("n").alias("n"))
     before = bins.select("bin", (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("bins_before"))
     own = F.sum("n").over(Window.partitionBy("bin").orderBy("text_id")) - F.col("n")
@@ -198,6 +202,14 @@ def alternatives(words: DataFrame, word_col: str = "form", most: int = 16) -> Da
     return distinct.mapInArrow(run, "form string, ix int, parts array<string>, start array<int>, utf8_start array<int>, utf16_start array<int>, capped boolean")
 
 
+def signatures(rows: DataFrame, group: str, part: F.Column) -> DataFrame:
+    """(group, signature): a group's parts in order, joined by semicolons, repeats kept; equal parts are counted before
+    they move, so nothing but the signature itself is as long as the group."""
+    n = rows.select(group, part.alias("part")).groupBy(group, "part").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("part", "n"))), lambda x: F.array_join(F.array_repeat(x["part"], x["n"]), ";"))
+    return n.groupBy(group).agg(F.array_join(each, ";").alias("signature"))
+
+
 def analysed_first(readings: DataFrame) -> DataFrame:
     """(form, readings): a form's readings, those with an analysis first, otherwise as generated."""
     return readings.groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("analysed")).alias("later"), "ix", "parts"))), lambda r: r["parts"]).alias("readings"))

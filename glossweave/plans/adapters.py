@@ -28,8 +28,11 @@ def word(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("o_orderdate").alias("run_id"),
         F.col("o_orderkey").cast("string").alias("form"),
         _long(F.col("o_totalprice") * 100).alias("elapsed_ns"),
+        (F.col("o_custkey") % 1000 * 40).alias("work"),
+        (1 + F.col("o_custkey") % 4).alias("passes"),
         (F.col("o_orderstatus") == "P").alias("capped"),
         ((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).alias("timed_out"),
+        (F.col("o_custkey") % 29 == 0).alias("invalid_shape"),
         (F.col("o_orderpriority") != "5-LOW").alias("gates_measured"),
         F.col("o_custkey").alias("text_id"),
     )
@@ -83,7 +86,7 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _L = "CAST(floor({}) AS BIGINT)"
 SQL = {
-    "word": f"""SELECT o_orderkey AS word_id, CAST(year(o_orderdate) AS INTEGER) AS run_id, CAST(o_orderkey AS VARCHAR) AS form, {_L.format('o_totalprice * 100')} AS elapsed_ns,
+    "word": f"""SELECT o_orderkey AS word_id, CAST(year(o_orderdate) AS INTEGER) AS run_id, CAST(o_orderkey AS VARCHAR) AS form, {_L.format('o_totalprice * 100')} AS elapsed_ns, o_custkey % 1000 * 40 AS work, 1 + o_custkey % 4 AS passes, o_custkey % 29 = 0 AS invalid_shape,
   o_orderstatus = 'P' AS capped, (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS timed_out, o_orderpriority <> '5-LOW' AS gates_measured, o_custkey AS text_id FROM orders""",
     "fact": f"""SELECT l_orderkey AS word_id, l_partkey AS object_id, l_suppkey AS stratum_id, l_linenumber - 1 AS allomorph_id,
   CASE WHEN l_linestatus = 'O' THEN 'analysis' ELSE 'synthesis' END AS direction, {_L.format('l_quantity')} AS attempts, {_L.format('l_quantity')} * 4 AS work, {_L.format('l_quantity')} * 2 AS work_steps,

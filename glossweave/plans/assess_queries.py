@@ -15,15 +15,17 @@ def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def run(s: SparkSession, d: str, left: bool) -> DataFrame:
-    """(word, status, cost, parts) of one of two runs."""
-    li = A.table(s, d, "lineitem").where(F.col("l_linenumber") <= (6 if left else 5))
-    parts = li.groupBy(F.col("l_orderkey").alias("word")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber" if left else "l_partkey", "l_suppkey", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("parts"))
+    """(word, status, cost, parts) of one of two runs; the second names some words and reads some lines otherwise."""
+    flag = F.when((F.col("l_linenumber") == 6) & F.lit(not left), "X").otherwise(F.col("l_returnflag")).alias("flag")
+    li = A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", flag)
+    parts = li.groupBy(F.col("l_orderkey").alias("word")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber" if left else "l_partkey", "l_suppkey", "flag"))), lambda x: x["flag"]).alias("parts"))
     o = A.table(s, d, "orders")
     late = F.col("o_custkey") % 17 == 0
     status = F.when(F.col("o_orderstatus") == "P", "CAP").when(late & F.lit(not left), "TIMEOUT").otherwise("ok")
     cost = F.floor(F.col("o_totalprice")).cast("long")
     cost = cost if left else cost + F.col("o_custkey") % 1000
-    return o.select(F.col("o_orderkey").alias("word"), status.alias("status"), cost.alias("cost")).join(parts, "word").where(F.col("word") % (11 if left else 13) != 0)
+    runs = o.select(F.col("o_orderkey").alias("word"), status.alias("status"), cost.alias("cost"), (F.col("o_custkey") % 13 == 0).alias("renamed")).join(parts, "word")
+    return runs.select((F.col("word") if left else F.when(F.col("renamed"), -F.col("word")).otherwise(F.col("word"))).alias("word"), "status", "cost", "parts")
 
 
 def supersedes(s: SparkSession, d: str) -> DataFrame:
@@ -82,9 +84,9 @@ QUERIES = {
     "adjudicated_only": lambda s, d: A.outcome(s, d).where(F.col("identity") == "purchase").groupBy("case_id").agg(F.count(F.lit(1)).alias("n")),
 }
 
-_RUN = """{n} AS (SELECT o_orderkey AS word, CASE WHEN o_orderstatus = 'P' THEN 'CAP'{late} ELSE 'ok' END AS status, CAST(floor(o_totalprice) AS BIGINT){more} AS cost, parts FROM orders JOIN
- (SELECT l_orderkey, list(l_returnflag ORDER BY {by}, l_suppkey, l_returnflag) AS parts FROM lineitem WHERE l_linenumber <= {most} GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE o_orderkey % {mod} <> 0)"""
-_TWO = "WITH " + _RUN.format(n="l", late="", more="", by="l_linenumber", most=6, mod=11) + ", " + _RUN.format(n="r", late=" WHEN o_custkey % 17 = 0 THEN 'TIMEOUT'", more=" + o_custkey % 1000", by="l_partkey", most=5, mod=13) + ", b AS (SELECT word, l.status AS ls, r.status AS rs, l.parts AS lp, r.parts AS rp, l.cost AS lc, r.cost AS rc FROM l JOIN r USING (word))"
+_RUN = """{n} AS (SELECT {word} AS word, CASE WHEN o_orderstatus = 'P' THEN 'CAP'{late} ELSE 'ok' END AS status, CAST(floor(o_totalprice) AS BIGINT){more} AS cost, parts FROM orders JOIN
+ (SELECT l_orderkey, list({flag} ORDER BY {by}, l_suppkey, {flag}) AS parts FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+_TWO = "WITH " + _RUN.format(n="l", late="", more="", by="l_linenumber", word="o_orderkey", flag="l_returnflag") + ", " + _RUN.format(n="r", late=" WHEN o_custkey % 17 = 0 THEN 'TIMEOUT'", more=" + o_custkey % 1000", by="l_partkey", word="CASE WHEN o_custkey % 13 = 0 THEN -o_orderkey ELSE o_orderkey END", flag="CASE WHEN l_linenumber = 6 THEN 'X' ELSE l_returnflag END") + ", b AS (SELECT word, l.status AS ls, r.status AS rs, l.parts AS lp, r.parts AS rp, l.cost AS lc, r.cost AS rc FROM l JOIN r USING (word))"
 _DELTA = """!b AS (SELECT DISTINCT {case} AS case_id, identity FROM outcome {join} WHERE baseline), a AS (SELECT DISTINCT case_id, identity FROM outcome WHERE NOT baseline),
 m AS (SELECT case_id, identity, max(b) AS b, max(a) AS a FROM (SELECT case_id, identity, 1 AS b, 0 AS a FROM b UNION ALL SELECT case_id, identity, 0, 1 FROM a) GROUP BY ALL),
 t AS (SELECT case_id, count(*) FILTER (WHERE b = 0) AS added, count(*) FILTER (WHERE a = 0) AS removed, count(*) FILTER (WHERE a = 1 AND b = 1) AS retained, max(a) AS ha, max(b) AS hb FROM m GROUP BY case_id),

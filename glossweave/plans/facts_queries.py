@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as X
 from ..operators import ngrams as N
+from ..session import stored
 from . import adapters as A
 
 
@@ -78,12 +79,22 @@ def toks(s: SparkSession, d: str, train: bool) -> DataFrame:
 
 
 def cnt(s: SparkSession, d: str) -> DataFrame:
-    return N.counts(toks(s, d, True))
+    """The counts that held-out sentences are scored with, computed once."""
+    return stored(N.counts(toks(s, d, True)), "ngrams")
+
+
+def every(s: SparkSession, d: str) -> DataFrame:
+    """The counts of all conversations."""
+    return N.counts(toks(s, d, True).unionByName(toks(s, d, False)))
+
+
+def model(s: SparkSession, d: str) -> DataFrame:
+    return stored(N.relative(cnt(s, d)), "relative")
 
 
 def vocabulary(s: SparkSession, d: str) -> DataFrame:
     """The words of all conversations, those of both folds."""
-    return N.counts(toks(s, d, True).unionByName(toks(s, d, False))).where("n = 1").select("word")
+    return every(s, d).where("n = 1").select("word")
 
 
 QUERIES = {
@@ -92,6 +103,7 @@ QUERIES = {
     "dangling_references": lambda s, d: X.dangling(edges(s, d)[1][2], A.table(s, d, "part").where(F.col("p_partkey") % 7 > 0), "p_partkey").select("referrer", "target"),
     "object_state": lambda s, d: X.object_state(decisions(s, d)),
     "effective_members": lambda s, d: X.effective_members(classes(s, d), phonemes(s, d)),
+    "class_members": lambda s, d: X.effective_members(classes(s, d), phonemes(s, d)).groupBy("class_id").agg(F.count(F.lit(1)).alias("members"), F.min("member").alias("first"), F.max("member").alias("last")),
     "class_census": lambda s, d: X.census(A.table(s, d, "lineitem"), "l_returnflag", F.col("l_linestatus") == "O"),
     "diagnostic_codes": lambda s, d: A.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
     "health_admission": lambda s, d: X.admission(A.table(s, d, "events").select("user_id", F.col("event_type").alias("severity")), "user_id", ["view", "click", "signup", "purchase", "error"]),
@@ -114,11 +126,13 @@ QUERIES = {
     "lineage_mapping": lambda s, d: X.lineage(A.table(s, d, "part").select(F.col("p_partkey").alias("source")), A.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("output")), A.table(s, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("role"), F.col("l_suppkey").alias("output")).distinct()),
     "occurrence_identities": lambda s, d: X.occurrence_identities(A.outcome(s, d).select(F.col("case_id").alias("occurrence"), "identity", (F.col("value") < 5).alias("guessed"))),
     "grammar_health": lambda s, d: X.health([("no_line", "warning", A.table(s, d, "part").join(A.table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("subject"))), ("negative_balance", "error", A.table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("subject"))), ("repeated_name", "information", A.table(s, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n > 100").select(F.col("p_name").alias("subject")))]),
-    "ngram_counts": lambda s, d: cnt(s, d),
-    "backoff_score": lambda s, d: N.scored(toks(s, d, False), cnt(s, d)).select("id", "ix", "word", F.round("score", 12).alias("score"), "known"),
-    "predict_topk": lambda s, d: N.predicted(cnt(s, d)),
+    "ngram_counts": lambda s, d: every(s, d),
+    "backoff_score": lambda s, d: N.scored(toks(s, d, False), model(s, d)).select("id", "ix", "word", F.round("score", 12).alias("score"), "known"),
+    "predict_topk": lambda s, d: N.predicted(every(s, d)),
+    "predict_next": lambda s, d: N.predict_next(toks(s, d, False), model(s, d)).select("c2", "word", F.round("score", 12).alias("score"), "rank"),
+    "evaluate_model": lambda s, d: (lambda c: N.evaluated(toks(s, d, False), stored(N.relative(c), "relative"), c))(cnt(s, d)).select("tokens", *(F.round(c, 6 if c != "perplexity" else 3).alias(c) for c in ("oov_rate", "perplexity", "recall_at_1", "recall_at_k", "mrr", "saved"))),
     "retrieval_metrics": lambda s, d: N.retrieval(toks(s, d, False), N.predicted(cnt(s, d))).select("tokens", *(F.round(c, 9).alias(c) for c in ("recall_at_1", "recall_at_k", "mrr"))),
-    "perplexity": lambda s, d: N.perplexity(N.scored(toks(s, d, False), cnt(s, d)), N.mass(cnt(s, d)), cnt(s, d)).select("words", F.round("perplexity", 3).alias("perplexity")),
+    "perplexity": lambda s, d: (lambda m: N.perplexity(N.scored(toks(s, d, False), m), N.mass(m), m))(model(s, d)).select("words", F.round("perplexity", 3).alias("perplexity")),
     "keystroke_savings": lambda s, d: N.keystrokes(toks(s, d, False), cnt(s, d)),
     "sentence_split": lambda s, d: N.split(A.table(s, d, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n")),
     "synthetic_corpus": lambda s, d: N.synthetic(s, 500),
@@ -133,6 +147,8 @@ _MUT = "m AS (SELECT user_id * 10 + event_id % 10 AS entry, CASE WHEN event_type
 _TOK = """{n} AS (SELECT id, CAST(j - 3 AS INTEGER) AS ix, w[j] AS word, w[j - 1] AS c1, w[j - 2] || ' ' || w[j - 1] AS c2 FROM (SELECT id, w, unnest(generate_series(3, len(w))) AS j FROM
  (SELECT conv_id * 1000 + turn AS id, list_concat(['<s>', '<s>'], regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), ['</s>']) AS w FROM conversations WHERE conv_id % 5 {op} 0)))"""
 _CNT = "WITH " + _TOK.format(n="train", op="<>") + ", " + _TOK.format(n="test", op="=") + ", cnt AS (SELECT n, context, word, count(*) AS count FROM (SELECT 1 AS n, '' AS context, word FROM train UNION ALL SELECT 2, c1, word FROM train UNION ALL SELECT 3, c2, word FROM train) GROUP BY ALL), rel AS (SELECT n, context, word, count, count / CAST(sum(count) OVER (PARTITION BY n, context) AS DOUBLE) AS p FROM cnt)"
+_EVERY = "WITH " + _TOK.format(n="train", op="<>") + ", " + _TOK.format(n="test", op="=") + ", whole AS (SELECT * FROM train UNION ALL SELECT * FROM test), cnt AS (SELECT n, context, word, count(*) AS count FROM (SELECT 1 AS n, '' AS context, word FROM whole UNION ALL SELECT 2, c1, word FROM whole UNION ALL SELECT 3, c2, word FROM whole) GROUP BY ALL)"
+_CNT = _CNT.replace("cnt AS (", "cnt AS MATERIALIZED (").replace("rel AS (", "rel AS MATERIALIZED (")
 _SC = "sc AS (SELECT id, ix, test.word, c1, c2, coalesce(r3.p, r2.p * 0.4, r1.p * 0.16000000000000003, 1e-6) AS score, r1.p IS NOT NULL AS known FROM test LEFT JOIN rel r3 ON r3.n = 3 AND r3.context = c2 AND r3.word = test.word LEFT JOIN rel r2 ON r2.n = 2 AND r2.context = c1 AND r2.word = test.word LEFT JOIN rel r1 ON r1.n = 1 AND r1.word = test.word)"
 _MASS = "m1 AS (SELECT b.context AS short, 1 + 0.4 * (1 - sum(a.p)) AS m FROM rel b JOIN rel a ON a.n = 1 AND a.word = b.word WHERE b.n = 2 GROUP BY 1), m2 AS (SELECT c.context, 1 + 0.4 * (max(m1.m) - sum(b.p)) AS m FROM rel c JOIN rel b ON b.n = 2 AND b.context = string_split(c.context, ' ')[2] AND b.word = c.word JOIN m1 ON m1.short = b.context WHERE c.n = 3 GROUP BY 1)"
 _TOP = "pred AS (SELECT context, word, CAST(row_number() OVER (PARTITION BY context ORDER BY count DESC, word) AS INTEGER) AS rank FROM cnt WHERE n = 2 QUALIFY rank <= 5)"
@@ -143,6 +159,7 @@ SQL = {
     "dangling_references": "SELECT l_orderkey AS referrer, l_partkey AS target FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 > 0)",
     "object_state": "WITH e AS (SELECT user_id AS subject, CAST(hour(ts) AS INTEGER) AS stage, event_id, value > 3 AS loaded, event_type, props FROM events), l AS (SELECT * FROM e QUALIFY stage = max(stage) OVER (PARTITION BY subject)) SELECT subject, max(stage) AS final_stage, CASE WHEN bool_and(loaded) = bool_or(loaded) THEN bool_and(loaded) END AS loaded, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS dispositions, arg_min(props, event_id) AS primary_reason FROM l GROUP BY subject",
     "effective_members": "WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS class_id, CASE WHEN n_nationkey = 0 THEN CAST(-1 AS BIGINT) ELSE 1 + n_nationkey % 15 END AS f0, CASE WHEN n_nationkey = 0 THEN CAST(-1 AS BIGINT) ELSE n_nationkey % 7 + 8 END AS f1 FROM nation) SELECT class_id, p_partkey AS member, CASE WHEN f0 = -1 AND f1 = -1 THEN 'unrestricted' ELSE 'features' END AS basis FROM c, part WHERE ((p_partkey % 15 + 1) & ~f0) = 0 AND ((p_partkey % 4 + 8) & ~f1) = 0",
+    "class_members": "WITH e AS (WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS class_id, CASE WHEN n_nationkey = 0 THEN CAST(-1 AS BIGINT) ELSE 1 + n_nationkey % 15 END AS f0, CASE WHEN n_nationkey = 0 THEN CAST(-1 AS BIGINT) ELSE n_nationkey % 7 + 8 END AS f1 FROM nation) SELECT class_id, p_partkey AS member, CASE WHEN f0 = -1 AND f1 = -1 THEN 'unrestricted' ELSE 'features' END AS basis FROM c, part WHERE ((p_partkey % 15 + 1) & ~f0) = 0 AND ((p_partkey % 4 + 8) & ~f1) = 0) SELECT class_id, count(*) AS members, min(member) AS first, max(member) AS last FROM e GROUP BY class_id",
     "class_census": "SELECT l_returnflag, count(*) AS occurrences, count(*) FILTER (WHERE l_linestatus <> 'O') AS unhandled FROM lineitem GROUP BY 1",
     "diagnostic_codes": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "health_admission": "WITH e AS (SELECT user_id, list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) AS r FROM events) SELECT user_id, ['view', 'click', 'signup', 'purchase', 'error'][max(r)] AS worst FROM e GROUP BY GROUPING SETS ((user_id), ())",
@@ -165,10 +182,20 @@ SQL = {
     "lineage_mapping": "WITH m AS (SELECT DISTINCT l_partkey, l_returnflag, l_suppkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT p_partkey AS source, coalesce(l_returnflag, 'not_compiled') AS role, l_suppkey AS output FROM part LEFT JOIN m ON p_partkey = l_partkey",
     "occurrence_identities": A.sql("!o AS (SELECT case_id, identity, count(*) AS n, bool_or(value < 5) AS g FROM outcome GROUP BY 1, 2) SELECT case_id AS occurrence, count(*) AS identities, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS collapsed, bool_or(g) AS any_guessed FROM o GROUP BY 1", "outcome"),
     "grammar_health": "SELECT 'no_line' AS code, 'warning' AS severity, CAST(p_partkey AS VARCHAR) AS subject FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'negative_balance', 'error', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'repeated_name', 'information', p_name FROM part GROUP BY p_name HAVING count(*) > 100",
-    "ngram_counts": f"{_CNT} SELECT * FROM cnt",
+    "ngram_counts": f"{_EVERY} SELECT * FROM cnt",
     "backoff_score": f"{_CNT}, {_SC} SELECT id, ix, word, round(score, 12) AS score, known FROM sc",
-    "predict_topk": f"{_CNT}, {_TOP} SELECT * FROM pred",
+    "predict_next": f"""{_CNT}, q AS (SELECT DISTINCT c1, c2 FROM test), own AS (SELECT c2, word, max_by(s, n) AS s FROM (SELECT c2, word, p AS s, 3 AS n FROM q JOIN rel ON n = 3 AND context = c2 UNION ALL SELECT c2, word, p * 0.4, 2 FROM q JOIN rel ON n = 2 AND context = c1) GROUP BY 1, 2),
+r AS (SELECT c2, word, s, row_number() OVER (PARTITION BY c2 ORDER BY s DESC, word) AS r FROM own QUALIFY r <= 5),
+v AS (SELECT word, p * 0.4 * 0.4 AS s, row_number() OVER (ORDER BY p DESC, word) AS g FROM rel WHERE n = 1), m AS (SELECT q.c2, count(own.word) AS m FROM q LEFT JOIN own ON own.c2 = q.c2 GROUP BY 1),
+f AS (SELECT c2, word, s FROM r UNION ALL SELECT q.c2, v.word, v.s FROM m q JOIN v ON g <= 5 + q.m WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.c2 = q.c2 AND own.word = v.word))
+SELECT c2, word, round(s, 12) AS score, CAST(row_number() OVER (PARTITION BY c2 ORDER BY s DESC, word) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""",
+    "predict_topk": f"{_EVERY}, {_TOP} SELECT * FROM pred",
     "retrieval_metrics": f"{_CNT}, {_TOP}, r AS (SELECT rank FROM test LEFT JOIN pred ON context = c1 AND pred.word = test.word) SELECT count(*) AS tokens, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_k, round(avg(coalesce(CAST(1 AS DOUBLE) / rank, 0)), 9) AS mrr FROM r",
     "perplexity": f"{_CNT}, {_SC}, {_MASS} SELECT count(*) AS words, round(exp(-avg(ln(greatest(score / coalesce(m2.m, 0.4 * coalesce(m1.m, 0.4)), 1e-12)))), 3) AS perplexity FROM sc LEFT JOIN m2 ON m2.context = c2 LEFT JOIN m1 ON m1.short = c1 WHERE known",
+    "evaluate_model": f"""{_CNT}, {_SC}, {_MASS}, {_TOP}, r AS (SELECT rank FROM test LEFT JOIN pred ON context = c1 AND pred.word = test.word),
+a AS (SELECT round(avg(CASE WHEN known THEN 0.0 ELSE 1.0 END), 6) AS oov_rate FROM sc), b AS (SELECT round(exp(-avg(ln(greatest(score / coalesce(m2.m, 0.4 * coalesce(m1.m, 0.4)), 1e-12)))), 3) AS perplexity FROM sc LEFT JOIN m2 ON m2.context = c2 LEFT JOIN m1 ON m1.short = c1 WHERE known),
+c AS (SELECT count(*) AS tokens, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_k, round(avg(coalesce(CAST(1 AS DOUBLE) / rank, 0)), 6) AS mrr FROM r),
+v AS (SELECT word, count, unnest(generate_series(0, length(word))) AS p FROM cnt WHERE n = 1), k AS (SELECT word, p, row_number() OVER (PARTITION BY substring(word, 1, p) ORDER BY count DESC, word) AS r FROM v), need AS (SELECT word, min(p) AS p FROM k WHERE r <= 3 GROUP BY word),
+z AS (SELECT round(1 - sum(least(length(test.word), coalesce(p + 1, length(test.word)))) / CAST(sum(length(test.word)) AS DOUBLE), 6) AS saved FROM test LEFT JOIN need ON need.word = test.word) SELECT * FROM a, b, c, z""",
     "keystroke_savings": f"{_CNT}, v AS (SELECT word, count, unnest(generate_series(0, length(word))) AS p FROM cnt WHERE n = 1), k AS (SELECT word, p, row_number() OVER (PARTITION BY substring(word, 1, p) ORDER BY count DESC, word) AS r FROM v), need AS (SELECT word, min(p) AS p FROM k WHERE r <= 3 GROUP BY word), s AS (SELECT CAST(sum(length(test.word)) AS BIGINT) AS letters, CAST(sum(least(length(test.word), coalesce(p + 1, length(test.word)))) AS BIGINT) AS typed FROM test LEFT JOIN need ON need.word = test.word) SELECT letters, typed, round(1 - typed / CAST(letters AS DOUBLE), 9) AS saved FROM s",
 }

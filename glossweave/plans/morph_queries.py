@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import morphology as M
+from ..session import folder
 from ..streaming import jobs
 from . import adapters as A
 
@@ -43,14 +42,13 @@ def words(s: SparkSession, d: str) -> DataFrame:
 
 def stream(s: SparkSession, d: str) -> DataFrame:
     """The newest event of each user, kept by a stream that takes all there is."""
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossweave-")
-    base = tempfile.mkdtemp(prefix="upsert-", dir=root.removeprefix("file://") if root.startswith("file://") or root.startswith("/") else None)
+    base = folder(s, "upsert")
     # the stream reads a folder of files; a table may be a single file
-    A.table(s, d, "events").write.parquet(f"file://{base}/in")
+    A.table(s, d, "events").repartition(4).write.parquet(f"{base}/in")
     schema = A.table(s, d, "events").schema
-    rows = s.readStream.schema(schema).parquet(f"file://{base}/in").select("user_id", "event_id", "event_type", "value")
-    jobs.upsert_stream(rows, f"file://{base}/state", f"file://{base}/checkpoint", ["user_id"], "event_id").awaitTermination()
-    return jobs.latest_version(s, f"file://{base}/state")
+    rows = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").select("user_id", "event_id", "event_type", "value")
+    jobs.upsert_stream(rows, f"{base}/state", f"{base}/checkpoint", ["user_id"], "event_id", every=2).awaitTermination()
+    return jobs.latest_version(s, f"{base}/state", ["user_id"], "event_id")
 
 
 def guessed(s: SparkSession, d: str) -> DataFrame:

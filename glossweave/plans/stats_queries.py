@@ -51,6 +51,7 @@ QUERIES = {
     "per_morpheme_report": lambda s, d: S.per_morpheme(A.fact(s, d), A.object_(s, d), A.morpheme(s, d)),
     "never_fires": lambda s, d: S.never_fires(A.fact(s, d), A.object_(s, d), 300),
     "gate_report": lambda s, d: S.gates(gate_facts(s, d)),
+    "gate_accumulated": lambda s, d: S.gate_totals(S.gate_totals(None, gate_facts(s, d)), gate_facts(s, d).where("feature < 3")),
     "gate_header": lambda s, d: S.gate_header(A.word(s, d)),
     "mixed_settings": lambda s, d: S.mixed_settings(A.word(s, d), runs(s, d)),
     "kind_exists": lambda s, d: S.kind_exists(A.object_(s, d), "lex_entry"),
@@ -63,13 +64,13 @@ QUERIES = {
     "existing_words": lambda s, d: S.existing(wanted(s, d), A.word(s, d)),
     "prune_counters": lambda s, d: S.merged_counters(A.fact(s, d).select(*S.SUMS)),
     "counts_to_cost": lambda s, d: A.fact(s, d).select("word_id", "object_id", "allomorph_id", S.cost(F.col("work"), F.col("work_steps"), F.col("uses"), F.col("outputs")).alias("cost")),
-    "calibrated_weights": lambda s, d: S.calibrated(A.fact(s, d).groupBy("word_id").agg(F.sum("work").alias("work"), F.sum("outputs").alias("allocations")).join(A.word(s, d), "word_id"), 100).select("words", F.round("work_weight", 3).alias("work_weight"), F.round("alloc_weight", 3).alias("alloc_weight")),
+    "calibrated_weights": lambda s, d: S.calibrated(A.fact(s, d).groupBy("word_id").agg(F.sum("work").alias("work"), F.sum("outputs").alias("allocations")).join(A.word(s, d).drop("work"), "word_id"), 100).select("words", F.round("work_weight", 3).alias("work_weight"), F.round("alloc_weight", 3).alias("alloc_weight")),
     "latency_percentiles": lambda s, d: S.percentiles(A.word(s, d), "run_id", "elapsed_ns"),
     "median_of_medians": lambda s, d: S.median_of_medians(A.word(s, d), "run_id", "text_id", "elapsed_ns"),
 }
 
 SQL = {
-    "per_word_report": A.sql("SELECT form, elapsed_ns, capped, timed_out, run_id FROM word", "word"),
+    "per_word_report": A.sql("SELECT form, elapsed_ns, work, passes, capped, timed_out, invalid_shape, run_id FROM word", "word"),
     "total_elapsed": A.sql("SELECT CAST(coalesce(sum(elapsed_ns), 0) AS BIGINT) AS total_elapsed_ns FROM word", "word"),
     "total_elapsed_of_word": A.sql("SELECT CAST(coalesce(sum(elapsed_ns), 0) AS BIGINT) AS total_elapsed_ns FROM word WHERE form = '7'", "word"),
     "per_object_report": A.sql(f"SELECT key, kind, label, {_MASKED}, {_AMP} {_JOIN} WHERE {_LIVE} GROUP BY object_id, key, kind, label", "fact", "object"),
@@ -82,6 +83,7 @@ SQL = {
     "per_morpheme_report": A.sql(f"SELECT morpheme_id, morpheme_key, {_MASKED} {_JOIN} LEFT JOIN morpheme USING (morpheme_id) WHERE kind = 'lex_entry' GROUP BY morpheme_id, morpheme_key", "fact", "object", "morpheme"),
     "never_fires": A.sql(f"SELECT key, kind, direction, CAST(sum(attempts) AS BIGINT) AS attempts {_JOIN} WHERE kind IN ('morph_rule', 'phon_rule') GROUP BY key, kind, direction HAVING sum(outputs) = 0 AND sum(attempts) >= 300", "fact", "object"),
     "gate_report": A.sql("SELECT object_id, stratum_id % 5 AS feature, CAST(sum(outputs) AS BIGINT) AS passed, CAST(sum(not_applied) AS BIGINT) AS blocked FROM fact GROUP BY 1, 2", "fact"),
+    "gate_accumulated": A.sql("SELECT object_id, stratum_id % 5 AS feature, CAST(sum(outputs * CASE WHEN stratum_id % 5 < 3 THEN 2 ELSE 1 END) AS BIGINT) AS passed, CAST(sum(not_applied * CASE WHEN stratum_id % 5 < 3 THEN 2 ELSE 1 END) AS BIGINT) AS blocked FROM fact GROUP BY 1, 2", "fact"),
     "gate_header": A.sql("SELECT count(*) FILTER (WHERE gates_measured) AS measured, count(*) FILTER (WHERE NOT gates_measured) AS unmeasured, count(*) FILTER (WHERE capped OR timed_out) AS censored FROM word", "word"),
     "mixed_settings": A.sql(f"!runs AS ({_RUNS}) SELECT count(DISTINCT options_hash) AS options, count(DISTINCT work_cap) AS caps FROM runs", "word"),
     "kind_exists": A.sql("SELECT count(*) > 0 AS present FROM object WHERE kind = 'lex_entry'", "object"),

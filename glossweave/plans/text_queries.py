@@ -10,6 +10,7 @@ from ..functions import features as FS
 from ..functions import gloss as G
 from ..functions import strings as S
 from ..operators import text as T
+from ..session import stored
 from . import adapters as A
 
 
@@ -18,19 +19,20 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def occ(spark: SparkSession, d: str) -> DataFrame:
-    return T.occurrences(A.table(spark, d, "documents").where(F.col("doc_id") % 2 == 1), "doc_id")
+    """The words of all documents."""
+    return T.occurrences(A.table(spark, d, "documents"), "doc_id")
 
 
-def checked(spark: SparkSession, d: str) -> DataFrame:
-    return T.evidence(occ(spark, d), listed(spark, d))
+class Evaluated:
+    """The texts that take no part in the word lists: their tally and evidence, each computed once."""
 
+    def __init__(self, spark: SparkSession, d: str):
+        self.lists = listed(spark, d)
+        self.tally = stored(T.tallied(T.occurrences(A.table(spark, d, "documents").where(F.col("doc_id") % 2 == 1), "doc_id")), "tally")
+        self.checked = stored(T.evidence(self.tally, self.lists), "evidence")
 
-def unknown(spark: SparkSession, d: str) -> DataFrame:
-    return checked(spark, d).where(F.size("langs") == 0).select("form")
-
-
-def covered(spark: SparkSession, d: str) -> DataFrame:
-    return T.language_coverage(unknown(spark, d), T.trigram_inventory(listed(spark, d)))
+    def covered(self) -> DataFrame:
+        return T.language_coverage(self.checked.where(F.size("langs") == 0).select("form"), T.trigram_inventory(self.lists))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -38,11 +40,15 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
-def brands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two word lists whose words differ by few letters."""
-    a = A.table(spark, d, "customer").select(F.concat(F.lit("w"), (F.col("c_custkey") % 700).cast("string")).alias("form")).distinct()
-    b = A.table(spark, d, "supplier").select(F.concat(F.lit("w"), (F.col("s_suppkey") * 13 % 900).cast("string")).alias("form")).distinct()
-    return a, b
+def misspelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The unknown words of the evaluated texts, and the word lists."""
+    e = Evaluated(spark, d)
+    return e.checked.where(F.size("langs") == 0).select("form"), e.lists.select("form").distinct()
+
+
+def names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The names of customers and of suppliers, which differ by few letters."""
+    return A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("form")).distinct(), A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("form")).distinct()
 
 
 def lanes(spark: SparkSession, d: str) -> DataFrame:
@@ -83,19 +89,19 @@ QUERIES = {
     "occurrences": lambda s, d: occ(s, d),
     "occurrence_spans": lambda s, d: T.spans(turns(s, d), "id"),
     "wordform_counts": lambda s, d: T.wordforms(occ(s, d)),
-    "word_evidence": lambda s, d: checked(s, d).select("form", F.array_join("langs", ",").alias("langs")),
-    "text_statistics": lambda s, d: T.statistics(occ(s, d), checked(s, d)),
-    "language_statistics": lambda s, d: T.language_statistics(occ(s, d), checked(s, d)),
-    "language_coverage": lambda s, d: covered(s, d),
-    "language_winner": lambda s, d: T.winner(covered(s, d)),
-    "language_proposals": lambda s, d: T.proposals(occ(s, d), checked(s, d), T.winner(covered(s, d))),
+    "word_evidence": lambda s, d: Evaluated(s, d).checked.select("form", F.array_join("langs", ",").alias("langs")),
+    "text_statistics": lambda s, d: (lambda e: T.statistics(e.tally, e.checked))(Evaluated(s, d)),
+    "language_statistics": lambda s, d: (lambda e: T.language_statistics(e.tally, e.checked))(Evaluated(s, d)),
+    "language_coverage": lambda s, d: Evaluated(s, d).covered(),
+    "language_winner": lambda s, d: T.winner(Evaluated(s, d).covered()),
+    "language_proposals": lambda s, d: (lambda e: T.proposals(e.tally, e.checked, T.winner(e.covered())))(Evaluated(s, d)),
     "budgeted_occurrences": lambda s, d: T.budgeted(occ(s, d), 5000),
     "trigram_coverage_percent": lambda s, d: A.table(s, d, "part").select("p_partkey", S.coverage(F.col("p_name"), F.array(*map(F.lit, ["^re", "red", "ed ", "sma", "mal", "all", " ri", "rin", "ing", "ng$"]))).alias("percent")),
-    "edit_distance": lambda s, d: brands(s, d)[0].join(F.broadcast(brands(s, d)[1].withColumnRenamed("form", "other")), F.substr("form", F.lit(1), F.lit(2)) == F.substr("other", F.lit(1), F.lit(2))).select("form", "other", F.levenshtein("form", "other").cast("long").alias("distance")),
-    "spelling_suggestions": lambda s, d: T.suggestions(*brands(s, d)).select("form", "suggestion", F.col("distance").cast("long").alias("distance")),
-    "suggestion_class": lambda s, d: T.suggestions(*brands(s, d)).select("form", "suggestion", S.suggestion_method(F.col("form"), F.col("suggestion"), F.length("form") == 2, 1).alias("method")),
+    "edit_distance": lambda s, d: T.suggestions(*names(s, d), most=1).select("form", F.col("suggestion").alias("other"), F.col("distance").cast("long").alias("distance")),
+    "spelling_suggestions": lambda s, d: T.suggestions(*misspelled(s, d)).select("form", "suggestion", F.col("distance").cast("long").alias("distance")),
+    "suggestion_class": lambda s, d: T.suggestions(*names(s, d), most=1).select("form", "suggestion", S.suggestion_method(F.col("form"), F.col("suggestion"), F.length("form") == 2, 0).alias("method")),
     "leipzig_gloss": lambda s, d: A.table(s, d, "part").select("p_partkey", S.leipzig(F.array(F.when(F.col("p_size") % 3 > 0, F.lower("p_brand")), F.element_at(F.split("p_name", " "), 1), F.lit("PL")), F.col("p_size") % 2, F.col("p_size") % 5 > 1, F.col("p_name")).alias("gloss")),
-    "result_signature": lambda s, d: A.table(s, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l")).select("user_id", S.signature(F.col("l")).alias("signature")),
+    "result_signature": lambda s, d: T.signatures(A.table(s, d, "events"), "user_id", F.col("event_type")),
     "percent_change": lambda s, d: A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.percent_change(F.col("l_tax"), F.col("l_discount")), 6).alias("change")),
     "feature_key": lambda s, d: lanes(s, d).select(*ID, S.feature_key(F.lit("noun"), F.transform_values("m1", lambda k, v: v.cast("string"))).alias("key")),
     "environment_key": lambda s, d: A.table(s, d, "part").select("p_partkey", S.environment_key(F.array(F.concat_ws("|", F.split("p_name", " ")), F.col("p_brand"))).alias("key")),
@@ -105,7 +111,7 @@ QUERIES = {
     "environment_tokens": lambda s, d: A.table(s, d, "part").select("p_partkey", S.environment(environments()).alias("e")).select("p_partkey", F.array_join("e.left", " ").alias("left"), F.array_join("e.right", " ").alias("right"), "e.ok"),
     "gloss_features": lambda s, d: A.table(s, d, "part").select("p_partkey", G.inferred(glosses()).alias("feature")),
     "realized_phrases": lambda s, d: A.table(s, d, "part").select("p_partkey", G.realized(F.col("p_name"), pick(["None", "Loc", "Abl", "All"]), pick(list(G.POSSESSORS), 3), pick(["Unspec", "Sg", "Pl"], 7), F.col("p_size") == 9).alias("phrase")),
-    "gloss_signatures": lambda s, d: A.table(s, d, "part").groupBy("p_brand").agg(F.collect_list(G.gloss_signature(F.array(F.when(F.col("p_size") > 9, F.col("p_type")), F.lit("PL")), F.array(F.col("p_partkey").cast("string"), F.lit("-s")), F.col("p_name"))).alias("l")).select("p_brand", F.sha2(S.signature(F.col("l")), 256).alias("signature")),
+    "gloss_signatures": lambda s, d: T.signatures(A.table(s, d, "part"), "p_brand", G.gloss_signature(F.array(F.when(F.col("p_size") > 9, F.col("p_type")), F.lit("PL")), F.array(F.col("p_brand"), F.lit("-s")), F.element_at(F.split("p_name", " "), 1))).select("p_brand", F.sha2("signature", 256).alias("signature")),
     "segmentation_alternatives": lambda s, d: T.alternatives(joined_words(s, d)).select("form", "ix", F.array_join("parts", "|").alias("parts"), F.array_join(F.col("utf8_start").cast("array<string>"), ",").alias("starts"), "capped"),
     "readings_analysed_first": lambda s, d: T.analysed_first(T.alternatives(joined_words(s, d)).withColumn("analysed", F.size("parts") > 2)).select("form", F.size("readings").alias("n"), F.array_join(F.get("readings", F.lit(0)), "|").alias("first")),
     "incident_outcomes": lambda s, d: A.table(s, d, "lineitem").groupBy(T.outcome_of(F.col("l_returnflag") == "A", F.col("l_tax") > 0.07, F.col("l_discount") > 0.08, F.col("l_linenumber") == 1, F.col("l_linestatus") == "O").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
@@ -128,15 +134,16 @@ inv AS (SELECT DISTINCT lang, unnest(list_transform(generate_series(1, length(fo
 cover AS (SELECT form, lang, CAST(floor(count(*) * 100 / length(form)) AS INTEGER) AS coverage FROM grams JOIN inv USING (gram) GROUP BY form, lang)"""
 _WON = "won AS (SELECT form, lang, coverage, CAST(coverage - coalesce(nxt, 0) AS INTEGER) AS margin FROM (SELECT form, lang, coverage, row_number() OVER w AS r, lead(coverage) OVER w AS nxt FROM cover WINDOW w AS (PARTITION BY form ORDER BY coverage DESC, lang)) WHERE r = 1 AND coverage >= 50 AND coverage - coalesce(nxt, 0) >= 10)"
 _BASE = f"WITH {_OCC}, {_LIST}, {_FORMS}"
-_PAIR = "a AS (SELECT DISTINCT 'w' || (c_custkey % 700) AS form FROM customer), b AS (SELECT DISTINCT 'w' || (s_suppkey * 13 % 900) AS other FROM supplier)"
+_PAIR = "a AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS form FROM customer), b AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS other FROM supplier)"
+_ALL = f"WITH occ AS (SELECT doc_id AS text_id, CAST(generate_subscripts(regexp_extract_all(coalesce(text, ''), {_W}), 1) - 1 AS INTEGER) AS ix, unnest(regexp_extract_all(coalesce(text, ''), {_W})) AS form FROM documents)"
 _LANES = """WITH lanes AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 16 AS a0, l_suppkey % 8 + 1 AS a1, CAST(l_quantity AS BIGINT) % 16 AS b0, l_orderkey % 8 + 1 AS b1, l_partkey % 32 AS b2, l_partkey % 64 AS x, CAST(l_quantity AS BIGINT) % 64 AS y,
 l_partkey % 7 + 1 AS number, l_suppkey % 15 + 1 AS case1, CAST(l_quantity AS BIGINT) % 15 + 1 AS case2, l_orderkey % 7 + 1 AS person, [l_partkey % 5, l_suppkey % 5] AS has, [CAST(l_quantity AS BIGINT) % 5] AS req, [l_orderkey % 9] AS exc FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, """
 _UNI = "((a0 & b0) <> 0 AND (a1 & b1) <> 0 AND b2 <> 0)"
 
 SQL = {
-    "occurrences": f"WITH {_OCC} SELECT * FROM occ",
-    "wordform_counts": f"WITH {_OCC} SELECT form, count(*) AS occurrences, count(DISTINCT text_id) AS texts FROM occ GROUP BY form",
+    "occurrences": f"{_ALL} SELECT * FROM occ",
+    "wordform_counts": f"{_ALL} SELECT form, count(*) AS occurrences, count(DISTINCT text_id) AS texts FROM occ GROUP BY form",
     "word_evidence": f"{_BASE} SELECT form, array_to_string(langs, ',') AS langs FROM checked",
     "text_statistics": f"{_BASE} SELECT text_id, CASE WHEN len(langs) > 0 THEN 'valid' ELSE 'misspelled' END AS outcome, count(*) AS occurrences, count(DISTINCT checked.form) AS wordforms FROM occ JOIN checked ON lower(occ.form) = checked.form GROUP BY GROUPING SETS ((1, 2), (2))",
     "language_statistics": f"{_BASE}, n AS (SELECT lower(form) AS form, count(*) AS n FROM occ GROUP BY 1), r AS (SELECT form, n, unnest(langs) AS lang, len(langs) > 1 AS amb FROM n JOIN checked USING (form)) SELECT lang, CAST(sum(n) AS BIGINT) AS valid_occurrences, count(DISTINCT form) AS valid_wordforms, CAST(coalesce(sum(n) FILTER (WHERE amb), 0) AS BIGINT) AS ambiguous_occurrences, count(*) FILTER (WHERE amb) AS ambiguous_wordforms FROM r GROUP BY lang",
@@ -146,13 +153,18 @@ SQL = {
 r AS (SELECT unnest(langs) AS lang, CASE WHEN len(langs) = 1 THEN n ELSE 0 END AS di, CASE WHEN len(langs) > 1 THEN n ELSE 0 END AS sh, 0 AS ng FROM n JOIN checked USING (form) UNION ALL SELECT lang, 0, 0, n FROM n JOIN checked USING (form) JOIN won USING (form) WHERE len(langs) = 0),
 t AS (SELECT lang, CAST(sum(di) AS BIGINT) AS dictionary, CAST(sum(sh) AS BIGINT) AS shared, CAST(sum(ng) AS BIGINT) AS ngram FROM r GROUP BY lang)
 SELECT *, dictionary + shared + ngram AS any_evidence, dictionary + ngram AS decisive, CASE WHEN dictionary + ngram >= 5 THEN 'proposed' ELSE 'insufficient' END AS status FROM t""",
-    "budgeted_occurrences": f"WITH {_OCC} SELECT text_id, ix, form, row_number() OVER (ORDER BY text_id, ix) <= 5000 AS attempted FROM occ",
+    "budgeted_occurrences": f"{_ALL} SELECT text_id, ix, form, row_number() OVER (ORDER BY text_id, ix) <= 5000 AS attempted FROM occ",
     "trigram_coverage_percent": "SELECT p_partkey, CASE WHEN length(p_name) + 2 < 4 THEN 0 ELSE CAST(len(list_filter(list_transform(generate_series(1, length(p_name)), lambda i: substring('^' || lower(p_name) || '$', i, 3)), lambda g: list_contains(['^re', 'red', 'ed ', 'sma', 'mal', 'all', ' ri', 'rin', 'ing', 'ng$'], g))) * 100 // length(p_name) AS INTEGER) END AS percent FROM part",
-    "edit_distance": f"WITH {_PAIR} SELECT form, other, levenshtein(form, other) AS distance FROM a JOIN b ON substring(form, 1, 2) = substring(other, 1, 2)",
-    "spelling_suggestions": f"WITH {_PAIR} SELECT form, other AS suggestion, levenshtein(form, other) AS distance FROM a, b WHERE form <> other AND levenshtein(form, other) <= 2",
-    "suggestion_class": f"WITH {_PAIR} SELECT form, other AS suggestion, CASE WHEN length(form) = 2 THEN 'hunspell_rule' WHEN levenshtein(form, other) <= 1 THEN 'edit_distance' ELSE 'ngram_fallback' END AS method FROM a, b WHERE form <> other AND levenshtein(form, other) <= 2",
+    "edit_distance": f"WITH {_PAIR} SELECT form, other, levenshtein(form, other) AS distance FROM a, b WHERE form <> other AND abs(length(form) - length(other)) <= 1 AND levenshtein(form, other) <= 1",
+    "suggestion_class": f"WITH {_PAIR} SELECT form, other AS suggestion, CASE WHEN length(form) = 2 THEN 'hunspell_rule' WHEN levenshtein(form, other) <= 0 THEN 'edit_distance' ELSE 'ngram_fallback' END AS method FROM a, b WHERE form <> other AND levenshtein(form, other) <= 1",
     "leipzig_gloss": "WITH g AS (SELECT p_partkey, p_name, p_size % 2 AS root, p_size % 5 > 1 AS guessed, [CASE WHEN p_size % 3 > 0 THEN lower(p_brand) END, string_split(p_name, ' ')[1], 'PL'] AS l FROM part) SELECT p_partkey, array_to_string(list_transform(l, lambda g, i: CASE WHEN g IS NOT NULL THEN g WHEN guessed AND i - 1 = root THEN '*' || p_name || '*' ELSE '[?]' END), '-') AS gloss FROM g",
     "result_signature": "SELECT user_id, string_agg(event_type, ';' ORDER BY event_type) AS signature FROM events GROUP BY user_id",
+    "gloss_signatures": """WITH g AS (SELECT p_brand, CASE WHEN p_size > 9 THEN 'g:"' || p_type ELSE 'm:"' || p_brand END || '"+g:"PL"|s:"' || string_split(p_name, ' ')[1] || '"' AS part FROM part) SELECT p_brand, sha256(string_agg(part, ';' ORDER BY part)) AS signature FROM g GROUP BY p_brand""",
+    "occurrence_spans": f"""WITH c AS (SELECT conv_id * 1000 + turn AS text_id, coalesce(text, '') AS t FROM conversations),
+w AS (SELECT text_id, regexp_extract_all(t, {_W}) AS ws, regexp_split_to_array(t, {_W}) AS gs FROM c),
+e AS (SELECT text_id, ws, gs, unnest(generate_series(1, len(ws))) AS i FROM w),
+o AS (SELECT text_id, CAST(i - 1 AS INTEGER) AS ix, ws[i] AS form, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) AS BIGINT) + CAST(list_sum(list_transform(ws[1:i], lambda x: length(x))) AS BIGINT) AS z, CAST(list_sum(list_transform(gs[1:i], lambda x: strlen(x))) AS BIGINT) + CAST(list_sum(list_transform(ws[1:i], lambda x: strlen(x))) AS BIGINT) AS z8 FROM e)
+SELECT text_id, ix, form, z - length(form) AS start, z AS "end", z8 - strlen(form) AS utf8_start, z8 AS utf8_end FROM o""",
     "percent_change": "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax = 0 THEN 0.0 ELSE 100.0 * (l_discount / l_tax - 1) END, 6) AS change FROM lineitem",
     "feature_key": "SELECT l_orderkey, l_linenumber, l_partkey, 'noun|case=' || (l_suppkey % 15 + 1) || ',number=' || (l_partkey % 7 + 1) AS key FROM lineitem",
     "environment_key": "SELECT p_partkey, sha256(array_to_string(list_sort(string_split(p_name, ' ')), '|') || ' ' || p_brand) AS key FROM part",

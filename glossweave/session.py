@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -15,3 +20,28 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, as a URI; where that is unset, below a temporary one in local mode only."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        given = f"file://{_temporary()}"
+    return f"{given.rstrip('/')}/glossweave-{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(1)
+def _temporary() -> str:
+    own = tempfile.mkdtemp(prefix="glossweave-")
+    atexit.register(shutil.rmtree, own, True)
+    return own
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and not again when an executor is lost."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,13 +48,22 @@ def write_tokens(rows: DataFrame, path: str, name: str = "tokens", version: int
 
 
 def read_tokens(spark: SparkSession, path: str, name: str = "tokens", version: int = 1) -> DataFrame:
-    """Token rows; a header of another format or version is an error, and so is a broken line before the end."""
-    lines = spark.read.text(path)
+    """Token rows; a header of another format or version is an error, and so is a broken line before a file's end.
+
+    A file whose writer was interrupted may end inside a line, and that line is left out. Headers and lines are checked
+    where the rows are read.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     header = F.col("value").startswith('{"format"')
     head = F.from_json("value", "format string, version int")
-    if lines.where(header & ~((head["format"] == name) & (head["version"] == version))).limit(1).count():
-        raise ValueError("unknown token format")
-    return lines.where(~header).select(F.from_json("value", TOKEN, {"mode": "FAILFAST"}).alias("t")).select("t.*")
+    known = F.coalesce((head["format"] == name) & (head["version"] == version), F.lit(False))
+    t = F.from_json("value", f"{TOKEN}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.select("file", "at", header.alias("header"), F.when(header & ~known, F.raise_error(F.lit("unknown token format"))).alias("bad"), t.alias("t"))
+    rows = rows.where(F.col("bad").isNull() & ~F.col("header"))
+    broken = F.col("t").isNull() | F.col("t._broken").isNotNull()
+    ends = rows.groupBy("file").agg(F.max("at").alias("end"))
+    whole = F.when(~broken, True).when(F.col("at") == F.col("end"), False).otherwise(F.raise_error(F.concat(F.lit("a broken line in "), F.col("file"))).cast("boolean"))
+    return rows.join(ends, "file").where(whole).select("t.*").drop("_broken")
 
 
 def sentences(tokens: DataFrame) -> DataFrame:

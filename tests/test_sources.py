@@ -49,8 +49,17 @@ def test_token_lines(spark, tmp_path):
     rows = spark.createDataFrame([("b", "d", "s", 1), ("a", "d", "s", 0)], "surface string, doc_id string, sentence_id string, position int")
     files.write_tokens(rows, str(tmp_path / "t"))
     assert [r.surfaces for r in files.sentences(files.read_tokens(spark, str(tmp_path / "t"))).collect()] == [["a", "b"]]
-    with pytest.raises(ValueError):
-        files.read_tokens(spark, str(tmp_path / "t"), version=2)
+    with pytest.raises(Exception, match="unknown token format"):
+        files.read_tokens(spark, str(tmp_path / "t"), version=2).collect()
+
+
+def test_an_interrupted_last_token_line_is_left_out(spark, tmp_path):
+    line = '{"surface":"a","doc_id":"d","sentence_id":"s","position":0}\n'
+    (tmp_path / "t.jsonl").write_text('{"format":"tokens","version":1}\n' + line + line + line[:25])
+    assert files.read_tokens(spark, str(tmp_path / "t.jsonl")).count() == 2
+    (tmp_path / "u.jsonl").write_text('{"format":"tokens","version":1}\n' + line + line[:25] + "\n" + line)
+    with pytest.raises(Exception, match="a broken line"):
+        files.read_tokens(spark, str(tmp_path / "u.jsonl")).collect()
 
 
 def test_word_list_dictionary_and_profile(spark, tmp_path):
@@ -102,7 +111,19 @@ def test_upsert_stream_goes_on(spark, tmp_path):
         put(rows)
         source = spark.readStream.schema("k long, n long").parquet(f"{base}/in")
         jobs.upsert_stream(source, f"{base}/state", f"{base}/checkpoint", ["k"], "n").awaitTermination()
-        assert {r.k: r.n for r in jobs.latest_version(spark, f"{base}/state").collect()} == want
+        assert {r.k: r.n for r in jobs.latest_version(spark, f"{base}/state", ["k"], "n").collect()} == want
+
+
+def test_upsert_stream_merges_and_deletes(spark, tmp_path):
+    base, want = f"file://{tmp_path}", {}
+    for i in range(7):
+        rows = [(k, 10 * i + k) for k in range(i % 3, 5)]
+        want |= dict(rows)
+        spark.createDataFrame(rows, "k long, n long").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema("k long, n long").parquet(f"{base}/in")
+        jobs.upsert_stream(source, f"{base}/state", f"{base}/checkpoint", ["k"], "n", every=2).awaitTermination()
+        assert {r.k: r.n for r in jobs.latest_version(spark, f"{base}/state", ["k"], "n").collect()} == want
+    assert {p.name for p in (tmp_path / "state").iterdir()} <= {"v3", "v5", "d4", "d5", "d6"}
 
 
 def test_serve(spark, tmp_path):

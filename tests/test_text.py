@@ -138,3 +138,31 @@ def test_synthetic_corpus_does_not_depend_on_partitions(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     top = a.groupBy("root").count().orderBy(F.desc("count")).first()
     assert top.root == 1 and {r["class"] for r in a.select("class").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_suggestions_find_all_pairs(spark):
+    from itertools import product
+    from random import Random
+
+    r = Random(2)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(120)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(row[j - 1] + 1, left[j] + 1, left[j - 1] + (x != y))
+        return row[-1]
+
+    for most in (1, 2):
+        df = spark.createDataFrame([(w,) for w in words], "form string")
+        got = {(x.form, x.suggestion, x.distance) for x in T.suggestions(df, df, most).collect()}
+        assert got == {(a, b, d) for a, b in product(words, words) if a != b and (d := distance(a, b)) <= most}
+
+
+def test_a_circle_of_parents_is_an_error(spark):
+    from glossweave.operators import facts
+
+    with pytest.raises(ValueError, match="its own ancestor"):
+        facts.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, parent long"))
