@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass, field, replace
 from itertools import product
+from time import perf_counter_ns
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -199,6 +200,11 @@ class Affix:
             core = core[: self.after] + self.infix + core[self.after :]
         return self.prefix + core[: self.copies] + core + self.suffix
 
+    def moved(self, start: int, end: int) -> tuple[int, int]:
+        """Where a span of the stem stands after this; one that an infix splits is as long as its parts reach."""
+        by, n = len(self.prefix) + self.copies, len(self.infix)
+        return start + by + n * (n > 0 and start >= self.after), end + by + n * (n > 0 and end > self.after)
+
     def undo(self, shape: Shape, segments: tuple[str, ...], work: Work) -> set[Shape]:
         p, s, r = len(self.prefix), len(self.suffix), self.copies
         if len(shape) < p + s + 1 or shape[:p] != self.prefix or shape[len(shape) - s :] != self.suffix:
@@ -227,9 +233,19 @@ class Root:
     name: str
     shapes: tuple[Shape, ...]  # allomorphs; an earlier one that fits excludes later ones
     category: str
-    where: tuple[Environment | None, ...] = ()
+    where: tuple[Environment | tuple[Environment, ...] | None, ...] = ()  # of several, one must hold
     features: frozenset[str] = frozenset()
     bound: bool = False
+    barred: tuple[tuple[Environment, ...] | None, ...] = ()  # of each allomorph: none may hold
+
+    def stands(self, k: int, shape: Shape, start: int, end: int) -> bool:
+        """Whether the k-th allomorph may stand there."""
+        where, barred = self.where[k] if k < len(self.where) else None, self.barred[k] if k < len(self.barred) else None
+        some = (where,) if isinstance(where, Environment) else where or ()
+        return (not some or any(e.holds(shape, start, end) for e in some)) and not any(e.holds(shape, start, end) for e in barred or ())
+
+    def conditioned(self, k: int) -> bool:
+        return bool(k < len(self.where) and self.where[k])
 
 
 @dataclass(frozen=True)
@@ -314,15 +330,15 @@ class Engine:
             shape = rule.apply(shape)
         return shape
 
-    def stems(self, roots: tuple[Root, ...]) -> list[tuple[Shape, str, frozenset[str]]]:
-        """Concatenations of the roots' allomorphs with category and features."""
-        found = [((), None, frozenset())]
-        for k, r in enumerate(roots):
+    def stems(self, roots: tuple[Root, ...]) -> list[tuple[Shape, str, frozenset[str], tuple]]:
+        """Concatenations of the roots' allomorphs with category, features and each root's (allomorph, start, end)."""
+        found = [((), None, frozenset(), ())]
+        for r in roots:
             more = []
-            for shape, category, features in found:
+            for shape, category, features, spans in found:
                 whole = r.category if category is None else next((w for a, b, w in self.g.compounds if a == category and b == r.category), None)
                 if whole is not None:
-                    more += [(shape + s, whole, features | r.features) for s in r.shapes]
+                    more += [(shape + s, whole, features | r.features, (*spans, (k, len(shape), len(shape) + len(s)))) for k, s in enumerate(r.shapes)]
             found = more
         return found
 
@@ -334,31 +350,21 @@ class Engine:
         if not all(p.holds(names) for p in self.g.prohibitions):
             return []
         out = []
-        for shape, category, features in self.stems(roots):
+        for shape, category, features, spans in self.stems(roots):
             work.step()
-            start = shape
             for a in affixes:
                 if a.fits(shape, category, features) is not None or (shape := a.apply(shape)) is None:
                     break
                 category, features = a.gives or category, features | a.adds
+                spans = tuple((k, *a.moved(b, e)) for k, b, e in spans)
             else:
-                if len(roots) > 1 or self.allomorph_ok(roots[0], start, shape):
+                if all(self.allomorph_ok(r, k, shape, b, min(e, len(shape))) for r, (k, b, e) in zip(roots, spans, strict=True)):
                     out.append((self.surface(shape), category))
         return out
 
-    def allomorph_ok(self, root: Root, chosen: Shape, whole: Shape) -> bool:
-        """The chosen allomorph's environment holds in the whole, and that of no earlier one does."""
-        if chosen not in root.shapes:
-            return True
-        k = root.shapes.index(chosen)
-        where = root.where or (None,) * len(root.shapes)
-        at = next((i for i in range(len(whole) - len(chosen) + 1) if whole[i : i + len(chosen)] == chosen), None)
-        if at is None:
-            return True
-        end = at + len(chosen)
-        if where[k] and not where[k].holds(whole, at, end):
-            return False
-        return not any(where[j] and where[j].holds(whole, at, end) for j in range(k))
+    def allomorph_ok(self, root: Root, k: int, whole: Shape, start: int, end: int) -> bool:
+        """The chosen allomorph may stand at its span of the whole, and no earlier one that has conditions may."""
+        return root.stands(k, whole, start, end) and not any(root.conditioned(j) and root.stands(j, whole, start, end) for j in range(k))
 
     def slots_ok(self, affixes: tuple[Affix, ...]) -> bool:
         """Affixes of slots stand in the order of one template, none twice, and required slots are filled."""
@@ -394,10 +400,16 @@ class Engine:
                 deep = {s for x in deep for s in rule.undo(x, work)}
                 tell(top, "phonological_rule_analysis", rule.name)
             tried: set[tuple] = set()
+            states: set[tuple] = set()
+            possible = self.possible(deep)
             stack = [(s, (), top) for s in sorted(deep)]
             while stack:
                 now, trail, node = stack.pop()
                 work.step()
+                state = (now, tuple(a.name for a in trail))
+                if state in states:  # other ways led here already
+                    continue
+                states.add(state)
                 for roots in self.lookup(now, work, guess and not found):
                     key = (tuple(r.name for r in roots), tuple(a.name for a in trail))
                     if key in tried:
@@ -408,7 +420,7 @@ class Engine:
                     tell(here, "successful" if results else "failed", "+".join(key[0] + key[1]), None if results else "surface_mismatch")
                     found |= {Analysis(*key, category=c, surface=word, guessed=roots[0].name.startswith(GUESSED)) for c in results}
                 if len(trail) < self.g.most_affixes:
-                    for a in self.g.affixes:
+                    for a in possible:
                         for s in sorted(a.undo(now, self.sorted, work)):
                             work.step()
                             stack.append((s, (a, *trail), tell(node, "morphological_rule_analysis", a.name)))
@@ -418,6 +430,18 @@ class Engine:
             found = {a for a in found if not a.guessed}
         return Result("ok", sorted(found, key=lambda a: (a.signature, a.category)), work.used, events)
 
+    def possible(self, shapes: set[Shape]) -> list[Affix]:
+        """The affixes that a word with one of these underlying shapes can have: all that an affix inserts must be in it,
+        and where slots are required, each must have such an affix in one of the templates that its own slot is in."""
+        here = [frozenset(s) for s in shapes]
+        cut = any(a.cuts for a in self.g.affixes)  # then what one affix inserts another may take away
+        some = [a for a in self.g.affixes if cut or any(i.issuperset(a.prefix + a.infix + a.suffix) for i in here)]
+        if not self.g.templates:
+            return some
+        filled = {a.slot for a in some if a.slot}
+        open_ = {n for t in self.g.templates if all(o or n in filled for n, o in t) for n, _ in t}
+        return [a for a in some if not a.slot or a.slot in open_]
+
     def lookup(self, shape: Shape, work: Work, guess: bool) -> list[tuple[Root, ...]]:
         found = [(r,) for r in self.by_shape.get(shape, [])]
         if self.g.compounds:
@@ -493,21 +517,26 @@ def combinations(rules: list, start, apply) -> list:
 ANALYSES = "array<struct<roots:array<string>,affixes:array<string>,category:string,guessed:boolean>>"
 
 
-def parse_words(words: DataFrame, grammar: Grammar, word_col: str = "word", most: int = 100_000, guess: bool = False, supplied: tuple[Root, ...] = ()) -> DataFrame:
+def parse_words(words: DataFrame, grammar: Grammar, word_col: str = "word", most: int = 100_000, guess: bool = False, supplied: tuple[Root, ...] = (), timed: bool = False) -> DataFrame:
     """(word, status, signature, work, analyses) of each distinct word: ok, CAP where the budget ended, SKIPPED where it
-    is not of the grammar's segments. Long words, which cost most, are dealt over all tasks."""
-    distinct = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct()
+    is not of the grammar's segments. Words are dealt over all tasks, and each task takes its longest, which cost most,
+    first. ``timed`` adds elapsed_ns."""
+    distinct = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct().sortWithinPartitions(F.desc(F.length("word")), "word")
     sent = words.sparkSession.sparkContext.broadcast((grammar, supplied))
 
     def run(batches):
         engine = Engine(*sent.value)
         for b in batches:
-            rows = [engine.parse(w, most, guess) for w in b.column(0).to_pylist()]
+            rows, took = [], []
+            for w in b.column(0).to_pylist():
+                begun = perf_counter_ns()
+                rows.append(engine.parse(w, most, guess))
+                took.append(perf_counter_ns() - begun)
             lists = [[{"roots": list(a.roots), "affixes": list(a.affixes), "category": a.category, "guessed": a.guessed} for a in r.analyses] for r in rows]
             kind = pa.list_(pa.struct([("roots", pa.list_(pa.string())), ("affixes", pa.list_(pa.string())), ("category", pa.string()), ("guessed", pa.bool_())]))
-            yield pa.record_batch([b.column(0), pa.array([r.status for r in rows]), pa.array([r.signature for r in rows]), pa.array([r.work for r in rows], pa.int64()), pa.array(lists, kind)], names=["word", "status", "signature", "work", "analyses"])
+            yield pa.record_batch([b.column(0), pa.array([r.status for r in rows]), pa.array([r.signature for r in rows]), pa.array([r.work for r in rows], pa.int64()), pa.array(lists, kind), *([pa.array(took, pa.int64())] if timed else [])], names=["word", "status", "signature", "work", "analyses", *["elapsed_ns"] * timed])
 
-    return distinct.mapInArrow(run, f"word string, status string, signature string, work long, analyses {ANALYSES}")
+    return distinct.mapInArrow(run, f"word string, status string, signature string, work long, analyses {ANALYSES}" + ", elapsed_ns long" * timed)
 
 
 def identities(parsed: DataFrame) -> DataFrame:
@@ -517,17 +546,23 @@ def identities(parsed: DataFrame) -> DataFrame:
     return a.select("word", names.alias("morphemes"), F.lit(0).alias("root_index"), F.nullif(F.col("a.category"), F.lit("?")).alias("category"), F.col("a.guessed").alias("guessed"))
 
 
-def generate_words(requests: DataFrame, grammar: Grammar) -> DataFrame:
-    """(id, surface) for rows (id, roots, affixes)."""
+def generate_words(requests: DataFrame, grammar: Grammar, most: int = 100_000) -> DataFrame:
+    """(id, surface, status) for rows (id, roots, affixes): ok with each surface, NONE without one, CAP where the steps ended."""
     sent = requests.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches):
         engine = Engine(sent.value)
         for b in batches:
-            rows = [(i, s) for i, r, a in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for s in engine.generate(r or [], a or [])]
-            yield pa.record_batch([pa.array([i for i, _ in rows], b.column(0).type), pa.array([s for _, s in rows], pa.string())], names=["id", "surface"])
+            rows = []
+            for i, r, a in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                try:
+                    made = engine.generate(r or [], a or [], most)
+                    rows += [(i, s, "ok") for s in made] or [(i, None, "NONE")]
+                except Budget:
+                    rows.append((i, None, "CAP"))
+            yield pa.record_batch([pa.array([r[0] for r in rows], b.column(0).type), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["id", "surface", "status"])
 
-    return requests.select("id", "roots", "affixes").mapInArrow(run, f"id {requests.schema['id'].dataType.simpleString()}, surface string")
+    return requests.select("id", "roots", "affixes").mapInArrow(run, f"id {requests.schema['id'].dataType.simpleString()}, surface string, status string")
 
 
 def trace_events(words: DataFrame, grammar: Grammar, word_col: str = "word", most: int = 20_000) -> DataFrame:
@@ -545,16 +580,16 @@ def trace_events(words: DataFrame, grammar: Grammar, word_col: str = "word", mos
     return distinct.mapInArrow(run, "word string, node_id int, parent_id int, type string, source string, reason string")
 
 
-def segment_words(words: DataFrame, segments: list[str], word_col: str = "word") -> DataFrame:
+def segment_words(words: DataFrame, segments: list[str], word_col: str = "word", boundaries: list[str] = ()) -> DataFrame:
     """(word, segments, error_at): greedy longest segmentation; the first place that no segment covers."""
-    known = frozenset(map(nfd, segments))
+    known, edges = frozenset(map(nfd, segments)), frozenset(map(nfd, boundaries))
 
     def run(batches):
         for b in batches:
             out, bad = [], []
             for w in b.column(0).to_pylist():
                 try:
-                    out.append(list(segment(w, known)))
+                    out.append(list(segment(w, known, edges)))
                     bad.append(None)
                 except SegmentError as e:
                     out.append(None)
@@ -567,50 +602,117 @@ def segment_words(words: DataFrame, segments: list[str], word_col: str = "word")
 
 def confirmed(candidates: DataFrame, grammar: Grammar, most: int = 100_000) -> DataFrame:
     """(word, roots, affixes, confirmed, work): whether exactly these morphemes derive the word. A candidate that is not
-    of the grammar, or runs out of steps, is not confirmed."""
+    of the grammar, or runs out of steps, is not confirmed.
+
+    What morphemes derive does not depend on the word, so each combination of roots and rules is derived once, and its
+    surfaces meet the words that it was proposed for.
+    """
     sent = candidates.sparkSession.sparkContext.broadcast(grammar)
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.int64()]
 
     def run(batches):
         engine = Engine(sent.value)
         for b in batches:
             rows = []
-            for word, roots, affixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                work, ok = Work(most), False
-                if roots and all(r in engine.root for r in roots) and all(a in engine.affix for a in affixes or []):
+            for roots, affixes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                work, made = Work(most), []
+                if roots and all(r in engine.root for r in roots) and all(a in engine.affix for a in affixes):
                     try:
-                        shape = segment(word, grammar.segments, grammar.boundaries)
-                        ok = any(s == shape for s, _ in engine.derive(tuple(engine.root[r] for r in roots), tuple(engine.affix[a] for a in affixes or []), work))
-                    except (Budget, SegmentError):
+                        made = ["".join(s) for s, _ in engine.derive(tuple(engine.root[r] for r in roots), tuple(engine.affix[a] for a in affixes), work)]
+                    except Budget:
                         pass
-                rows.append((word, roots, affixes, ok, work.used))
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "roots", "affixes", "confirmed", "work"])
+                rows.append((roots, affixes, made, work.used))
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.list_(pa.string())] * 3 + [pa.int64()])], names=["roots", "affixes", "made", "work"])
 
-    return candidates.where("word IS NOT NULL").select("word", "roots", "affixes").mapInArrow(run, "word string, roots array<string>, affixes array<string>, confirmed boolean, work long")
+    own = candidates.where("word IS NOT NULL").select("word", "roots", F.coalesce("affixes", F.array().cast("array<string>")).alias("affixes"))
+    derived = own.select("roots", "affixes").distinct().mapInArrow(run, "roots array<string>, affixes array<string>, made array<string>, work long")
+    shown = segment_words(own, [*grammar.segments], boundaries=[*grammar.boundaries]).select("word", F.array_join("segments", "").alias("shown"))
+    both = own.join(derived.withColumnsRenamed({"roots": "r", "affixes": "a"}), F.col("roots").eqNullSafe(F.col("r")) & (F.col("affixes") == F.col("a")))
+    return both.join(shown, "word").select("word", "roots", "affixes", F.coalesce(F.array_contains("made", F.col("shown")), F.lit(False)).alias("confirmed"), "work")
 
 
-def proposed(words: DataFrame, grammar: Grammar, word_col: str = "word", depth: int = 2) -> DataFrame:
-    """(word, roots, affixes): candidates by joins, for affixes that only add before or after. Every split of a word in
-    three meets the roots on its middle, and the strings that up to ``depth`` affixes make on its sides.
+def underlying(words: DataFrame, grammar: Grammar, word_col: str = "word", most: int = 100_000) -> DataFrame:
+    """(word, rest): the shapes, as strings, that phonological rules may have made each word from; itself, if none did."""
+    sent = words.sparkSession.sparkContext.broadcast(grammar)
 
-    A word that phonological rules changed may have no candidate; ``confirmed`` drops what does not derive.
-    """
-    from itertools import product as cross
+    def run(batches):
+        g = sent.value
+        for b in batches:
+            rows = []
+            for w in b.column(0).to_pylist():
+                try:
+                    work, deep = Work(most), {segment(w, g.segments, g.boundaries)}
+                    for rule in reversed(g.phonology):
+                        deep = {s for x in deep for s in rule.undo(x, work)}
+                except (SegmentError, Budget):
+                    continue
+                rows += [(w, "".join(s)) for s in sorted(deep)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["word", "rest"])
 
+    return words.select(F.col(word_col).alias("word")).where("word <> ''").distinct().mapInArrow(run, "word string, rest string")
+
+
+def peeled(states: DataFrame, grammar: Grammar, most: int = 100_000) -> DataFrame:
+    """(word, rest, affixes) after one more affix that is not just added at the edges is taken off: reduplication, an
+    infix, cut segments, or a stretch with any of them."""
+    sent = states.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches):
+        g = sent.value
+        odd, letters = [a for a in g.affixes if a.infix or a.copies or a.cuts], tuple(sorted(g.segments))
+        for b in batches:
+            rows = []
+            for word, rest, affixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                shape = segment(rest, g.segments, g.boundaries)
+                for a in odd:
+                    try:
+                        rows += [(word, "".join(s), [a.name, *affixes]) for s in a.undo(shape, letters, Work(most))]
+                    except Budget:
+                        pass
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.string(), pa.string(), pa.list_(pa.string())])], names=["word", "rest", "affixes"])
+
+    return states.select("word", "rest", "affixes").mapInArrow(run, "word string, rest string, affixes array<string>")
+
+
+def proposed(words: DataFrame, grammar: Grammar, word_col: str = "word") -> DataFrame:
+    """(word, roots, affixes): all candidates, by joins; ``confirmed`` drops what does not derive.
+
+    Phonological rules are undone first. Then up to the grammar's number of affixes are taken off, the outermost first:
+    those at the edges by a join on the edges' strings, the others by ``peeled``. What is left meets the roots, whole or,
+    for compounds, in two parts. Equal candidates that several ways led to are one.
+    """
     spark = words.sparkSession
-    roots = spark.createDataFrame([("".join(s), r.name) for r in grammar.roots for s in r.shapes], "middle string, root string")
     plain = [a for a in grammar.affixes if not (a.infix or a.copies or a.cuts)]
-    sides = [("".join(x for a in reversed(p) for x in a.prefix), "".join(x for a in p for x in a.suffix), [a.name for a in p]) for n in range(depth + 1) for p in cross(plain, repeat=n)]
-    sides = spark.createDataFrame(sides, "before string, after string, affixes array<string>")
-    w = F.col("word")
-    cut = words.select(F.col(word_col).alias("word")).where("word <> ''").distinct().select("word", F.explode(F.sequence(F.lit(0), F.length(w) - 1)).alias("i"))
-    cut = cut.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.length(w))).alias("j"))
-    cut = cut.select("word", F.substr(w, F.lit(1), F.col("i")).alias("before"), F.substr(w, F.col("i") + 1, F.col("j") - F.col("i")).alias("middle"), F.substr(w, F.col("j") + 1, F.length(w)).alias("after"))
-    return cut.join(roots, "middle").join(sides, ["before", "after"]).select("word", F.array("root").alias("roots"), "affixes").distinct()
+    odd = len(plain) < len(grammar.affixes)
+    edges = spark.createDataFrame([("".join(a.prefix), "".join(a.suffix), a.name) for a in plain], "before string, after string, affix string")
+    sizes = sorted({(len("".join(a.prefix)), len("".join(a.suffix))) for a in plain})
+    rest, n = F.col("rest"), F.length("rest")
+    states = underlying(words, grammar, word_col).withColumn("affixes", F.array().cast("array<string>"))
+    every = [states]
+    for _ in range(grammar.most_affixes):
+        fit = F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in sizes]), lambda x: x["p"] + x["s"] < n)).alias("x")
+        ends = states.select("word", "rest", "affixes", fit) if sizes else states.limit(0).withColumn("x", F.struct(F.lit(0).alias("p"), F.lit(0).alias("s")))
+        p, s = F.col("x.p"), F.col("x.s")
+        ends = ends.select("word", "affixes", F.substr(rest, F.lit(1), p).alias("before"), F.substr(rest, n - s + 1, s).alias("after"), F.substr(rest, p + 1, n - p - s).alias("rest"))
+        more = ends.join(edges, ["before", "after"]).select("word", "rest", F.concat(F.array("affix"), "affixes").alias("affixes"))
+        states = (more.unionByName(peeled(states, grammar)) if odd else more).distinct()
+        every.append(states)
+    left = every[0]
+    for x in every[1:]:
+        left = left.unionByName(x)
+    shapes = spark.createDataFrame([("".join(s), r.name, r.category) for r in grammar.roots for s in r.shapes], "rest string, root string, category string").distinct()
+    found = left.join(shapes, "rest").select("word", F.array("root").alias("roots"), "affixes")
+    if grammar.compounds and grammar.most_stems > 1:
+        cut = left.select("word", "affixes", rest.alias("whole"), F.explode(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))).alias("i"))
+        cut = cut.select("word", "affixes", F.substr("whole", F.lit(1), F.col("i")).alias("rest"), F.substr(F.col("whole"), F.col("i") + 1, F.length("whole")).alias("other"))
+        second = shapes.select(F.col("rest").alias("other"), F.col("root").alias("root2"), F.col("category").alias("category2"))
+        pairs = spark.createDataFrame([c[:2] for c in grammar.compounds], "category string, category2 string").distinct()
+        found = found.unionByName(cut.join(shapes, "rest").join(second, "other").join(pairs, ["category", "category2"]).select("word", F.array("root", "root2").alias("roots"), "affixes"))
+    return found.distinct()
 
 
 def phonology_steps(shapes: DataFrame, grammar: Grammar, word_col: str = "word") -> DataFrame:
-    """(word, ix, rule, output, changed): the ordered phonological rules on explicit forms, one row for each rule."""
+    """(word, ix, rule, output, changed): the ordered phonological rules on explicit forms, one row for each rule; a word
+    that is not of the grammar's segments has one row without a rule."""
     sent = shapes.sparkSession.sparkContext.broadcast(grammar)
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
 
@@ -622,6 +724,7 @@ def phonology_steps(shapes: DataFrame, grammar: Grammar, word_col: str = "word")
                 try:
                     shape = segment(w, g.segments, g.boundaries)
                 except SegmentError:
+                    rows.append((w, None, None, None, None))
                     continue
                 for i, rule in enumerate(g.phonology):
                     new = rule.apply(shape)

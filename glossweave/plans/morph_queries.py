@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import morphology as M
-from ..session import folder
+from ..operators import text as T
+from ..session import folder, stored
 from ..streaming import jobs
 from . import adapters as A
 
@@ -51,6 +52,29 @@ def stream(s: SparkSession, d: str) -> DataFrame:
     return jobs.latest_version(s, f"{base}/state", ["user_id"], "event_id")
 
 
+def forms(s: SparkSession, d: str) -> DataFrame:
+    """The distinct lower-case words of all documents, and how often each is there."""
+    return T.occurrences(A.table(s, d, "documents"), "doc_id").groupBy(F.lower("form").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_grammar(words: DataFrame, roots: int = 1500) -> M.Grammar:
+    """A grammar of ``roots`` of the corpus's own most frequent words: inflection and derivation in slots, two rewrites.
+
+    The number bounds the lexicon, a grammar's own size; every word of the corpus is parsed.
+    """
+    stems = [r.word for r in words.where("word RLIKE '^[a-z]{3,}$'").orderBy(F.desc("n"), "word").limit(roots).collect()]
+    inflected, derived = [("PL", "s"), ("PST", "ed"), ("PROG", "ing")], [("AGT", "er"), ("ADV", "ly"), ("ABST", "ness"), ("ADJ", "al")]
+    affixes = [M.Affix(n, suffix=_s(x), slot="inflection") for n, x in inflected] + [M.Affix(n, suffix=_s(x), slot="derivation") for n, x in derived]
+    affixes += [M.Affix(n, prefix=_s(x), excludes=frozenset({n}), adds=frozenset({n})) for n, x in (("NEG", "un"), ("AGAIN", "re"))]
+    rules = (M.Rewrite("e-insertion", _s("xs"), _s("xes")), M.Rewrite("y-i", _s("ys"), _s("ies")))
+    return M.Grammar(LETTERS, tuple(M.Root(w, (_s(w),), "N") for w in stems), tuple(affixes), rules, templates=((("derivation", True), ("inflection", True)),), compounds=(("N", "N", "N"),), most_affixes=3)
+
+
+def parsed_corpus(s: SparkSession, d: str, timed: bool = False) -> DataFrame:
+    words = stored(forms(s, d), "forms")
+    return M.parse_words(words, corpus_grammar(words), timed=timed)
+
+
 def guessed(s: SparkSession, d: str) -> DataFrame:
     """The whole words of the parts' names, with patterns of roots up to the longest."""
     whole = A.table(s, d, "part").select(F.explode(F.split("p_name", " +")).alias("word")).where("word <> ''")
@@ -60,6 +84,7 @@ def guessed(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "parse_words": lambda s, d: M.parse_words(words(s, d), grammar()).select("word", "status", "signature"),
+    "parse_corpus": lambda s, d: parsed_corpus(s, d).select("word", "status", "signature"),
     "parse_identities": lambda s, d: M.identities(M.parse_words(words(s, d), grammar())).select("word", F.array_join("morphemes", "+").alias("morphemes"), "category"),
     "parse_guessed": guessed,
     "generate_words": lambda s, d: M.generate_words(A.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("roots"), F.array(F.lit("PL")).alias("affixes")), grammar()),

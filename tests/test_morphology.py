@@ -113,10 +113,66 @@ def test_proposed_then_confirmed_is_what_the_parser_finds(spark):
         got.setdefault(r.word, set()).add("+".join([*r.roots, *r.affixes]))
     e = M.Engine(g)
     for w in words:
-        want = {x.split("|")[0] for x in e.parse(w).signature.split(";") if "|" in x and x.count("+") <= 2}
+        want = {x.split("|")[0] for x in e.parse(w).signature.split(";") if "|" in x}
         assert got.get(w, set()) == want
 
 
+RICH = M.Grammar(
+    frozenset("abkgs"),
+    (M.Root("r", (S("bag"), S("bak")), "N", (M.Environment(right=(frozenset("a"),)), None)), M.Root("q", (S("ka"),), "N", bound=True), M.Root("v", (S("gas"),), "V")),
+    (M.Affix("PL", suffix=S("s"), excludes=frozenset({"pl"}), adds=frozenset({"pl"})), M.Affix("A", suffix=S("a")), M.Affix("RED", copies=2), M.Affix("IN", infix=S("k"), after=1, takes=frozenset("V")), M.Affix("CIRC", prefix=S("ab"), suffix=S("g"))),
+    (M.Rewrite("s-a", S("ss"), S("sas")),),
+    compounds=(("N", "V", "N"), ("N", "N", "N")),
+    most_affixes=3,
+)
+
+
+def test_candidates_by_joins_are_complete(spark):
+    """With rewrites undone, compounds, reduplication, an infix and a circumfix: what is proposed and confirmed is just what the parser finds."""
+    e, forms = M.Engine(RICH), {"abk", "kkaa", "sss"}
+    for stems in (("r",), ("q",), ("v",), ("r", "v"), ("q", "r")):
+        for n in range(4):
+            for affixes in product([a.name for a in RICH.affixes], repeat=n):
+                forms |= set(e.generate(list(stems), list(affixes)))
+    words = sorted(forms)[::3]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {}
+    for r in M.confirmed(M.proposed(df, RICH), RICH).where("confirmed").collect():
+        got.setdefault(r.word, set()).add("+".join([*r.roots, *r.affixes]))
+    want = {w: {x.split("|")[0] for x in e.parse(w, most=10**7).signature.split(";") if "|" in x} for w in words}
+    assert len(words) > 100 and {w: got.get(w, set()) for w in words} == want
+
+
+def test_an_environment_is_tested_where_the_root_stands():
+    after = M.Environment(left=(frozenset("c"),))
+    g = M.Grammar(frozenset("acn"), (M.Root("r", (S("an"),), "N", (after,)),), (M.Affix("P", prefix=S("anc")),))
+    e = M.Engine(g)
+    assert e.generate(["r"], ["P"]) == ["ancan"] and e.parse("ancan").signature == "r+P|ancan" and e.parse("an").signature == "-"
+    barred = M.Root("r", (S("an"),), "N", ((after, M.Environment(at_start=True)),), barred=((M.Environment(at_end=True),),))
+    e = M.Engine(M.Grammar(frozenset("acn"), (barred,), (M.Affix("P", prefix=S("anc")), M.Affix("Q", suffix=S("c")))))
+    assert e.parse("an").signature == "-" and e.parse("anc").signature == "r+Q|anc" and e.parse("ancanc").signature == "r+P+Q|ancanc;r+Q+P|ancanc"
+
+
+def test_look_ahead_loses_nothing():
+    class Blind(M.Engine):
+        def possible(self, shapes):
+            return list(self.g.affixes)
+
+    slots = M.Grammar(frozenset("abcd"), (M.Root("r", (S("ab"),), "V"),), (M.Affix("C", suffix=S("c"), slot="1"), M.Affix("D", suffix=S("d"), slot="2"), M.Affix("E", prefix=S("d"))), templates=((("1", False), ("2", True)), (("2", False),)))
+    for g, letters in ((slots, "abcd"), (RICH, "abkgs")):
+        own, blind = M.Engine(g), Blind(g)
+        for n in range(1, 6):
+            for w in product(letters, repeat=n):
+                a, b = own.parse("".join(w), most=10**7), blind.parse("".join(w), most=10**7)
+                assert a.signature == b.signature and a.work <= b.work
+
+
+def test_a_request_out_of_steps_has_a_row(spark):
+    rows = spark.createDataFrame([(1, ["ring"], ["PL"]), (2, ["nothing"], [])], "id long, roots array<string>, affixes array<string>")
+    assert {(r.id, r.surface, r.status) for r in M.generate_words(rows, grammar()).collect()} == {(1, "rings", "ok"), (2, None, "NONE")}
+    assert {r.status for r in M.generate_words(rows.limit(1), grammar(), most=0).collect()} == {"CAP"}
+
+
 def test_phonology_steps(spark):
     rows = M.phonology_steps(spark.createDataFrame([("boxs",), ("ring",), ("?",)], "word string"), grammar()).collect()
-    assert {(r.word, r.output, r.changed) for r in rows} == {("boxs", "boxes", True), ("ring", "ring", False)}
+    assert {(r.word, r.output, r.changed) for r in rows} == {("boxs", "boxes", True), ("ring", "ring", False), ("?", None, None)}
