@@ -105,3 +105,84 @@ def decomposed(s: pd.Series) -> pd.Series:
 def nfd(x: Column) -> Column:
     """Canonical decomposition; Spark has no function for it, so this one runs in Arrow batches."""
     return F.pandas_udf(decomposed, "string")(x)
+
+
+def is_nfd(x: Column) -> Column:
+    return F.pandas_udf(lambda s: s == decomposed(s), "boolean")(x)
+
+
+# A letter's category by its general category, the first that holds.
+CATEGORIES = [("letter", r"^\p{L}$"), ("mark", r"^\p{M}$"), ("number", r"^\p{N}$"), ("dual", "^['‘’‐‑-]$"), ("space", r"^[\p{Z}\t\n\r]$")]
+
+
+def category(character: Column) -> Column:
+    """What a character is in a word: letter, mark, number, one that joins or ends words, space, or other."""
+    out = F.when(character.rlike(CATEGORIES[0][1]), CATEGORIES[0][0])
+    for name, pattern in CATEGORIES[1:]:
+        out = out.when(character.rlike(pattern), name)
+    return out.otherwise("other")
+
+
+# Fixed value: what stands before an entry's own identity.
+ENTRY = "pgl_"
+
+
+def entry_id(hexed: Column) -> Column:
+    """An entry's id from 32 hexadecimal digits: 22 letters that are safe in addresses, behind a prefix; null from others."""
+    letters = F.replace(F.replace(F.substr(F.base64(F.unhex(hexed)), F.lit(1), F.lit(22)), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    return F.when(hexed.rlike("^[0-9A-Fa-f]{32}$"), F.concat(F.lit(ENTRY), letters))
+
+
+def entry_hex(entry: Column) -> Column:
+    """The hexadecimal digits of an entry's id, null if it is none."""
+    letters = F.replace(F.replace(F.substr(entry, F.lit(len(ENTRY) + 1), F.lit(22)), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return F.when(entry.rlike(f"^{ENTRY}[A-Za-z0-9_-]{{21}}[AQgw]$"), F.lower(F.hex(F.unbase64(F.concat(letters, F.lit("=="))))))
+
+
+def mixed_guid(hexed: Column) -> Column:
+    """32 hexadecimal digits as a GUID whose first three fields have their bytes turned round; null from others."""
+    x = F.lower(hexed)
+    byte = lambda *places: F.concat(*(F.substr(x, F.lit(2 * p + 1), F.lit(2)) for p in places))
+    return F.when(hexed.rlike("^[0-9A-Fa-f]{32}$"), F.concat_ws("-", byte(3, 2, 1, 0), byte(5, 4), byte(7, 6), byte(8, 9), byte(*range(10, 16))))
+
+
+def gate_feature(kind: Column, name: Column, values: Column) -> Column:
+    """A gate's identity as JSON with its parts and values in order, so that equal gates are equal strings."""
+    return F.to_json(F.struct(kind.alias("kind"), name.alias("name"), F.array_sort(F.array_distinct(values)).alias("values")))
+
+
+def _canonical(value) -> str:
+    import json
+
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_canonical(v)}" for k, v in sorted(value.items(), key=lambda e: e[0].encode("utf-16-be"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    if isinstance(value, float):
+        mantissa, _, power = repr(value).partition("e")
+        return mantissa if not power else f"{mantissa.removesuffix('.0')}e{'+' * (power[0] != '-')}{power[0] * (power[0] == '-')}{power.lstrip('+-').lstrip('0')}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def canonical_json(x: Column) -> Column:
+    """JSON with its keys in order of UTF-16, without blanks, numbers in their shortest form; null if it is none."""
+
+    def run(s: pd.Series) -> pd.Series:
+        import json
+
+        def one(t):
+            try:
+                return None if t is None else _canonical(json.loads(t))
+            except ValueError:
+                return None
+
+        return s.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(x)
+
+
+def projection_digest(tag: str, json: Column) -> Column:
+    """The digest of canonical JSON under the name of the projection that it is of."""
+    return F.sha2(F.concat(F.lit(f"{tag}\n"), canonical_json(json)), 256)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assess_queries, facts_queries, morph_queries, stats_queries, text_queries
+from . import assess_queries, facts_queries, grammar_queries, morph_queries, stats_queries, text_queries
 
-_PARTS = [stats_queries, text_queries, assess_queries, facts_queries, morph_queries]
+_PARTS = [stats_queries, text_queries, assess_queries, facts_queries, grammar_queries, morph_queries]
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
