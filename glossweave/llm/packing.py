@@ -53,6 +53,9 @@ class ChunkEncoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.most, self.known, self.older = most, {}, {}
+        apart, a, b, blanks = self.encoded(["ab cd\n\tEf.", "ab cd", "Ef.", " \t\n\x0b\x0c\r "])
+        if blanks or apart != a + b or not a:
+            raise ValueError("this tokenizer does not drop white space")
         spec = json.loads(self.own.to_str())
         size = max(self.own.get_vocab().values()) + 1
         suffix = spec["model"].get("end_of_word_suffix")

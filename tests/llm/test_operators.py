@@ -422,3 +422,8 @@ def test_license_scan_against_all_templates(spark):
         want = [(name, score) for p, score, name in hits if not any(p in q and p != q and other >= score for q, other, _ in hits)]
         assert [h.license for h in got[i]] == [n for n, _ in want]
         assert all(math.isclose(h.dice, s) for h, (_, s) in zip(got[i], want, strict=True))
+
+
+def test_packing_refuses_tokenizers_that_keep_white_space():
+    with pytest.raises(ValueError, match="white space"):
+        packing.ChunkEncoder(queries._tokenizer("byte_bpe_50k.json"))
