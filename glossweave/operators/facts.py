@@ -194,3 +194,29 @@ def health(findings: list[tuple[str, str, DataFrame]]) -> DataFrame:
     """(code, severity, subject) of (code, severity, rows with a subject): one query of the grammar's tables for each code."""
     parts = [df.select(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.col("subject").cast("string").alias("subject")) for c, s, df in findings]
     return reduce(DataFrame.unionByName, parts)
+
+
+def checked_mutations(mutations: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, value, revision, refused) after mutations (action, value, expected) in order: one that expects another revision
+    than the entry has is refused; ``remove`` leaves no value, ``clear`` an empty one."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "action", "value", "expected")))
+    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("revision"), F.lit(0).cast("long").alias("refused"))
+
+    def step(acc: Column, m: Column) -> Column:
+        ok = F.coalesce(m["expected"] == acc["revision"], F.lit(False))
+        value = F.when(m["action"] == "remove", F.lit(None)).when(m["action"] == "clear", "").otherwise(m["value"])
+        return F.struct(F.when(ok, value).otherwise(acc["value"]).alias("value"), (acc["revision"] + ok.cast("long")).alias("revision"), (acc["refused"] + (~ok).cast("long")).alias("refused"))
+
+    return mutations.groupBy(key).agg(F.aggregate(each, start, step).alias("s")).select(key, "s.*")
+
+
+def catalogue(predictions: DataFrame) -> DataFrame:
+    """(signature, candidates, first): candidates whose predictions for all forms agree can't be told apart by any answer."""
+    own = F.array_join(F.array_sort(F.collect_list(F.concat(F.col("form").cast("string"), F.when(F.col("predicted"), "+").otherwise("-")))), " ")
+    return predictions.groupBy("candidate").agg(own.alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("candidates"), F.min("candidate").alias("first"))
+
+
+def inferred(undeclared: DataFrame, category: Column) -> DataFrame:
+    """(character, occurrences, status): what an undeclared character is taken for: a segment, a boundary, or ambiguous."""
+    status = F.when(category.isin("letter", "mark"), "segment").when(category.isin("space"), "boundary").otherwise("ambiguous")
+    return undeclared.select("character", "occurrences", status.alias("status"))

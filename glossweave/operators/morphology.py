@@ -280,7 +280,7 @@ class Grammar:
     templates: tuple[tuple[tuple[str, bool], ...], ...] = ()  # slots from the inside out, optional or not
     compounds: tuple[tuple[str, str, str], ...] = ()  # categories of the two parts and of the whole
     prohibitions: tuple[Cooccurrence, ...] = ()
-    patterns: tuple[tuple[frozenset[str], ...], ...] = ()  # of roots that may be guessed
+    patterns: tuple = ()  # of roots that may be guessed: a set of segments for each place, or what ``accepts`` shapes
     boundaries: frozenset[str] = frozenset()
     most_affixes: int = 5
     most_stems: int = 2
@@ -305,6 +305,7 @@ class Result:
     analyses: list[Analysis]
     work: int
     trace: list[tuple[int, int | None, str, str, str | None]] = field(default_factory=list)
+    partials: list[tuple] = field(default_factory=list)
 
     @property
     def signature(self) -> str:
@@ -379,8 +380,9 @@ class Engine:
                 return True
         return False
 
-    def parse(self, word: str, most: int = 100_000, guess: bool = False, trace: bool = False) -> Result:
-        work, events = Work(most), []
+    def parse(self, word: str, most: int = 100_000, guess: bool = False, trace: bool = False, partials: int = 0) -> Result:
+        """The word's analyses; ``partials``: how many of the first candidates that failed are told, with the reason."""
+        work, events, failed = Work(most), [], []
 
         def tell(parent, kind, source, reason=None):
             if trace:
@@ -416,7 +418,10 @@ class Engine:
                         continue
                     tried.add(key)
                     here = tell(node, "lexical_lookup", "+".join(key[0]))
-                    results = [c for s, c in self.derive(roots, trail, work) if s == shape]
+                    made = self.derive(roots, trail, work)
+                    results = [c for s, c in made if s == shape]
+                    if not results and len(failed) < partials:
+                        failed.append((*key, "surface_mismatch" if made else "not_derived"))
                     tell(here, "successful" if results else "failed", "+".join(key[0] + key[1]), None if results else "surface_mismatch")
                     found |= {Analysis(*key, category=c, surface=word, guessed=roots[0].name.startswith(GUESSED)) for c in results}
                 if len(trail) < self.g.most_affixes:
@@ -425,10 +430,10 @@ class Engine:
                             work.step()
                             stack.append((s, (a, *trail), tell(node, "morphological_rule_analysis", a.name)))
         except Budget:
-            return Result("CAP", sorted(found, key=lambda a: a.signature), work.used, events)
+            return Result("CAP", sorted(found, key=lambda a: a.signature), work.used, events, failed)
         if any(not a.guessed for a in found):
             found = {a for a in found if not a.guessed}
-        return Result("ok", sorted(found, key=lambda a: (a.signature, a.category)), work.used, events)
+        return Result("ok", sorted(found, key=lambda a: (a.signature, a.category)), work.used, events, failed)
 
     def possible(self, shapes: set[Shape]) -> list[Affix]:
         """The affixes that a word with one of these underlying shapes can have: all that an affix inserts must be in it,
@@ -448,7 +453,7 @@ class Engine:
             for i in range(1, len(shape)):
                 work.step()
                 found += [(a, *rest) for a in self.by_shape.get(shape[:i], []) for rest in self.parts(shape[i:], self.g.most_stems - 1, work)]
-        if guess and not found and any(len(p) == len(shape) and all(s in c for s, c in zip(shape, p, strict=True)) for p in self.g.patterns):
+        if guess and not found and any(p.accepts(shape) if hasattr(p, "accepts") else len(p) == len(shape) and all(s in c for s, c in zip(shape, p, strict=True)) for p in self.g.patterns):
             found.append((Root(f"{GUESSED}{''.join(shape)}{GUESSED}", (shape,), "?"),))
         return found
 
@@ -539,6 +544,86 @@ def parse_words(words: DataFrame, grammar: Grammar, word_col: str = "word", most
     return distinct.mapInArrow(run, f"word string, status string, signature string, work long, analyses {ANALYSES}" + ", elapsed_ns long" * timed)
 
 
+def partial_parses(words: DataFrame, grammar: Grammar, word_col: str = "word", most: int = 100_000, told: int = 5) -> DataFrame:
+    """(word, status, partials): for each distinct word without an analysis JSON of the first ``told`` candidates that
+    failed, with the reason; null where there is an analysis."""
+    sent = words.sparkSession.sparkContext.broadcast(grammar)
+    kind = pa.list_(pa.struct([("roots", pa.list_(pa.string())), ("affixes", pa.list_(pa.string())), ("reason", pa.string())]))
+
+    def run(batches):
+        engine = Engine(sent.value)
+        for b in batches:
+            rows = [engine.parse(w, most, partials=told) for w in b.column(0).to_pylist()]
+            lists = [None if r.analyses else [{"roots": list(a), "affixes": list(x), "reason": why} for a, x, why in r.partials] for r in rows]
+            yield pa.record_batch([b.column(0), pa.array([r.status for r in rows]), pa.array(lists, kind)], names=["word", "status", "partials"])
+
+    distinct = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL").distinct()
+    found = distinct.mapInArrow(run, "word string, status string, partials array<struct<roots:array<string>,affixes:array<string>,reason:string>>")
+    return found.select("word", "status", F.to_json("partials").alias("partials"))
+
+
+def compiled(tables: dict[str, DataFrame], most: int = 200_000) -> Grammar:
+    """A grammar from its tables: segments (segment), classes (class, segment), roots (name, shape, category, bound), affixes
+    (name, prefix, suffix, takes, gives, slot), rules (ix, name, source, target, left, right: names of classes), templates
+    (template, ix, slot, optional), compounds (first, second, whole).
+
+    A grammar is one object that each worker holds, so its tables are read to the driver; ``most`` bounds each of them. A
+    name that is not there, or a shape outside the segments, is an error.
+    """
+
+    def rows(name: str) -> list:
+        if name not in tables:
+            return []
+        found = tables[name].limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} rows of {name}")
+        return found
+
+    segments = frozenset(nfd(r["segment"]) for r in rows("segments"))
+    classes: dict[str, set[str]] = {}
+    for r in rows("classes"):
+        classes.setdefault(r["class"], set()).add(nfd(r["segment"]))
+    if bad := sorted(c for c, s in classes.items() if not s <= segments):
+        raise ValueError(f"classes with unknown segments: {bad}")
+
+    def shape(text: str | None) -> Shape:
+        return segment(text, segments) if text else ()
+
+    def side(name: str | None) -> tuple[frozenset[str], ...]:
+        if name and name not in classes:
+            raise ValueError(f"no class {name}")
+        return (frozenset(classes[name]),) if name else ()
+
+    by_name: dict[str, list] = {}
+    for r in sorted(rows("roots"), key=lambda r: (r["name"], r["shape"])):
+        by_name.setdefault(r["name"], []).append(r)
+    roots = tuple(Root(n, tuple(shape(r["shape"]) for r in rs), rs[0]["category"], bound=any(r["bound"] for r in rs)) for n, rs in by_name.items())
+    affixes = tuple(Affix(r["name"], prefix=shape(r["prefix"]), suffix=shape(r["suffix"]), takes=frozenset([r["takes"]] if r["takes"] else []), gives=r["gives"], slot=r["slot"]) for r in sorted(rows("affixes"), key=lambda r: r["name"]))
+    rules = tuple(Rewrite(r["name"], shape(r["source"]), shape(r["target"]), Environment(side(r["left"]), side(r["right"]))) for r in sorted(rows("rules"), key=lambda r: r["ix"]))
+    slots: dict[str, list] = {}
+    for r in sorted(rows("templates"), key=lambda r: (r["template"], r["ix"])):
+        slots.setdefault(r["template"], []).append((r["slot"], bool(r["optional"])))
+    used = {a.slot for a in affixes if a.slot}
+    if slots and (bad := sorted(used - {n for t in slots.values() for n, _ in t})):
+        raise ValueError(f"slots that no template has: {bad}")
+    return Grammar(segments, roots, affixes, rules, tuple(map(tuple, slots.values())), tuple(sorted((r["first"], r["second"], r["whole"]) for r in rows("compounds"))))
+
+
+def reachable(grammar: Grammar) -> Grammar:
+    """The grammar without affixes, templates and compounds that no word can use: what takes a category that no root has
+    and no affix or compound gives, and slots of templates of which a required slot has no affix."""
+    affixes, compounds = grammar.affixes, grammar.compounds
+    while True:
+        open_ = tuple(t for t in grammar.templates if all(o or any(a.slot == n for a in affixes) for n, o in t))
+        there = {r.category for r in grammar.roots} | {a.gives for a in affixes if a.gives} | {c[2] for c in compounds}
+        slots = {n for t in open_ for n, _ in t}
+        a = tuple(x for x in affixes if (not x.takes or x.takes & there) and (not x.slot or not grammar.templates or x.slot in slots))
+        c = tuple(x for x in compounds if x[0] in there and x[1] in there)
+        if (a, c) == (affixes, compounds):
+            return replace(grammar, affixes=a, compounds=c, templates=open_)
+        affixes, compounds = a, c
+
+
 def identities(parsed: DataFrame) -> DataFrame:
     """(word, morphemes, root_index, category, guessed): identities that do not depend on a grammar's numbering."""
     a = parsed.select("word", F.explode("analyses").alias("a"))

@@ -135,7 +135,7 @@ QUERIES = {
     "perplexity": lambda s, d: (lambda m: N.perplexity(N.scored(toks(s, d, False), m), N.mass(m), m))(model(s, d)).select("words", F.round("perplexity", 3).alias("perplexity")),
     "keystroke_savings": lambda s, d: N.keystrokes(toks(s, d, False), cnt(s, d)),
     "sentence_split": lambda s, d: N.split(A.table(s, d, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n")),
-    "synthetic_corpus": lambda s, d: N.synthetic(s, 500),
+    "synthetic_corpus": lambda s, d: N.synthetic(s, A.table(s, d, "conversations").count()),
     "corrupted_words": lambda s, d: N.corrupted(vocabulary(s, d)),
 }
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..operators import facts as X
 from ..operators import health as H
 from ..operators import morphology as M
 from ..operators import patterns as P
 from ..operators import text as T
+from ..sources import files
 from . import adapters as A
+from .facts_queries import predictions
 
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 CLASSES = {"V": frozenset("aeiou"), "C": frozenset("bcdfghjklmnpqrstvwxyz"), "L": frozenset("lr")}
@@ -82,10 +85,46 @@ def peeled(s: SparkSession, d: str) -> DataFrame:
     return M.peeled(states, PEELED).select("word", "rest", F.array_join("affixes", "+").alias("affixes"))
 
 
+def dictionary(s: SparkSession, d: str) -> DataFrame:
+    """The part words as stems with flags, spelled by four rules."""
+    stems = part_words(s, d).select(F.col("word").alias("stem")).distinct().withColumn("flags", F.when(F.col("stem").rlike("^[a-l]"), "SU").otherwise("S"))
+    rules = [("SFX", "S", True, "", "s", "[^sxy]"), ("SFX", "S", True, "y", "ies", "y"), ("SFX", "S", True, "", "es", "[sx]"), ("PFX", "U", True, "", "un", ".")]
+    return files.spelled(stems, s.createDataFrame(rules, "kind string, flag string, cross boolean, strip string, add string, condition string"))
+
+
+def small_grammar(s: SparkSession, d: str) -> M.Grammar:
+    """A grammar of tables: the part words are the roots, their kind by the place in the name."""
+    table = lambda rows, kind: s.createDataFrame(rows, kind)
+    first = A.table(s, d, "part").select(F.split("p_name", " ").alias("w"))
+    roots = first.select(F.element_at("w", 1).alias("name"), F.lit("A").alias("category")).unionByName(first.select(F.element_at("w", -1).alias("name"), F.lit("N").alias("category"))).distinct()
+    return M.compiled({
+        "segments": table([(c,) for c in sorted(LETTERS)], "segment string"),
+        "classes": table([("V", c) for c in "aeiou"], "class string, segment string"),
+        "roots": roots.select("name", F.col("name").alias("shape"), "category", F.lit(False).alias("bound")),
+        "affixes": table([("PL", None, "s", "N", None, "n"), ("NEG", "un", None, "A", None, None)], "name string, prefix string, suffix string, takes string, gives string, slot string"),
+        "rules": table([(0, "x", "xs", "xes", None, None)], "ix int, name string, source string, target string, left string, right string"),
+        "templates": table([("t", 0, "n", True)], "template string, ix int, slot string, optional boolean"),
+        "compounds": table([("A", "N", "N")], "first string, second string, whole string"),
+    })
+
+
+def compiled_parses(s: SparkSession, d: str) -> DataFrame:
+    """Adjectives, nouns, plurals and compounds of the part names, parsed with the grammar of tables."""
+    p = A.table(s, d, "part").select(F.split("p_name", " ").alias("w"), (F.col("p_partkey") % 4).alias("k"))
+    a, n = F.element_at("w", 1), F.element_at("w", -1)
+    words = p.select(F.when(F.col("k") == 0, F.concat(F.lit("un"), a)).when(F.col("k") == 1, F.concat(n, F.lit("s"))).when(F.col("k") == 2, F.concat(a, n)).otherwise(n).alias("word"))
+    return M.parse_words(words, M.reachable(small_grammar(s, d))).select("word", "status", F.size("analyses").alias("analyses"))
+
+
 QUERIES = {
     "grammar_health_codes": findings,
     "snapshot_validation": references,
     "analysis_projection": lineage,
+    "dictionary_forms": dictionary,
+    "compiled_parses": compiled_parses,
+    "partial_parses": lambda s, d: M.partial_parses(part_words(s, d).select(F.concat("word", F.lit("ss")).alias("word")), small_grammar(s, d)),
+    "substrate_report": lambda s, d: X.inferred(X.undeclared(A.table(s, d, "documents"), A.table(s, d, "documents").where("lang = 'en'").select(F.explode(F.split("text", "")).alias("character")).distinct()), S.category(F.col("character"))),
+    "signature_catalogue": lambda s, d: X.catalogue(predictions(s, d)),
     "interaction_coverage": lambda s, d: H.interactions(plan_edges(s, d)),
     "candidate_passes": lambda s, d: H.pass_report(A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("candidate"), F.col("l_linenumber").alias("witness"), (F.col("l_partkey") % 3).alias("pass"), (F.col("l_returnflag") != "N").alias("rejected"))),
     "pattern_matches": lambda s, d: P.matched(plain_forms(s, d), PATTERNS, LETTERS, CLASSES),
@@ -106,6 +145,14 @@ _FORMS = "forms AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract
 _REGEX = {p: P.display(P.parse(p, LETTERS, CLASSES), CLASSES) for p in PATTERNS}
 
 SQL = {
+    "dictionary_forms": """WITH s AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS stem FROM part), p AS (SELECT stem, stem AS form FROM s WHERE stem <> '' UNION SELECT stem, CASE WHEN stem LIKE '%y' THEN stem[:-2] || 'ies' WHEN regexp_matches(stem, '[sx]$') THEN stem || 'es' ELSE stem || 's' END FROM s WHERE stem <> '')
+SELECT form, stem FROM p UNION SELECT 'un' || form, stem FROM p WHERE regexp_matches(stem, '^[a-l]')""",
+    "compiled_parses": """WITH w AS (SELECT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS n, p_partkey % 4 AS k FROM part), f AS (SELECT DISTINCT CASE k WHEN 0 THEN 'un' || a WHEN 1 THEN n || 's' WHEN 2 THEN a || n ELSE n END AS word, k, n FROM w)
+SELECT DISTINCT word, 'ok' AS status, CASE WHEN k = 1 AND regexp_matches(n, 'x$') THEN 0 ELSE 1 END AS analyses FROM f""",
+    "substrate_report": """WITH c AS (SELECT lang, unnest(string_split(coalesce(text, ''), '')) AS character FROM documents), u AS (SELECT character, count(*) AS occurrences FROM c WHERE character <> '' AND character NOT IN (SELECT DISTINCT character FROM c WHERE lang = 'en') GROUP BY 1)
+SELECT character, occurrences, CASE WHEN regexp_full_match(character, '[\\p{L}\\p{M}]') THEN 'segment' WHEN NOT regexp_full_match(character, '\\p{N}') AND character NOT IN ('''', '‘', '’', '‐', '‑', '-') AND regexp_full_match(character, '[\\p{Z}\\t\\n\\r]') THEN 'boundary' ELSE 'ambiguous' END AS status FROM u""",
+    "signature_catalogue": """WITH p AS (SELECT p_brand AS candidate, p_size % 10 AS form, sum(p_partkey) % 3 > 0 AS predicted FROM part GROUP BY 1, 2), s AS (SELECT candidate, string_agg(form || CASE WHEN predicted THEN '+' ELSE '-' END, ' ' ORDER BY CAST(form AS VARCHAR)) AS signature FROM p GROUP BY candidate)
+SELECT signature, count(*) AS candidates, min(candidate) AS first FROM s GROUP BY signature""",
     "grammar_health_codes": " UNION ALL ".join([
         _F("grammar.phoneme.nfd-collision", "p_name || '|' || p_brand", "FROM part GROUP BY p_name, p_brand HAVING count(*) > 1"),
         _F("grammar.boundary.nfd-collision", "s_nationkey", "FROM supplier GROUP BY s_nationkey HAVING count(*) > 1"),

@@ -104,3 +104,70 @@ def read_snapshot(spark: SparkSession, path: str, schema: StructType | str, name
 
 def write_snapshot(rows: DataFrame, path: str, name: str = "project", version: int = 1) -> None:
     rows.select(F.to_json(F.struct(F.lit(name).alias("format"), F.lit(version).alias("version"), *rows.columns)).alias("value")).write.text(path)
+
+
+def affix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, flag, cross, strip, add, condition) of the rules of an ``.aff`` file. A rule that is not of its header's flag, or
+    has too few fields, is an error; other lines are left out."""
+    f = F.split(F.trim(F.regexp_replace("value", r"\s+#.*$", "")), r"\s+")
+    rows = spark.read.text(path).select(f.alias("f")).where(F.get("f", F.lit(0)).isin("SFX", "PFX"))
+    head = rows.where((F.size("f") == 4) & F.get("f", F.lit(2)).isin("Y", "N") & F.get("f", F.lit(3)).rlike(r"^\d+$"))
+    body = rows.where(~((F.size("f") == 4) & F.get("f", F.lit(2)).isin("Y", "N") & F.get("f", F.lit(3)).rlike(r"^\d+$")))
+    at = lambda i: F.get("f", F.lit(i))
+    cross = head.select(at(0).alias("kind"), at(1).alias("flag"), (at(2) == "Y").alias("cross"))
+    given = body.select(at(0).alias("kind"), at(1).alias("flag"), at(2).alias("strip"), F.regexp_replace(at(3), "/.*$", "").alias("add"), F.coalesce(at(4), F.lit(".")).alias("condition"))
+    known = given.join(cross, ["kind", "flag"], "left")
+    bad = F.col("cross").isNull() | F.col("add").isNull()
+    checked = known.withColumn("cross", F.when(bad, F.raise_error(F.concat(F.lit("a malformed rule of "), "flag")).cast("boolean")).otherwise(F.col("cross")))
+    none = lambda c: F.when(F.col(c) == "0", "").otherwise(F.col(c)).alias(c)
+    return checked.select("kind", "flag", "cross", none("strip"), none("add"), "condition")
+
+
+def spelled(stems: DataFrame, rules: DataFrame) -> DataFrame:
+    """(form, stem) of (stem, flags) and the rules of the stems' flags, one letter each: the stems, with a suffix, with a
+    prefix, and with both where both rules allow it."""
+    flagged = stems.select("stem", F.explode(F.array_distinct(F.split("flags", ""))).alias("flag")).where("flag <> ''")
+
+    def made(rows: DataFrame, kind: str) -> DataFrame:
+        n, k = F.length("form"), F.length("strip")
+        with_rules = rows.join(rules.where(F.col("kind") == kind), "flag")
+        if kind == "SFX":
+            fits = F.expr("endswith(form, strip)") & F.rlike("form", F.concat("condition", F.lit("$")))
+            new = F.concat(F.substr("form", F.lit(1), n - k), "add")
+        else:
+            fits = F.expr("startswith(form, strip)") & F.rlike("form", F.concat(F.lit("^"), "condition"))
+            new = F.concat("add", F.substr("form", k + 1, n))
+        return with_rules.where(fits & (n > k)).select(new.alias("form"), "stem", "cross")
+
+    own = flagged.withColumn("form", F.col("stem"))
+    suffixed, prefixed = made(own, "SFX"), made(own, "PFX")
+    crossing = suffixed.where("cross").join(flagged, "stem").select("form", "stem", "flag")
+    both = made(crossing, "PFX").where("cross")
+    every = stems.select(F.col("stem").alias("form"), "stem").unionByName(suffixed.drop("cross")).unionByName(prefixed.drop("cross")).unionByName(both.drop("cross"))
+    return every.distinct()
+
+
+def write_analyses(parsed: DataFrame, path: str) -> None:
+    """JSON lines, one for each word, with its status and its analyses in order."""
+    parsed.select(F.to_json(F.struct("word", "status", "analyses")).alias("value")).write.text(path)
+
+
+def read_analyses(spark: SparkSession, path: str) -> DataFrame:
+    kind = "word string, status string, analyses array<struct<roots:array<string>,affixes:array<string>,category:string,guessed:boolean>>"
+    return spark.read.text(path).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("t")).select("t.*")
+
+
+LEXICON = "entries array<struct<entry:string,stem:string,glosses:array<string>,pos:string,state:string,revision:long>>"
+
+
+def write_lexicon(entries: DataFrame, path: str, parts: int = 64) -> None:
+    """Documents of entries in their order, each of a bounded share, with the format's name and version."""
+    share = F.pmod(F.xxhash64("entry"), F.lit(parts)).alias("share")
+    own = ["entry", "stem", "glosses", "pos", "state", "revision"]
+    write_snapshot(entries.select(share, F.struct(*own).alias("e")).groupBy("share").agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["entry"] < b["entry"], -1).when(a["entry"] > b["entry"], 1).otherwise(0)).alias("entries")).select("entries"), path, "lexicon")
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    documents = spark.read.text(path).select(F.from_json("value", f"format string, version int, {LEXICON}").alias("d"))
+    known = (F.col("d.format") == "lexicon") & (F.col("d.version") == 1)
+    return documents.select(F.explode(F.when(known, F.col("d.entries")).otherwise(F.raise_error(F.lit("unknown lexicon format")))).alias("e")).select("e.*")

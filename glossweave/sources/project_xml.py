@@ -54,6 +54,13 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """(file, version, header_sha256) of each project file: a digest of all that stands before its first record."""
+    first = spark.read.option("lineSep", "</rt>").text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.col("value").rlike(r"^\s*<\?xml"))
+    head = F.regexp_extract("value", r"(?s)^(.*?)(?:<rt\s.*)?$", 1)
+    return first.select("file", F.regexp_extract(head, r'<\w+[^>]*\bversion="([^"]*)"[^>]*>\s*(?:<(?!/)|$)', 1).alias("version"), F.sha2(head, 256).alias("header_sha256"))
+
+
 def dangling(rows: DataFrame) -> DataFrame:
     """Warnings: references to records that are not in the file."""
     e = edges(rows)

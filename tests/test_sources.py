@@ -30,6 +30,14 @@ def test_project_xml(spark, tmp_path):
     assert project_xml.snapshot(rows).count() == 2 and project_xml.by_class(rows, "LexSense").count() == 1
 
 
+def test_the_header_of_a_project(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "p.xml").write_text(XML)
+    (r,) = project_xml.header(spark, str(tmp_path / "p.xml")).collect()
+    assert r.version == "1" and r.header_sha256 == hashlib.sha256(XML[: XML.index("<rt")].encode()).hexdigest()
+
+
 def test_backup(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("x/p.xml", XML)
