@@ -34,7 +34,7 @@ def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 _JOIN = "FROM fact JOIN object USING (object_id)"
 _LIVE = "kind <> 'unattributed'"
-_WORD = "JOIN word USING (word_id)"
+_WORD = "JOIN (SELECT * EXCLUDE (work) FROM word) word USING (word_id)"
 _SAME = {"options_hash": "h0", "work_cap": 5000}
 
 QUERIES = {
