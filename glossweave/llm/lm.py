@@ -23,7 +23,6 @@ is scored like any other. An empty training set gives the uniform model. Repeate
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -67,11 +66,11 @@ def parted(cols: list[np.ndarray], n: int) -> list[np.ndarray]:
     return out
 
 
-def packed(arrays: list[np.ndarray]) -> bytes:
+def packed(arrays: list[np.ndarray], level: int = 1) -> bytes:
     """Columns of unsigned words, the first one ascending, as compressed byte planes."""
     n = len(arrays[0])
     first = np.diff(arrays[0], prepend=U8(0))
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=level).compress
     parts = [press(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(n, 8).T).data) for a in (first, *arrays[1:])]
     return b"".join([np.array([n, len(parts), *map(len, parts)], "<u8").tobytes(), *parts])
 
@@ -127,7 +126,7 @@ def grams(s: np.ndarray, order: int) -> list[tuple[list[np.ndarray], np.ndarray]
     return found
 
 
-def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.ndarray | None = None):
+def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.ndarray | None = None, level: int = 1):
     """(shard, packed rows) of distinct ascending rows."""
     shard = ((key_of(cols) if by is None else by) >> U8(64 - bits)).astype(np.uint16)
     order = np.argsort(shard, kind="stable")
@@ -135,7 +134,7 @@ def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.nd
     for s in range(1 << bits):
         if edge[s] < edge[s + 1]:
             mine = order[edge[s] : edge[s + 1]]
-            yield s, packed([x[mine] for x in (*cols, *values)])
+            yield s, packed([x[mine] for x in (*cols, *values)], level)
 
 
 def rows_of(pairs) -> pa.RecordBatch:
@@ -349,24 +348,22 @@ def vocabulary(docs: DataFrame, text_col: str, uri: str, bits: int) -> tuple[Tab
 
     def count(batches):
         shared.lean()
-        held: Counter = Counter()
+        held, n, ends = [], 0, 0
 
         def send():
-            h = np.fromiter(map(xxhash.xxh64_intdigest, held), U8, len(held))
-            c = np.fromiter(held.values(), U8, len(held))
-            order = np.argsort(h)
-            h, c = h[order], c[order]
+            of = pa.chunked_array(held, pa.binary()).value_counts()
+            h = np.fromiter(map(xxhash.xxh64_intdigest, [b"", *of.field(0).to_pylist()]), U8, len(of) + 1)
+            (h,), (c,) = summed([h], [np.concatenate([[ends], of.field(1).to_numpy()]).astype(U8)])
             return rows_of(dealt([h], [c], bits, by=h))
 
         for b in batches:
             for _, texts in slices(b, 0):
-                of = pc.value_counts(tokens(texts)[0])
-                held.update(dict(zip(of.field(0).to_pylist(), of.field(1).to_pylist(), strict=True)))
-                held[b""] += len(texts)
-                if len(held) > 500_000:
+                held.append(tokens(texts)[0])
+                n, ends = n + len(held[-1]), ends + len(texts)
+                if n >= HELD:
                     yield send()
-                    held.clear()
-        if held:
+                    held, n, ends = [], 0, 0
+        if ends:
             yield send()
 
     def merge(shard, parts):
@@ -450,7 +447,7 @@ def _trained(docs: DataFrame, text_col: str, order: int, shard_bytes: int, shard
             suffix = summed(joined(ids[1:]), [before])
             sent: dict[int, list[bytes]] = {}
             for i, rows in enumerate((prefix, suffix)):
-                for s, blob in dealt(*rows, bits):
+                for s, blob in dealt(*rows, bits, level=3):
                     sent.setdefault(s, [b"", b""])[i] = blob
             save_parts(f"{uri}/down-{k}/{shard}", sent, 1 << bits)
         info = [shard, len(key), wide, int(c.sum()), *times[1:5].tolist(), int((c >= 3).sum())]
