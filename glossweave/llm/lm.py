@@ -295,6 +295,19 @@ def slices(batch: pa.RecordBatch, col: int, size: int = 4 << 20):
             yield a, texts.slice(a, b - a)
 
 
+def joined_batches(batches, size: int = 4 << 20):
+    """The rows in batches of about ``size`` bytes, as Spark's may be small; a larger one stays."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Model:
     order: int
@@ -511,7 +524,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         shared.lean()
         own = sent.value
         numbers = Numbers(own.vocabulary)
-        for b in batches:
+        for b in joined_batches(batches):
             for first, texts in slices(b, 1):
                 if numbers.crowded:
                     numbers.clear()
