@@ -343,24 +343,44 @@ class Engine:
             found = more
         return found
 
-    def derive(self, roots: tuple[Root, ...], affixes: tuple[Affix, ...], work: Work) -> list[tuple[Shape, str]]:
-        """Surface shapes of the morphemes, with the category; rejected derivations are left out."""
-        if not self.slots_ok(affixes) or any(r.bound for r in roots) and not affixes and len(roots) == 1:
+    def derive(self, roots: tuple[Root, ...], affixes: tuple[Affix, ...], work: Work, tell=lambda kind, source, reason=None: None) -> list[tuple[Shape, str]]:
+        """Surface shapes of the morphemes, with the category; rejected derivations are left out. ``tell`` hears each step and
+        why a derivation ends."""
+        whole = "+".join([*(r.name for r in roots), *(a.name for a in affixes)])
+        if any(a.slot for a in affixes):
+            ok = self.slots_ok(affixes)
+            tell("template_synthesis", whole, None if ok else "slots")
+            if not ok:
+                return []
+        if any(r.bound for r in roots) and not affixes and len(roots) == 1:
+            tell("failed", whole, "bound_root")
             return []
         names = tuple(r.name for r in roots) + tuple(a.name for a in affixes)
         if not all(p.holds(names) for p in self.g.prohibitions):
+            tell("failed", whole, "co_occurrence")
             return []
-        out = []
-        for shape, category, features, spans in self.stems(roots):
+        out, stems = [], self.stems(roots)
+        if len(roots) > 1:
+            tell("compounding_rule_synthesis", whole, None if stems else "category")
+        for shape, category, features, spans in stems:
             work.step()
             for a in affixes:
-                if a.fits(shape, category, features) is not None or (shape := a.apply(shape)) is None:
+                why = a.fits(shape, category, features)
+                if why is None and (shape := a.apply(shape)) is None:
+                    why = "too_short"
+                tell("morphological_rule_synthesis", a.name, why)
+                if why is not None:
                     break
                 category, features = a.gives or category, features | a.adds
                 spans = tuple((k, *a.moved(b, e)) for k, b, e in spans)
             else:
                 if all(self.allomorph_ok(r, k, shape, b, min(e, len(shape))) for r, (k, b, e) in zip(roots, spans, strict=True)):
-                    out.append((self.surface(shape), category))
+                    surface = self.surface(shape)
+                    if self.g.phonology:
+                        tell("phonological_rule_synthesis", "".join(surface), None if surface != shape else "unchanged")
+                    out.append((surface, category))
+                else:
+                    tell("failed", whole, "allomorph")
         return out
 
     def allomorph_ok(self, root: Root, k: int, whole: Shape, start: int, end: int) -> bool:
@@ -418,11 +438,19 @@ class Engine:
                         continue
                     tried.add(key)
                     here = tell(node, "lexical_lookup", "+".join(key[0]))
-                    made = self.derive(roots, trail, work)
+                    reasons = []
+
+                    def hear(kind, source, reason=None, here=here, reasons=reasons):
+                        tell(here, kind, source, reason)
+                        if reason not in (None, "unchanged"):
+                            reasons.append(reason)
+
+                    made = self.derive(roots, trail, work, hear) if trace or partials else self.derive(roots, trail, work)
                     results = [c for s, c in made if s == shape]
+                    why = None if results else "surface_mismatch" if made else reasons[-1] if reasons else "category"
                     if not results and len(failed) < partials:
-                        failed.append((*key, "surface_mismatch" if made else "not_derived"))
-                    tell(here, "successful" if results else "failed", "+".join(key[0] + key[1]), None if results else "surface_mismatch")
+                        failed.append((*key, why))
+                    tell(here, "successful" if results else "failed", "+".join(key[0] + key[1]), why)
                     found |= {Analysis(*key, category=c, surface=word, guessed=roots[0].name.startswith(GUESSED)) for c in results}
                 if len(trail) < self.g.most_affixes:
                     for a in possible:
@@ -430,6 +458,7 @@ class Engine:
                             work.step()
                             stack.append((s, (a, *trail), tell(node, "morphological_rule_analysis", a.name)))
         except Budget:
+            tell(top, "failed", word, "budget")
             return Result("CAP", sorted(found, key=lambda a: a.signature), work.used, events, failed)
         if any(not a.guessed for a in found):
             found = {a for a in found if not a.guessed}

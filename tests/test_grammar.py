@@ -117,7 +117,7 @@ def test_grammars_of_tables(spark):
 def test_partial_parses_tell_reasons(spark):
     g = M.Grammar(SEGMENTS, (M.Root("r", (("b", "a"),), "N"),), (M.Affix("K", suffix=("k",), takes=frozenset("V")),))
     got = {r.word: (r.status, r.partials) for r in M.partial_parses(spark.createDataFrame([("ba",), ("bak",), ("c",)], "word string"), g).collect()}
-    assert got == {"ba": ("ok", None), "bak": ("ok", '[{"roots":["r"],"affixes":["K"],"reason":"not_derived"}]'), "c": ("ok", "[]")}
+    assert got == {"ba": ("ok", None), "bak": ("ok", '[{"roots":["r"],"affixes":["K"],"reason":"category"}]'), "c": ("ok", "[]")}
 
 
 def test_identities_of_entries(spark):

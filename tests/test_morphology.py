@@ -104,6 +104,28 @@ def test_trace_is_a_tree(spark):
     assert t.where("type = 'successful'").count() == 1
 
 
+def test_trace_tells_why():
+    vowel = M.Environment(right=(frozenset("a"),))
+    g = M.Grammar(
+        frozenset("abkg"),
+        (M.Root("r", (S("bg"), S("bk")), "N", (vowel, None)), M.Root("q", (S("ka"),), "N", bound=True), M.Root("v", (S("gab"),), "V", features=frozenset("f"))),
+        (M.Affix("A", suffix=S("a"), takes=frozenset("N")), M.Affix("B", suffix=S("b"), excludes=frozenset("f")), M.Affix("K", suffix=S("k"), requires=frozenset("z")), M.Affix("G", prefix=S("g"), where=vowel, slot="1")),
+        templates=((("1", True), ("2", False)),),
+        prohibitions=(M.Cooccurrence("A", ("q",)),),
+    )
+    e = M.Engine(g)
+    why = lambda w: {x[4] for x in e.parse(w, trace=True).trace if x[4]}
+    assert "allomorph" in why("bka") and "bound_root" in why("ka") and "category" in why("gaba") and "excluded" in why("gabb") and "required" in why("gabk")
+    assert "co_occurrence" in why("kaa") and why("?") == {"segment:0"} and "slots" in {r for *_, r in told(e, ("r",), ("G",))}
+    assert {x[4] for x in e.parse("gabk", most=2, trace=True).trace} >= {"budget"}
+
+
+def told(engine, roots, affixes):
+    out = []
+    engine.derive(tuple(engine.root[r] for r in roots), tuple(engine.affix[a] for a in affixes), M.Work(100), lambda kind, source, reason=None: out.append((kind, source, reason)))
+    return out
+
+
 def test_proposed_then_confirmed_is_what_the_parser_finds(spark):
     g = M.Grammar(frozenset("abcd"), (M.Root("r", (S("ab"),), "V"), M.Root("q", (S("b"),), "V")), (M.Affix("P", prefix=S("a")), M.Affix("Q", suffix=S("c"))))
     words = ["ab", "aab", "abc", "aabc", "ac", "b", ""]
