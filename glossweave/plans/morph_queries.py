@@ -95,6 +95,18 @@ QUERIES = {
     "stream_upsert": stream,
 }
 
+_A, _N = "('red', 'small', 'large', 'blue', 'green')", "('ring', 'widget', 'bolt', 'gear', 'box')"
+_WORDS = """WITH p AS (SELECT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS n, p_partkey % 6 AS k FROM part),
+w AS (SELECT DISTINCT k, a, n, CASE k WHEN 0 THEN a WHEN 1 THEN n WHEN 2 THEN n || 's' WHEN 3 THEN 'un' || a WHEN 4 THEN a || n ELSE 'un' || a || 'ness' END AS word FROM p)"""
+# what the grammar makes of each way in which the words are put together; box takes es
+_PARSED = f"""{_WORDS}, s AS (SELECT DISTINCT word, CASE WHEN k = 0 AND a IN {_A} THEN a WHEN k = 1 AND n IN {_N} THEN n WHEN k = 2 AND n IN {_N} AND n <> 'box' THEN n || '+PL' WHEN k = 3 AND a IN {_A} THEN a || '+NEG'
+WHEN k = 4 AND a IN {_A} AND n IN {_N} THEN a || '+' || n WHEN k = 5 AND a IN {_A} THEN a || '+NEG+NMLZ' END AS morphemes, CASE WHEN k IN (0, 3) THEN 'A' ELSE 'N' END AS category FROM w)"""
+
 SQL = {
+    "parse_words": f"{_PARSED} SELECT DISTINCT word, 'ok' AS status, coalesce(morphemes || '|' || word, '-') AS signature FROM s",
+    "parse_identities": f"{_PARSED} SELECT DISTINCT word, morphemes, category FROM s WHERE morphemes IS NOT NULL",
+    "generate_words": f"SELECT p_partkey AS id, CASE WHEN n IN {_N} THEN n || CASE WHEN n = 'box' THEN 'es' ELSE 's' END END AS surface, CASE WHEN n IN {_N} THEN 'ok' ELSE 'NONE' END AS status FROM (SELECT p_partkey, string_split(p_name, ' ')[-1] AS n FROM part)",
+    "phonology_steps": f"{_WORDS} SELECT DISTINCT word || 's' AS word, CAST(0 AS INTEGER) AS ix, 'e-insertion' AS rule, replace(word || 's', 'xs', 'xes') AS output, contains(word || 's', 'xs') AS changed FROM w",
+    "segment_longest": "SELECT DISTINCT lower(replace(p_name, ' ', '')) AS word, array_to_string(regexp_extract_all(lower(replace(p_name, ' ', '')), 'th|ng|ll|[a-z]'), ' ') AS segments, CAST(NULL AS INTEGER) AS error_at FROM part",
     "stream_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 }
