@@ -397,13 +397,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, shard_bytes:
     """The model of the texts of ``docs``, its arrays in the shared folder: shards of about ``shard_bytes`` of input for the
     vocabulary, and of ``shard_tokens`` tokens for the n-grams."""
     shared.bounded(docs.sparkSession)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = docs.sparkSession.conf.get(key)
-    docs.sparkSession.conf.set(key, "true")  # the files of a shuffle go when its job has ended
-    try:
+    with shared.tidy(docs.sparkSession):
         return _trained(docs, text_col, order, shard_bytes, shard_tokens)
-    finally:
-        docs.sparkSession.conf.set(key, before)
 
 
 INFO = "shard long, n long, wide long, total long, n1 long, n2 long, n3 long, n4 long, more long"

@@ -54,6 +54,18 @@ def removing(spark: SparkSession, really: bool = True):
             removed(spark, uri)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Inside, the files of a shuffle go when the job that they are for has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Hand whole texts to Python workers in batches that end at ``rows`` rows or ``size`` bytes, one row at least.
 

@@ -268,6 +268,13 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = 4, chunk: int = 8192, blocks: int = 1) -> DataFrame:
     """(id, fp long, component_id): each row's fingerprint and the smallest id that its links reach, its own included."""
+    with shared.tidy(docs.sparkSession):
+        own, of, rows = _classes(docs, id_col, text_col, words_each, radius, chunk, blocks)
+    return shared.spread_join(own, of, "fp", rows).select(id_col, "fp", "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words_each: int, radius: int, chunk: int, blocks: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, fp) and (fp, n, component_id), both stored, and how many rows there are."""
     own = shared.written(fingerprints(docs, id_col, text_col, words_each), "simhash")
     distinct = shared.written(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     count, rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -276,4 +283,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lows = within.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
     of = shared.written(shared.spread_join(within, lows, "root", count, count="members").select("fp", "n", "component_id"), "simhash-classes")
-    return shared.spread_join(own, of, "fp", rows).select(id_col, "fp", "component_id")
+    return own, of, rows
