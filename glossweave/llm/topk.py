@@ -11,7 +11,8 @@ for each query and task. This is the stated query set against all rows, in block
 
 Vectors that are null or hold a null or a component that is not finite take no part; rows with a null id neither. Only
 vectors of the query's dimension are its candidates, and a row with the query's own id is none. Scores are exact
-integers; one beyond 64 bits counts in full within its task and is reported as the limit. Ties go to the smaller id; a repeated row can be listed again.
+integers; one beyond 64 bits counts in full within its task and is reported as the limit. Ties go to the smaller id; a
+repeated row can be listed again. An empty table gives an empty result.
 """
 
 from __future__ import annotations
