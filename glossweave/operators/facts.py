@@ -198,16 +198,44 @@ def health(findings: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 def checked_mutations(mutations: DataFrame, key: str, order: str) -> DataFrame:
     """(key, value, revision, refused) after mutations (action, value, expected) in order: one that expects another revision
-    than the entry has is refused; ``remove`` leaves no value, ``clear`` an empty one."""
-    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "action", "value", "expected")))
-    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("revision"), F.lit(0).cast("long").alias("refused"))
+    than the entry has is refused; ``remove`` leaves no value, ``clear`` an empty one.
 
-    def step(acc: Column, m: Column) -> Column:
-        ok = F.coalesce(m["expected"] == acc["revision"], F.lit(False))
-        value = F.when(m["action"] == "remove", F.lit(None)).when(m["action"] == "clear", "").otherwise(m["value"])
-        return F.struct(F.when(ok, value).otherwise(acc["value"]).alias("value"), (acc["revision"] + ok.cast("long")).alias("revision"), (acc["refused"] + (~ok).cast("long")).alias("refused"))
-
-    return mutations.groupBy(key).agg(F.aggregate(each, start, step).alias("s")).select(key, "s.*")
+    Whether a mutation holds depends on all before it, so an entry's are read one after another; they come sorted, and
+    nothing is kept of them but the entry's state.
+    """
+    kind = mutations.schema[key].dataType.simpleString()
+    rows = mutations.select(key, order, "action", "value", "expected").repartition(key).sortWithinPartitions(key, order).drop(order)
+
+    def run(batches):
+        import pyarrow as pa
+
+        nothing = object()
+        now, value, revision, refused, like = nothing, None, 0, 0, None
+        out = []
+
+        def rows_of(done):
+            return pa.record_batch([pa.array([r[0] for r in done], like), pa.array([r[1] for r in done], pa.string()), *(pa.array([r[i] for r in done], pa.int64()) for i in (2, 3))], names=[key, "value", "revision", "refused"])
+
+        for b in batches:
+            like = b.column(0).type
+            for k, action, new, expected in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if k != now:
+                    if now is not nothing:
+                        out.append((now, value, revision, refused))
+                    now, value, revision, refused = k, None, 0, 0
+                if expected == revision:
+                    value, revision = None if action == "remove" else "" if action == "clear" else new, revision + 1
+                else:
+                    refused += 1
+            if len(out) >= 1000:
+                yield rows_of(out)
+                out = []
+        if now is not nothing:
+            out.append((now, value, revision, refused))
+        if out:
+            yield rows_of(out)
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, value string, revision long, refused long")
 
 
 def catalogue(predictions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import facts as X
@@ -49,6 +49,14 @@ def mutations(s: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("entry"), F.when(F.col("event_type") == "error", "remove").otherwise("put").alias("action"), F.col("event_type").alias("value"), "event_id")
 
 
+def expecting(s: SparkSession, d: str) -> DataFrame:
+    """The mutations, each expecting the revision that its entry has; clicks expect another one and are refused."""
+    m = mutations(s, d)
+    good = (F.col("value") != "click").cast("long")
+    before = F.sum(good).over(Window.partitionBy("entry").orderBy("event_id")) - good
+    return m.withColumn("expected", F.when(F.col("value") == "click", -1).otherwise(before))
+
+
 def state(s: SparkSession, d: str, odd: int) -> DataFrame:
     return X.latest(mutations(s, d).where(F.col("event_id") % 3 != odd), "entry", "event_id")
 
@@ -112,6 +120,7 @@ QUERIES = {
     "informative_forms": lambda s, d: X.informative(predictions(s, d), X.remaining(predictions(s, d), answers(s, d)), answers(s, d)),
     "next_best_form": lambda s, d: X.next_form(X.informative(predictions(s, d), X.remaining(predictions(s, d), answers(s, d)), answers(s, d))),
     "lexicon_latest": lambda s, d: X.latest(mutations(s, d), "entry", "event_id"),
+    "lexicon_revisions": lambda s, d: X.checked_mutations(expecting(s, d), "entry", "event_id"),
     "lexicon_reconcile": lambda s, d: X.reconciled(state(s, d, 0), state(s, d, 1), "entry"),
     "msa_merge": lambda s, d: X.merged(A.table(s, d, "part"), ["p_brand", "p_type", "p_size"], "p_partkey"),
     "candidate_filter": lambda s, d: X.passed_candidates(witnesses(s, d)),
@@ -168,6 +177,7 @@ SQL = {
     "informative_forms": f"WITH {_PRED} SELECT form, yes, total FROM inf",
     "next_best_form": f"WITH {_PRED} SELECT form, yes, total, least(yes, total - yes) AS score FROM inf ORDER BY score DESC, form LIMIT 1",
     "lexicon_latest": f"WITH {_MUT} {_LAST.format(w='')}",
+    "lexicon_revisions": f"WITH {_MUT}, g AS (SELECT entry, max_by(CASE WHEN action = 'remove' THEN '' ELSE value END, event_id) FILTER (WHERE value <> 'click') AS v, count(*) FILTER (WHERE value <> 'click') AS revision, count(*) FILTER (WHERE value = 'click') AS refused FROM m GROUP BY entry) SELECT entry, nullif(v, '') AS value, revision, refused FROM g",
     "lexicon_reconcile": f"WITH {_MUT}, a AS ({_LAST.format(w=' WHERE event_id % 3 <> 0')}), b AS ({_LAST.format(w=' WHERE event_id % 3 <> 1')}) SELECT coalesce(a.entry, b.entry) AS entry, CASE WHEN a.entry IS NULL THEN 'theirs_only' WHEN b.entry IS NULL THEN 'ours_only' WHEN a.value = b.value THEN 'equal' ELSE 'conflict' END AS state FROM a FULL JOIN b ON a.entry = b.entry",
     "msa_merge": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS representative FROM part",
     "candidate_filter": "SELECT l_orderkey AS candidate, NOT bool_and(l_returnflag <> 'N') AS kept, bool_and(l_returnflag <> 'N') AS rejected FROM lineitem GROUP BY 1",
