@@ -180,6 +180,16 @@ class Affix:
     excludes: frozenset[str] = frozenset()
     adds: frozenset[str] = frozenset()
     slot: str | None = None
+    realizes: tuple[tuple[str, int], ...] = ()  # features and the bits of the symbols that they may have
+
+    def unified(self, features: dict[str, int]) -> dict[str, int] | None:
+        """The word's features with those that this realizes, or None if they contradict each other."""
+        both = {**features, **{f: features.get(f, b) & b for f, b in self.realizes}}
+        return both if all(both[f] for f, _ in self.realizes) else None
+
+    def serves(self, target: dict[str, int]) -> bool:
+        """Whether all that this realizes is asked for: it subsumes the target."""
+        return all(f in target and target[f] & ~b == 0 for f, b in self.realizes)
 
     def fits(self, stem: Shape, category: str, features: frozenset[str]) -> str | None:
         """Why it does not attach, or None."""
@@ -237,6 +247,7 @@ class Root:
     features: frozenset[str] = frozenset()
     bound: bool = False
     barred: tuple[tuple[Environment, ...] | None, ...] = ()  # of each allomorph: none may hold
+    structure: tuple[tuple[str, int], ...] = ()  # its own features and the bits of their symbols
 
     def stands(self, k: int, shape: Shape, start: int, end: int) -> bool:
         """Whether the k-th allomorph may stand there."""
@@ -343,9 +354,10 @@ class Engine:
             found = more
         return found
 
-    def derive(self, roots: tuple[Root, ...], affixes: tuple[Affix, ...], work: Work, tell=lambda kind, source, reason=None: None) -> list[tuple[Shape, str]]:
+    def derive(self, roots: tuple[Root, ...], affixes: tuple[Affix, ...], work: Work, tell=lambda kind, source, reason=None: None, target: dict[str, int] | None = None) -> list[tuple[Shape, str]]:
         """Surface shapes of the morphemes, with the category; rejected derivations are left out. ``tell`` hears each step and
-        why a derivation ends."""
+        why a derivation ends. What affixes realize must unify with the word's features, and with a ``target`` be asked
+        for by it."""
         whole = "+".join([*(r.name for r in roots), *(a.name for a in affixes)])
         if any(a.slot for a in affixes):
             ok = self.slots_ok(affixes)
@@ -364,8 +376,12 @@ class Engine:
             tell("compounding_rule_synthesis", whole, None if stems else "category")
         for shape, category, features, spans in stems:
             work.step()
+            structure = dict(x for r in roots for x in r.structure)
             for a in affixes:
                 why = a.fits(shape, category, features)
+                if why is None and a.realizes:
+                    structure = a.unified(structure)
+                    why = "features" if structure is None else None if target is None or a.serves(target) else "not_asked_for"
                 if why is None and (shape := a.apply(shape)) is None:
                     why = "too_short"
                 tell("morphological_rule_synthesis", a.name, why)
@@ -494,11 +510,11 @@ class Engine:
                 found += [(a, *rest) for a in self.by_shape.get(shape[:i], []) for rest in self.parts(shape[i:], most - 1, work)]
         return found
 
-    def generate(self, roots: list[str], affixes: list[str], most: int = 100_000) -> list[str]:
-        """Surface forms of morphemes; none if one is unknown or they do not combine."""
+    def generate(self, roots: list[str], affixes: list[str], most: int = 100_000, target: dict[str, int] | None = None) -> list[str]:
+        """Surface forms of morphemes; none if one is unknown or they do not combine, or realize what ``target`` does not ask for."""
         if not all(r in self.root for r in roots) or not all(a in self.affix for a in affixes):
             return []
-        derived = self.derive(tuple(self.root[r] for r in roots), tuple(self.affix[a] for a in affixes), Work(most))
+        derived = self.derive(tuple(self.root[r] for r in roots), tuple(self.affix[a] for a in affixes), Work(most), target=target)
         return sorted({"".join(s) for s, _ in derived})
 
 

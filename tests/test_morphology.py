@@ -198,3 +198,13 @@ def test_a_request_out_of_steps_has_a_row(spark):
 def test_phonology_steps(spark):
     rows = M.phonology_steps(spark.createDataFrame([("boxs",), ("ring",), ("?",)], "word string"), grammar()).collect()
     assert {(r.word, r.output, r.changed) for r in rows} == {("boxs", "boxes", True), ("ring", "ring", False), ("?", None, None)}
+
+
+def test_realized_features_unify_and_serve():
+    sg, pl, one, two = ("num", 1), ("num", 2), ("pers", 1), ("pers", 2)
+    g = M.Grammar(frozenset("abcd"), (M.Root("r", (S("ab"),), "N"), M.Root("p", (S("ad"),), "N", structure=(pl,))), (M.Affix("S", suffix=S("c"), realizes=(sg,)), M.Affix("P", suffix=S("d"), realizes=(pl,)), M.Affix("1", prefix=S("c"), realizes=(one, ("num", 3)))))
+    e = M.Engine(g)
+    assert e.parse("abc").signature == "r+S|abc" and e.parse("abcd").signature == "-" and e.parse("adc").signature == "-" and e.parse("add").signature == "p+P|add"
+    assert e.parse("cabd").signature == "r+1+P|cabd;r+P+1|cabd"
+    assert e.generate(["r"], ["S"], target=dict([sg, one])) == ["abc"] and e.generate(["r"], ["P"], target=dict([sg])) == []
+    assert e.generate(["r"], ["S", "1"], target=dict([sg, two])) == [] and e.generate(["r"], ["S", "1"], target=dict([sg, one])) == ["cabc"]
