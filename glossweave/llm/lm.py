@@ -7,7 +7,7 @@ Counting is a Spark job; the model is a folder of sorted hash arrays that worker
   word's number is its place by falling count in its shard, times the shards, plus the shard: frequent words have small
   numbers, which compress well. Shards grow in number with the input, so each stays small.
 * N-grams of numbers are counted in each task, dealt by hash to shards, summed there, and written as sorted arrays of
-  64-bit keys with counts of a byte; counts of 255 or more stand whole in a second file. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
+  64-bit keys with counts of a byte; counts of 255 or more stand whole before them. From each shard's distinct n-grams go partial sums for their prefixes (total and numbers of
   successors seen once, twice, more often) and suffixes (number of predecessors, or the count after the start of a
   text) to the shards of the next lower order; no context, however common, is gathered in one place as rows.
 * What moves between tasks are compressed columns: from counting, a row for each task and shard; from an order to the
@@ -128,7 +128,7 @@ def grams(s: np.ndarray, order: int) -> list[tuple[list[np.ndarray], np.ndarray]
 
 def dealt(cols: list[np.ndarray], values: list[np.ndarray], bits: int, by: np.ndarray | None = None, level: int = 1):
     """(shard, packed rows) of distinct ascending rows."""
-    shard = ((key_of(cols) if by is None else by) >> U8(64 - bits)).astype(np.uint16)
+    shard = ((key_of(cols) if by is None else by) >> U8(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
     for s in range(1 << bits):
@@ -155,21 +155,24 @@ def load_part(uri: str, shard: int, shards: int) -> tuple[bytes, bytes]:
     return both[: b - a], both[b - a :]
 
 
-WIDE = 255  # in a column of bytes: the value stands in the shard's second file
+WIDE = 255  # in a column of bytes: the value stands whole before the columns
 
 
 def narrow(uri: str, key: np.ndarray, values: list[np.ndarray]) -> int:
-    """Write a shard with columns of bytes, and a second file of (column x rows + row, value) for those that do not fit; its rows."""
+    """Write a shard with columns of bytes, before them (column x rows + row) and value of those that do not fit; how many these are."""
     wide = [np.flatnonzero(v >= WIDE) for v in values]
-    shared.save(uri, [key, *(np.minimum(v, U8(WIDE)).astype("<u1") for v in values)])
     place = np.concatenate([w + i * len(key) for i, w in enumerate(wide)]).astype("<u8")
-    shared.save(f"{uri}-wide", [place, np.concatenate([v[w] for v, w in zip(values, wide, strict=True)]).astype("<u8")])
+    whole = np.concatenate([v[w] for v, w in zip(values, wide, strict=True)]).astype("<u8")
+    shared.save(uri, [place, whole, key, *(np.minimum(v, U8(WIDE)).astype("<u1") for v in values)])
     return len(place)
 
 
 @dataclass
 class Table:
-    """Sorted keys with columns of values, in shards by the keys' leading bits; ``wide``: sizes of the second files, if there are any."""
+    """Sorted keys with columns of values, in shards by the keys' leading bits; ``wide``: how many values of each shard stand whole, if any can.
+
+    A shard is one file. Of the files, those used last stay mapped, ``shared.MAPS`` at most.
+    """
 
     uri: str
     bits: int
@@ -186,16 +189,15 @@ class Table:
         return np.concatenate([[0], np.cumsum(self.sizes)])
 
     def shard(self, s: int) -> list[np.ndarray]:
-        if s not in self._open:
-            self._open[s] = shared.mapped(f"{self.uri}/{s}", ["<u8", *self.dtypes], self.sizes[s])
-        return self._open[s]
-
-    def whole(self, s: int, place: np.ndarray) -> np.ndarray:
-        """The values at places of a shard's second file."""
-        if -s - 1 not in self._open:
-            self._open[-s - 1] = shared.mapped(f"{self.uri}/{s}-wide", ["<u8", "<u8"], self.wide[s])
-        at, values = self._open[-s - 1]
-        return values[np.searchsorted(at, place.astype(U8))]
+        """Places and values that stand whole, keys, columns."""
+        found = self._open.pop(s, None)
+        if found is None:
+            while len(self._open) >= shared.MAPS:
+                self._open.pop(next(iter(self._open)))
+            wide = self.wide[s] if self.wide is not None else 0
+            found = shared.mapped(f"{self.uri}/{s}", ["<u8", "<u8", "<u8", *self.dtypes], [wide, wide, *[self.sizes[s]] * (1 + len(self.dtypes))])
+        self._open[s] = found
+        return found
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For keys in any order: each one's place or -1, and its values or zeros."""
@@ -206,7 +208,7 @@ class Table:
         place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in self.dtypes]
         for s in np.flatnonzero(np.diff(edge)):
             mine = slice(edge[s], edge[s + 1])
-            have, *more = self.shard(int(s))
+            places, whole, have, *more = self.shard(int(s))
             if not len(have):
                 continue
             at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
@@ -215,7 +217,7 @@ class Table:
             for i, (v, m) in enumerate(zip(values, more, strict=True)):
                 got = np.where(hit, m[at], 0).astype(np.int64)
                 if self.wide is not None and len(wide := np.flatnonzero(got == WIDE)):
-                    got[wide] = self.whole(int(s), i * len(have) + at[wide])
+                    got[wide] = whole[np.searchsorted(places, (i * len(have) + at[wide]).astype(U8))]
                 v[order[mine]] = got
         return place, values
 

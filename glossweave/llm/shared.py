@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
+import resource
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -153,11 +156,16 @@ def save(uri: str, arrays: list[np.ndarray]) -> None:
 
 
 _local: dict[str, str] = {}
+#: A map keeps its file open before Python 3.13.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+#: How many files a table holds mapped at once. A process has 65,530 maps by Linux's default, which a few tables share, and
+#: where maps keep files open, no more files than its limit.
+MAPS = 10_000 if _UNTRACKED else max(16, min(10_000, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 8))
 
 
-def mapped(uri: str, dtypes: list[str], n: int) -> list[np.ndarray]:
-    """The arrays of a file of ``save``, mapped. On a store that cannot be mapped the file is first copied to the worker's disk."""
-    if n == 0:
+def mapped(uri: str, dtypes: list[str], sizes: list[int]) -> list[np.ndarray]:
+    """The arrays of a file of ``save``, in one map. On a store that cannot be mapped the file is first copied to the worker's disk."""
+    if not any(sizes):
         return [np.zeros(0, d) for d in dtypes]
     from pyarrow import fs
 
@@ -170,9 +178,11 @@ def mapped(uri: str, dtypes: list[str], n: int) -> list[np.ndarray]:
             with store.open_input_stream(path) as src, open(_local[uri], "wb") as out:
                 shutil.copyfileobj(src, out, 1 << 20)
         path = _local[uri]
+    with open(path, "rb") as f:
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
     found, at = [], 0
-    for d in dtypes:
-        found.append(np.memmap(path, dtype=d, mode="r", offset=at, shape=(n,)))
+    for d, n in zip(dtypes, sizes, strict=True):
+        found.append(np.frombuffer(whole, d, n, at))
         at += n * np.dtype(d).itemsize
     return found
 
