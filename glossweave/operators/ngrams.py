@@ -88,25 +88,31 @@ def predict_next(contexts: DataFrame, rel: DataFrame, k: int = 5) -> DataFrame:
     """(c2, word, score, rank): the ``k`` best of the whole vocabulary after two words, by backed-off scores.
 
     A word's score is that of the longest context that has it; words that no context has are known by their own relative
-    counts alone. Of those, the best of a context with m words of its own are among the m + k most frequent of all, so
-    the vocabulary is never crossed with the contexts, and it is left out where the k-th own word is better than any.
+    counts alone. What follows two words follows the second one, as in every model of ``relative``. So of the m words
+    after both, at most the m + k best after the second one alone matter, and which words of the whole vocabulary come
+    first beside those after the second one depends on that word only: it is found once for each. The work is that of
+    the model's n-grams and k rows a context; neither successors nor the vocabulary are crossed with the contexts.
     """
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "word")
     c = contexts.select("c1", "c2").distinct()
-    three = c.join(rel.where("n = 3").select(F.col("context").alias("c2"), "word", "p"), "c2").select("c2", "word", F.col("p").alias("score"), F.lit(3).alias("n"))
-    two = c.join(rel.where("n = 2").select(F.col("context").alias("c1"), "word", "p"), "c1").select("c2", "word", (F.col("p") * ALPHA).alias("score"), F.lit(2).alias("n"))
-    longer = three.unionByName(two).groupBy("c2", "word").agg(F.max_by("score", "n").alias("score"))
-    best = Window.partitionBy("c2").orderBy(F.desc("score"), "word")
-    kept = longer.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    after = c.select("c1").distinct()
+    three = c.join(rel.where("n = 3").select(F.col("context").alias("c2"), "word", F.col("p").alias("score")), "c2").select("c2", "word", "score")
+    pairs = after.join(rel.where("n = 2").select(F.col("context").alias("c1"), "word", (F.col("p") * ALPHA).alias("score")), "c1").select("c1", "word", "score")
+    places = lambda m: F.explode(F.sequence(F.lit(1), F.coalesce(F.col(m).cast("int"), F.lit(0)) + k)).alias("at")
+
+    m = three.groupBy("c2").agg(F.count(F.lit(1)).alias("m"))
+    listed = pairs.withColumn("at", F.row_number().over(best("c1")))
+    two = c.join(m, "c2", "left").select("c1", "c2", places("m")).join(listed, ["c1", "at"]).join(three.select("c2", "word"), ["c2", "word"], "left_anti").select("c2", "word", "score")
+
     words = rel.where("n = 1").select("word", (F.col("p") * ALPHA * ALPHA).alias("score"))
-    top = words.agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
-    last = kept.where(F.col("r") == k).select("c2", F.col("score").alias("last"))
-    own = longer.groupBy("c2").agg(F.count(F.lit(1)).alias("own"))
-    needy = c.select("c2").join(own, "c2", "left").join(last, "c2", "left").where(F.col("last").isNull() | (F.col("last") <= top)).select("c2", F.coalesce("own", F.lit(0)).alias("own"))
-    most = k + (needy.agg(F.max("own")).first()[0] or 0)
+    own = pairs.groupBy("c1").agg(F.count(F.lit(1)).alias("own"))
+    most = k + (own.agg(F.max("own")).first()[0] or 0)
     common = words.orderBy(F.desc("score"), "word").limit(most).withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "word")))
-    tried = needy.select("c2", F.explode(F.sequence(F.lit(1), F.col("own").cast("int") + k)).alias("at")).join(common, "at")
-    first = tried.join(longer.select("c2", "word"), ["c2", "word"], "left_anti").select("c2", "word", "score")
-    every = kept.drop("r").unionByName(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    tried = after.join(own, "c1", "left").select("c1", places("own")).join(common, "at").join(pairs.select("c1", "word"), ["c1", "word"], "left_anti")
+    first = tried.withColumn("r", F.row_number().over(best("c1"))).where(F.col("r") <= k)
+    one = c.join(first, "c1").select("c2", "word", "score")
+
+    every = three.unionByName(two).unionByName(one).withColumn("rank", F.row_number().over(best("c2"))).where(F.col("rank") <= k)
     return every.select("c2", "word", "score", "rank")
 
 
