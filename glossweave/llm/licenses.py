@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from importlib import resources
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -63,17 +64,22 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-#: Full texts, where the machine that plans the query has them: the folder of a Debian system, and its files' names.
-FOLDER = "/usr/share/common-licenses"
+#: Full texts: the files of this folder of the package, as Debian has them, and their names.
+FOLDER = "licences"
 FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
 SENTENCE = r"(?<=[.!?;:])\s+"
 PARAGRAPH = r"\n[ \t\r]*\n"
 COMMON = set("the and for that this with any from are not you may which such other under will have been must shall when each its all".split())
 
 
-def full_texts(folder: str = FOLDER) -> list[tuple[str, str]]:
-    """The texts of licences in a folder, by the names in ``FILES``; those that are not there are left out."""
-    return [(name, (Path(folder) / f).read_text("utf-8", "replace")) for f, name in FILES.items() if (Path(folder) / f).is_file()]
+def full_texts(folder: str | None = None) -> list[tuple[str, str]]:
+    """The texts of licences by the names in ``FILES``, those that come with the package or those of a folder that has the
+    files with or without ``.txt``. One that is not there is an error: without it a licence would seem not to be found."""
+    own = resources.files(__package__) / FOLDER if folder is None else Path(folder)
+    found = {f: next((p for p in (own / f"{f}.txt", own / f) if p.is_file()), None) for f in FILES}
+    if missing := [f for f, p in found.items() if p is None]:
+        raise FileNotFoundError(f"{own} has no {', '.join(missing)}")
+    return [(name, found[f].read_bytes().decode("utf-8", "replace")) for f, name in FILES.items()]
 
 
 def expanded(templates: list[tuple[str, str]], fewest: int = 8) -> list[tuple[str, str]]:

@@ -109,7 +109,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_templates() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Notices with their sentences, and the full texts that this machine has."""
+    """Notices with their sentences, and the full texts that come with the package."""
     from .licenses import TEMPLATES, expanded, full_texts
 
     return expanded(TEMPLATES), full_texts()
