@@ -133,7 +133,8 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataF
     """(form, suggestion, distance) of dictionary words within ``most`` edits (up to two), by deletion neighbourhoods.
 
     Two words within d edits share a string that deleting d letters or fewer from each gives, so a join on those
-    strings finds all pairs without comparing all words.
+    strings finds all pairs without comparing all words. The strings are many times the stored words, by which Spark takes
+    their size, so neither side is broadcast.
     """
 
     def shrunk(c: str) -> F.Column:
@@ -148,7 +149,7 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataF
 
     left = words.select(F.col("form"), F.explode(shrunk("form")).alias("key"))
     right = dictionary.select(F.col("form").alias("suggestion"), F.explode(shrunk("form")).alias("key"))
-    pairs = left.join(right, "key").select("form", "suggestion").distinct()
+    pairs = left.hint("merge").join(right, "key").select("form", "suggestion").distinct()
     return pairs.select("form", "suggestion", F.levenshtein("form", "suggestion", most).alias("distance")).where((F.col("distance") >= 0) & (F.col("form") != F.col("suggestion")))
 
 

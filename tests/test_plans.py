@@ -1,6 +1,7 @@
-"""What queries do inside: rows made on the way to the result."""
+"""What queries do inside: rows made on the way to the result, and sides that must not be broadcast."""
 
 from glossweave.operators import ngrams
+from glossweave.operators import text as T
 
 
 def nodes(plan):
@@ -36,3 +37,11 @@ def test_predictions_do_not_cross_contexts_with_successors(spark):
         scores |= of.get((3, c2), {})
         want += [(c2, w, s, i + 1) for i, (w, s) in enumerate(sorted(scores.items(), key=lambda e: (-e[1], e[0]))[:k])]
     assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_exploded_forms_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("house",), ("horse",), ("mouse",)], "form string").write.parquet(str(tmp_path / "forms"))
+    forms = spark.read.parquet(str(tmp_path / "forms"))  # Spark takes their size from the file
+    for df, n in ((T.suggestions(forms, forms), 6),):
+        assert len(df.collect()) == n
+        assert not [x for x in nodes(df._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName().startswith("Broadcast")]
