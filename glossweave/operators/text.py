@@ -87,10 +87,13 @@ def trigram_inventory(lists: DataFrame) -> DataFrame:
 
 
 def language_coverage(forms: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(form, lang, coverage): whole percent of a form's trigrams that a language has, for languages that have one at least."""
+    """(form, lang, coverage): whole percent of a form's trigrams that a language has, for languages that have one at least.
+
+    The forms' trigrams are far more than the stored forms, by which Spark takes their size, so they are never broadcast.
+    """
     grams = forms.where(F.length("form") >= 2).select("form", F.posexplode(S.trigrams(F.col("form"))).alias("ix", "gram"))
     n = F.length("form")
-    hits = grams.join(inventory, "gram").groupBy("form", "lang").agg(F.count(F.lit(1)).alias("hits"))
+    hits = grams.hint("merge").join(inventory, "gram").groupBy("form", "lang").agg(F.count(F.lit(1)).alias("hits"))
     return hits.select("form", "lang", F.floor(F.col("hits") * 100 / n).cast("int").alias("coverage"))
 
 

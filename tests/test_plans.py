@@ -1,5 +1,7 @@
 """What queries do inside: rows made on the way to the result, and sides that must not be broadcast."""
 
+from pyspark.sql import functions as F
+
 from glossweave.operators import ngrams
 from glossweave.operators import text as T
 
@@ -42,6 +44,7 @@ def test_predictions_do_not_cross_contexts_with_successors(spark):
 def test_exploded_forms_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([("house",), ("horse",), ("mouse",)], "form string").write.parquet(str(tmp_path / "forms"))
     forms = spark.read.parquet(str(tmp_path / "forms"))  # Spark takes their size from the file
-    for df, n in ((T.suggestions(forms, forms), 6),):
+    inventory = T.trigram_inventory(forms.withColumn("lang", F.lit("en")))
+    for df, n in ((T.suggestions(forms, forms), 6), (T.language_coverage(forms, inventory), 3)):
         assert len(df.collect()) == n
         assert not [x for x in nodes(df._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName().startswith("Broadcast")]
