@@ -86,19 +86,42 @@ caches: dict[str, Callable[[], None]] = {}
 
 def lean(own: str = "") -> None:
     """In a worker, which lives on between tasks: drop what other operators keep, and give freed memory back."""
-    import ctypes
-
     import pyarrow as pa
 
     for name, clear in caches.items():
         if name != own:
             clear()
     pa.set_memory_pool(pa.system_memory_pool())
+    _trim()
+
+
+def _trim() -> None:
+    """This process's freed memory back to the system."""
+    import ctypes
+
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
         trim(0)
 
 
+def trimmed(spark: SparkSession) -> bool:
+    """Give memory that the driver has freed back to the system: that of Python, and that of the JVM outside its heap,
+    where compilers and codecs leave glibc some 250 MB after a few hundred jobs. False where the JVM has no such command
+    (JDK 17.0.9 has it, on Linux) or can't be asked."""
+    from py4j.protocol import Py4JError
+
+    _trim()
+    try:
+        jvm = spark._jvm
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, and computes it once."""
     path = folder(df.sparkSession, name)

@@ -64,19 +64,39 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weight[self.present(text)].sum(), -700, 700))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient descent on the mean log loss plus l2/2 |w|^2."""
-    n = len(y)
-    w, b = np.zeros(x.shape[1], np.float32), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    v = np.ones(x.shape[1], np.float32)  # largest singular value, for the step
+def logistic(bits: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 300, block: int = 128) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient descent on the mean log loss plus l2/2 |w|^2.
+
+    ``bits`` has a row of packed presence bits for each text; column j of the matrix is bit j times ``scale[j]``. A step
+    reads it once, ``block`` rows at a time, so the matrix itself, 32 times the bits, never stands in the driver.
+    """
+    n, d = len(y), len(scale)
+
+    def read(w: np.ndarray, f) -> np.ndarray:
+        """x.T @ f(x @ w, rows)."""
+        found, w = np.zeros(d, np.float32), w * scale
+        for i in range(0, n, block):
+            rows = slice(i, min(i + block, n))
+            x = np.unpackbits(bits[rows], axis=1, count=d).astype(np.float32)
+            found += f(x @ w, rows) @ x
+        return found * scale
+
+    w, b = np.zeros(d, np.float32), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    v = np.ones(d, np.float32)  # largest singular value, for the step
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = read(v, lambda z, _: z)
         v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * (float(np.linalg.norm(x @ v)) ** 2 / n + 1) + l2)
+    step = 1 / (0.25 * (float(v @ read(v, lambda z, _: z)) / n + 1) + l2)
     wz, bz, t = w, b, 1.0
+    e = np.zeros(n, np.float32)
+
+    def off(z: np.ndarray, rows: slice) -> np.ndarray:
+        e[rows] = 1 / (1 + np.exp(-np.clip(z + bz, -50, 50))) - y[rows]
+        return e[rows]
+
     for _ in range(steps):
-        e = 1 / (1 + np.exp(-np.clip(x @ wz + bz, -50, 50))) - y
-        w2, b2 = wz - step * (x.T @ e / n + l2 * wz), bz - step * float(e.mean())
+        w2 = wz - step * (read(wz, off) / n + l2 * wz)
+        b2 = bz - step * float(e.mean())
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         wz, bz = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
@@ -131,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, id_col: str =
             yield pa.record_batch([pa.array([np.packbits(sent.value.present(t.as_py())).tobytes() for t in x.column(0)], pa.binary()), x.column(1)], names=["bits", "label"])
 
     seen = held.mapInArrow(flags, "bits binary, label int").toPandas()
-    x = np.unpackbits(np.frombuffer(b"".join(seen.bits), np.uint8).reshape(len(seen), -1), axis=1)[:, : len(best)] * scale
-    w, intercept = logistic(x, seen.label.to_numpy(np.float32), l2)
+    packed = np.frombuffer(b"".join(seen.bits), np.uint8).reshape(len(seen), -1)
+    w, intercept = logistic(packed, scale, seen.label.to_numpy(np.float32), l2)
     return Model(orders, bits, slot, (w * scale).astype(np.float64), float(intercept))
 
 
